@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, pii, token_counts, url_filter
 
-MODULES = (exact_dedup, line_dedup, mixing)
+MODULES = (url_filter, exact_dedup, pii, line_dedup, token_counts, mixing)
 
 
 def queries() -> dict:
