@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, pii, token_counts, url_filter
+from . import exact_dedup, line_dedup, mixing, packing, pii, quality, token_counts, url_filter
 
-MODULES = (url_filter, exact_dedup, pii, line_dedup, token_counts, mixing)
+MODULES = (url_filter, exact_dedup, pii, quality, line_dedup, token_counts, mixing, packing)
 
 
 def queries() -> dict:
