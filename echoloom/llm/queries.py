@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, pii, quality, token_counts, url_filter
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, token_counts, url_filter
 
-MODULES = (url_filter, exact_dedup, pii, quality, line_dedup, token_counts, mixing, packing)
+MODULES = (url_filter, exact_dedup, pii, quality, line_dedup, near_dedup, token_counts, mixing, packing)
 
 
 def queries() -> dict:
