@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +58,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Rows of docs whose (id, hash of text and the columns in more) has kept = true in verdicts (id, _th, kept).
+
+    The hash tells rows apart that share an id but not a text.
+    """
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    if more:
+        th = F.xxhash64(th, *[F.col(c).cast("string") for c in more])
+    good = verdicts.where("kept").select(F.col(id_col).cast("long").alias("_kid"), F.col("_th").alias("_kth")).distinct()
+    return docs.join(good, F.col(id_col).cast("long").eqNullSafe(F.col("_kid")) & (th == F.col("_kth")), "left_semi")
+
+
 # ---------------------------------------------------------------- vector hashing
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

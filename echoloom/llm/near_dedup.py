@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, settle, span_hashes, table, word_spans
+from .common import keep_rows, mix, settle, span_hashes, table, word_spans
 from .graph import components
 
 WORDS = 5
@@ -88,7 +88,7 @@ def _signed(words: int):
             sets = shingle_sets([t or b"" for t in b.column("_text").to_pylist()], words)
             nodes = [set_node(s) if len(s) else None for s in sets]
             keys = [half_keys(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], names=["_id", "n", "node", "half"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], names=["_id", "_th", "n", "node", "half"])
 
     return run
 
@@ -143,7 +143,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(y, "b").select("a", "b", "_x", "_y").mapInArrow(_confirm(percent), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, text_hash: bool = False) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept (id = component_id).
 
     A text's set is its distinct n-grams of words, A-Z lower-cased; texts without words have an empty set and are linked
@@ -151,8 +151,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     too (they are all kept, or none). A null id is larger than any other: such a row's component_id is the smallest id of its
     component, null if it has none, and kept is false unless null. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    signed = settle(rows.mapInArrow(_signed(words), "_id long, n long, node long, half binary"), "signed")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col).cast("binary").alias("_text"))
+    signed = settle(rows.mapInArrow(_signed(words), "_id long, _th long, n long, node long, half binary"), "signed")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("_id").alias("_rep"), F.first("half").alias("half"))
     keys = classes.select("node", "half").mapInArrow(_table_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -197,11 +197,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tested = pairs if tested is None else tested.unionByName(pairs)
         comps = components(links)
 
-    placed = signed.select("_id", "n", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = signed.select("_id", "_th", "n", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("_least")).withColumnRenamed("comp", "_comp")
     out = placed.join(least, placed["comp"] == least["_comp"], "left")
     component = F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("_least"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), *(["_th"] if text_hash else []))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay, with all their columns: those whose id is the smallest of their component."""
+    verdicts = near_groups(docs, id_col, text_col, words, percent, text_hash=True)
+    return keep_rows(docs, verdicts, id_col, text_col)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, token_counts, url_filter
+import corpus_pipeline
 
-MODULES = (url_filter, exact_dedup, pii, quality, line_dedup, near_dedup, token_counts, mixing, packing)
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, substring_dedup, token_counts, url_filter
+
+MODULES = (url_filter, exact_dedup, pii, quality, substring_dedup, line_dedup, near_dedup, token_counts, mixing, packing)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.SQL.items()}
+    own = {k: s for m in MODULES for k, s in m.SQL.items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
