@@ -1,8 +1,11 @@
 """Repeated passages by content-defined chunking.
 
 A gear rolling hash over the last WINDOW bytes decides where chunks end, so an insertion moves only the
-chunks around it. Chunks are compared by digest over all documents; consecutive chunks that other
-documents hold too make a span, and spans of MIN_BYTES or more are reported.
+chunks around it. Chunks are deduplicated by digest over all documents: of the documents that hold a chunk,
+the one with the smallest id has its first occurrence. Chunks leave out the ends of a passage, so each
+stretch of chunks with one offset to their first occurrence is laid beside it with REACH bytes more on
+either side, and the bytes that are equal make the spans. Spans of MIN_WORDS words are reported. Texts that
+repeat a few words over and over give hardly any chunk ends of their own; a passage inside such a run can be missed.
 """
 
 from __future__ import annotations
@@ -10,17 +13,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, span_hashes, table
+from .common import SPACE, settle, span_hashes, table, word_spans
 
 WINDOW = 16
 #: A chunk ends where MASK_BITS bits of the rolling hash are zero, not before MIN_CHUNK bytes and at MAX_CHUNK at the latest.
 MASK_BITS = 5
 MIN_CHUNK = 16
 MAX_CHUNK = 160
-MIN_BYTES = 120
+#: Whole words in a span that is reported.
+MIN_WORDS = 50
+#: Bytes beyond the common chunks that are compared.
+REACH = 600
 #: Stands for a null identifier: one document, after all others.
 NULL_ID = 2**63 - 1
 BATCH_BYTES = 2_000_000
@@ -95,23 +100,69 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One row per span that other documents hold too: _id, _row, start, end (bytes of the UTF-8 text, end exclusive), n_chunks, first_id, is_first.
-
-    Of the documents that hold a chunk the one with the smallest id has its first occurrence; is_first tells whether that is
-    this document, first_id is the smallest such id over the span. Rows that share an id are one document (_row, a hash of the text, tells
-    them apart), so what they share is no repeat; a null id is one document, after all others. Null and empty texts, and an
-    empty table, have no spans.
+def _stretches(min_words: int):
+    """The equal stretches of two segments laid side by side, a row for each document of the pair."""
+
+    def run(batches):
+        names = ["_id", "_row", "start", "end", "n_words", "first_id", "is_first"]
+        for b in batches:
+            cols: list[list] = [[] for _ in names]
+            rows = zip(*(b.column(c).to_pylist() for c in ("a_id", "a_row", "a_at", "a_seg", "b_id", "b_row", "b_at", "b_seg")), strict=True)
+            for a_id, a_row, a_at, a_seg, b_id, b_row, b_at, b_seg in rows:
+                # The segments start at the same offset to each other; where one starts later, the other loses as much.
+                x, y = np.frombuffer(a_seg, np.uint8), np.frombuffer(b_seg, np.uint8)
+                n = min(len(x), len(y))
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], x[:n] == y[:n], [False])).astype(np.int8)))
+                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    if e - s < 2 * min_words - 1:
+                        continue
+                    words = _whole_words(x, y, s, e)
+                    if words >= min_words:
+                        for doc, row, at, first in ((a_id, a_row, a_at, True), (b_id, b_row, b_at, False)):
+                            for c, v in zip(cols, (doc, row, at + s, at + e, words, a_id, first), strict=True):
+                                c.append(v)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return run
+
+
+def _whole_words(x: np.ndarray, y: np.ndarray, s: int, e: int) -> int:
+    """Words of x[s:e] that are not cut at either end, in x or in y."""
+    starts, _ = word_spans(x[s:e])
+    inside = lambda z, k: 0 <= k < len(z) and z[k] not in SPACE
+    first = s < e and inside(x, s) and (inside(x, s - 1) or inside(y, s - 1))
+    last = s < e and inside(x, e - 1) and (inside(x, e) or inside(y, e))
+    return max(0, len(starts) - first - last)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per span that another document holds too: _id, _row, start, end (bytes of the UTF-8 text, end exclusive), n_words, first_id, is_first.
+
+    first_id is the document with the first occurrence; is_first marks its own span. Rows that share an id are one document
+    (_row, a hash of the text, tells them apart), so what they share is no repeat; a null id is one document, after all
+    others. Null and empty texts, and an empty table, have no spans.
     """
-    chunks = _keyed(docs, id_col, text_col).mapInArrow(_chunks, "digest long, _id long, _row long, idx int, start int, size int")
+    keyed = _keyed(docs, id_col, text_col)
+    chunks = keyed.mapInArrow(_chunks, "digest long, _id long, _row long, idx int, start int, size int")
     # min and max are enough to tell whether there are two documents, and are combined before the shuffle.
     shared = chunks.groupBy("digest").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").drop("_last")
-    hits = chunks.join(shared, "digest").select("_id", "_row", "idx", "start", "size", "first_id").distinct()
-    hits = hits.withColumn("is_first", F.col("_id") == F.col("first_id"))
-    run = W.partitionBy("_id", "_row", "is_first").orderBy("idx")  # no longer than a document
-    spans = hits.withColumn("_run", F.col("idx") - F.row_number().over(run)).groupBy("_id", "_row", "is_first", "_run")
-    spans = spans.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n_chunks"), F.min("first_id").alias("first_id"))
-    return spans.where(F.col("end") - F.col("start") >= min_bytes).select("_id", "_row", "start", "end", "n_chunks", "first_id", "is_first")
+    hits = settle(chunks.join(shared, "digest").select("digest", "_id", "_row", "start", "size", "first_id"), "hits")
+    firsts = hits.where("_id = first_id").groupBy("digest").agg(F.min("_row").alias("a_row"))
+    # One row of that document and its first such place.
+    firsts = hits.where("_id = first_id").join(firsts.select("digest", "a_row"), "digest").where("_row = a_row").groupBy("digest").agg(F.first("a_row").alias("a_row"), F.min("start").alias("a_start"))
+    pairs = hits.where("_id > first_id").join(firsts, "digest").withColumn("shift", F.col("start") - F.col("a_start"))
+    pairs = pairs.groupBy(F.col("_id").alias("b_id"), F.col("_row").alias("b_row"), F.col("first_id").alias("a_id"), "a_row", "shift").agg(F.min("start").alias("lo"), F.max(F.col("start") + F.col("size")).alias("hi"))
+    before = F.least(F.lit(REACH), F.col("lo"), F.col("lo") - F.col("shift"))
+    pairs = settle(pairs.select("b_id", "b_row", "a_id", "a_row", (F.col("lo") - before).alias("b_at"), (F.col("lo") - F.col("shift") - before).alias("a_at"), (F.col("hi") - F.col("lo") + before + REACH).alias("n")), "pairs")
+    sides = [pairs.select(F.col(f"{x}_id").alias("_id"), F.col(f"{x}_row").alias("_row"), F.col(f"{x}_at").alias("at"), "n") for x in "ab"]
+    need = sides[0].unionByName(sides[1]).distinct()
+    segments = keyed.join(need, ["_id", "_row"]).select("_id", "_row", "at", "n", F.expr("substring(_text, at + 1, n)").alias("seg"))
+    segments = settle(segments, "segments").dropDuplicates(["_id", "_row", "at", "n"])
+    for x in "ab":
+        pairs = pairs.join(segments.select(F.col("_id").alias(f"{x}_id"), F.col("_row").alias(f"{x}_row"), F.col("at").alias(f"{x}_at"), "n", F.col("seg").alias(f"{x}_seg")), [f"{x}_id", f"{x}_row", f"{x}_at", "n"])
+    spans = pairs.select("a_id", "a_row", F.col("a_at").cast("long"), "a_seg", "b_id", "b_row", F.col("b_at").cast("long"), "b_seg").mapInArrow(_stretches(min_words), "_id long, _row long, start long, end long, n_words long, first_id long, is_first boolean")
+    return spans.distinct()
 
 
 def _cut(batches):
@@ -120,15 +171,15 @@ def _cut(batches):
         for text, spans in zip(b.column("_text").to_pylist(), b.column("gone").to_pylist(), strict=True):
             at, parts = 0, []
             for s in spans or ():
-                parts.append(text[at : s["start"]])
-                at = s["end"]
+                parts.append(text[at : max(at, s["start"])])
+                at = max(at, s["end"])
             out.append(b"".join([*parts, (text or b"")[at:]]).decode("utf-8", "ignore"))
         yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out, pa.string())], names=["_id", "text"])
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per input row: id, text without the spans whose first occurrence is in another document."""
-    spans = repeated_spans(docs, id_col, text_col, min_bytes).where(~F.col("is_first"))
+    spans = repeated_spans(docs, id_col, text_col, min_words).where(~F.col("is_first"))
     gone = spans.groupBy("_id", "_row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
     out = _keyed(docs, id_col, text_col).join(gone, ["_id", "_row"], "left").select("_id", "_text", "gone").mapInArrow(_cut, "_id long, text string")
     return out.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col), "text")
@@ -136,7 +187,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     spans = repeated_spans(table(spark, sf_dir, "documents"))
-    return settle(spans.select(F.col("_id").alias("doc_id"), "start", "end", "n_chunks", F.col("first_id").alias("first_doc_id"), "is_first"), "spans")
+    return spans.select(F.col("_id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"), "is_first")
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
