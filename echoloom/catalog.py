@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import importlib
+import pkgutil
+
+from . import plans
+
+
+def _modules() -> list:
+    return [importlib.import_module(f"{plans.__name__}.{m.name}") for m in pkgutil.iter_modules(plans.__path__)]
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: s for m in _modules() for k, s in m.SQL.items()}
