@@ -109,7 +109,7 @@ SQL = {
       SELECT corpus_id, count(*) AS n_records, count(*) FILTER (WHERE dated) AS n_dated, count(*) FILTER (WHERE dated AND NOT coded) AS n_dated_uncoded, count(*) FILTER (WHERE dated) = 0 AS no_date FROM r GROUP BY 1""", "records"),
     "d6_grid": with_views(f"""WITH {_ALL}, {_PERIODS}, g AS (SELECT c.corpus_id, c.code, p.period, coalesce(x.count, 0) AS count FROM (SELECT DISTINCT corpus_id, code FROM cells) c JOIN periods p USING (corpus_id)
         LEFT JOIN cells x ON x.corpus_id = c.corpus_id AND x.code = c.code AND x.period = p.period),
-      l AS (SELECT corpus_id, code, code || ',' || string_agg(CAST(count AS VARCHAR), ',' ORDER BY period) AS line FROM g GROUP BY ALL), h AS (SELECT corpus_id, 'code,' || string_agg(period, ',' ORDER BY period) AS head FROM periods GROUP BY 1)
+      l AS (SELECT corpus_id, code, code || ',' || string_agg(CAST(count AS VARCHAR), ',' ORDER BY period) AS line FROM g GROUP BY corpus_id, code), h AS (SELECT corpus_id, 'code,' || string_agg(period, ',' ORDER BY period) AS head FROM periods GROUP BY 1)
       SELECT h.corpus_id, any_value(h.head) || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY code), '') AS grid FROM h LEFT JOIN l ON h.corpus_id = l.corpus_id GROUP BY h.corpus_id""", "records"),
     "d7_struct": with_views(f"""WITH {_cells(R.FIELDS, _week('created'))}, {_PERIODS}, h AS (SELECT corpus_id, string_agg(period, ',' ORDER BY period) AS periods FROM periods GROUP BY 1)
       SELECT h.corpus_id, h.periods, coalesce(string_agg(code || '/' || period || '/' || count, ',' ORDER BY code, period), '') AS cells FROM h LEFT JOIN cells ON h.corpus_id = cells.corpus_id GROUP BY 1, 2""", "records"),

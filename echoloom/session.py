@@ -11,3 +11,22 @@ def get_session(app: str = "echoloom", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("_", "."), v)
     return b.getOrCreate()
+
+
+def checkpointed(df):
+    """df, written to the checkpoint folder of the session and cut off from what made it.
+
+    The folder is spark.checkpoint.dir; a local session without one gets a temporary folder.
+    """
+    import tempfile
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
