@@ -5,15 +5,19 @@ Each pair of one of either makes the key of a table, so LEFT x RIGHT tables cost
 minimum hashes. Two sets of similarity s meet in a table with probability
 (1 - (1 - s^2)^LEFT) (1 - (1 - s^3)^RIGHT): 0.998 at 0.8, more above.
 
-Texts with equal sets are one class from the start. In each table entry of two or more classes
-these are first compared with the entry's leader only (the class with most company); what is
-confirmed joins a component. Then only classes of different components that share an entry are
-compared, so no link that the tables can find is lost and a large group costs a pass, not its
-square. Candidates are confirmed on the full sets.
+Texts with equal sets are one class from the start. Table keys are range-partitioned and sorted with their
+classes; the classes of a key are tied to its first one, so a key of any size gives one row a class and
+may lie in several partitions. The ties make families: no two classes of different families share a
+table. First each class is compared with the few it is tied to most often. Then, inside a family
+that is not yet one component, all classes that share a table and are not yet connected are compared,
+in cells of bounded size: blocks of the rest against each other and against blocks of the largest
+component. No pairs are emitted but the links found, and all comparisons are on the full sets.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,9 +30,10 @@ from .graph import components
 WORDS = 5
 PERCENT = 80
 LEFT, RIGHT = 7, 10
-#: While more pairs across components than this times the entries' members remain, entries get another leader.
-PAIRS_PER_MEMBER = 4
-LEADER_ROUNDS = 3
+#: So many of the classes that a class is tied to are compared with it before the cells.
+LEADERS = 2
+#: Classes of a block.
+BLOCK = 1000
 #: Bytes of text that are hashed at a time.
 CHUNK = 2_000_000
 
@@ -106,41 +111,135 @@ def _table_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(nodes[k : k + 2000], LEFT * RIGHT))], names=["key", "node"])
 
 
-def _sets(words: int):
-    """Sets of the rows that are what their class is named for."""
+def _tie(batches):
+    """kind 0: a class and the first one of its key in this partition; 1 and 2: the partition's first and last key with their first class."""
+    names = ["kind", "key", "a", "b"]
+    head = last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, node = b.column("key").to_numpy(), b.column("node").to_numpy()
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        if last is not None and key[0] == last[0]:
+            new[0] = False
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at >= 0, node[at], last[1] if last is not None else 0)
+        if head is None:
+            head = (key[0], node[0])
+        last = (key[-1], first[-1])
+        take = np.flatnonzero(first != node)
+        if len(take):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(take), dtype=np.int32)), pa.array(key[take]), pa.array(first[take]), pa.array(node[take])], names=names)
+    if last is not None:
+        ends = [np.array([head[k], last[k]], dtype=np.int64) for k in (0, 1, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), *[pa.array(x) for x in ends]], names=names)
+
+
+def _packed(words: int):
+    """Texts of the rows that are what their class is named for, deflated, with the size of their sets."""
 
     def run(batches):
         for b in batches:
-            sets = shingle_sets([t or b"" for t in b.column("_text").to_pylist()], words)
-            want = b.column("node").to_pylist()
+            texts = [t or b"" for t in b.column("_text").to_pylist()]
+            want, half = b.column("node").to_pylist(), b.column("half").to_pylist()
+            sets = shingle_sets(texts, words)
             take = [k for k, s in enumerate(sets) if len(s) and set_node(s) == want[k]]
-            for i in range(0, len(take), 1000):
-                part = take[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([want[k] for k in part], pa.int64()), pa.array([len(sets[k]) for k in part], pa.int64()), pa.array([sets[k].tobytes() for k in part], pa.binary())], names=["node", "n", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([want[k] for k in take], pa.int64()), pa.array([len(sets[k]) for k in take], pa.int64()), pa.array([half[k] for k in take], pa.binary()), pa.array([zlib.compress(texts[k].lower(), 1) for k in take], pa.binary())], names=["node", "n", "half", "packed"])
 
     return run
 
 
-def _confirm(percent: int):
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(words: int, percent: int):
     def run(batches):
         for b in batches:
             keep = []
-            for k, (x, y) in enumerate(zip(b.column("_x").to_pylist(), b.column("_y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for k in range(0, b.num_rows, 500):
+                xs, ys = (shingle_sets([zlib.decompress(t) for t in b.column(c).slice(k, 500).to_pylist()], words) for c in ("_x", "_y"))
+                keep += [_similar(x, y, percent) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "ok"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with the outcome of the full comparison; sizes too far apart need none."""
-    x = sets.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("items").alias("_x"))
-    y = sets.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("items").alias("_y"))
-    sizes = sets.select(F.col("node").alias("b"), F.col("n").alias("_nb0"))
-    near = pairs.join(x, "a").join(sizes, "b").where(100 * F.least("_na", "_nb0") >= percent * F.greatest("_na", "_nb0"))
-    return near.join(y, "b").select("a", "b", "_x", "_y").mapInArrow(_confirm(percent), "a long, b long, ok boolean").where("ok").select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that the full comparison confirms; where the sizes are too far apart none is needed."""
+    sizes = texts.select("node", "n")
+    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
+    near = near.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b")
+    x, y = (texts.select(F.col("node").alias(c), F.col("packed").alias(p)) for c, p in (("a", "_x"), ("b", "_y")))
+    return near.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(_confirm(words, percent), "a long, b long, ok boolean").where("ok").select("a", "b")
+
+
+def _link_cell(nodes, comps, large, halves, packed, words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between classes of one cell that share a table and are not yet connected, one of each component's at most."""
+    sets = shingle_sets([zlib.decompress(t) for t in packed], words)
+    half = np.frombuffer(b"".join(halves), dtype=np.uint64).reshape(-1, LEFT + RIGHT)
+    names, label = np.unique(np.array(comps, dtype=np.int64), return_inverse=True)
+    large, out = np.array(large, dtype=bool), []
+    for i in np.flatnonzero(~large).tolist():
+        same = half == half[i]
+        near = same[:, :LEFT].any(axis=1) & same[:, LEFT:].any(axis=1) & (label != label[i]) & ((np.arange(len(label)) < i) | large)
+        # The most alike first: a link to one class of a component makes the others needless.
+        order = np.flatnonzero(near)
+        for j in order[np.argsort(-same[order].sum(axis=1), kind="stable")].tolist():
+            if label[j] != label[i] and _similar(sets[i], sets[j], percent):
+                out.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _link_cells(words: int, percent: int):
+    def run(batches):
+        cell, held = None, [[], [], [], [], []]
+
+        def links():
+            out = _link_cell(*held, words, percent)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            cells = b.column("cell").to_pylist()
+            cols = [b.column(c).to_pylist() for c in ("node", "comp", "large", "half", "packed")]
+            for k, c in enumerate(cells):
+                if c != cell:
+                    if held[0]:
+                        yield links()
+                    cell, held = c, [[], [], [], [], []]
+                for h, col in zip(held, cols, strict=True):
+                    h.append(col[k])
+        if held[0]:
+            yield links()
+
+    return run
+
+
+def _cells(families: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(cell, node, comp, large): each family that is not one component, in cells of 2 BLOCK classes at most, about.
+
+    A family of up to BLOCK classes is one cell. Of a larger one the largest component is compared with the rest only.
+    """
+    placed = families.select("node", F.col("comp").alias("fam"))
+    if comps is not None:
+        placed = placed.join(comps, "node", "left")
+    placed = placed.select("node", "fam", (F.coalesce("comp", "node") if comps is not None else F.col("node")).alias("comp"))
+    sizes = placed.groupBy("fam", "comp").agg(F.count("*").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("k"))
+    open_ = sizes.where("k > 1").select("fam", F.col("top.comp").alias("_top"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("nr"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("ng"), (F.col("n") <= BLOCK).alias("one"))
+    p = placed.join(open_, "fam").withColumn("large", F.col("comp") == F.col("_top"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("ng")).otherwise(F.col("nr"))).cast("int")
+    p = p.withColumn("blk", block)
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    rest = F.concat(F.transform(to(F.col("nr")), lambda j: F.struct(F.lit(0).alias("t"), F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j"))), F.transform(to(F.col("ng")), lambda j: F.struct(F.lit(1).alias("t"), F.col("blk").alias("i"), j.alias("j"))))
+    top = F.transform(to(F.col("nr")), lambda i: F.struct(F.lit(1).alias("t"), i.alias("i"), F.col("blk").alias("j")))
+    alone = F.array(F.struct(F.lit(2).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    where = F.when(F.col("one"), alone).when(F.col("large"), top).otherwise(rest)
+    return p.select("node", "comp", "large", "fam", F.explode(where).alias("w")).select("node", "comp", "large", F.xxhash64("fam", "w.t", "w.i", "w.j").alias("cell"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, text_hash: bool = False) -> DataFrame:
@@ -155,47 +254,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = settle(rows.mapInArrow(_signed(words), "_id long, _th long, n long, node long, half binary"), "signed")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("_id").alias("_rep"), F.first("half").alias("half"))
     keys = classes.select("node", "half").mapInArrow(_table_keys, "key long, node long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = settle(keys.join(shared, "key"), "members")  # key, node, c
-
-    weights = members.groupBy("node").agg(F.sum("c").alias("w"))
-    need = weights.join(classes.select("node", "_rep"), "node").select("node", "_rep")
-    texts = rows.join(need, rows["_id"].eqNullSafe(need["_rep"])).select("node", "_text")
-    sets = settle(texts.mapInArrow(_sets(words), "node long, n long, items binary").dropDuplicates(["node"]), "sets")
-
-    links, tested, comps = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(weights, "node")
-        if comps is not None:
-            placed = placed.join(comps, "node", "left")
-        placed = placed.select("key", "node", "w", (F.coalesce("comp", "node") if comps is not None else F.col("node")).alias("comp"))
-        if turn:
-            placed = settle(placed, "placed")
-            one = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            open_keys = settle(one.where("q < n * n"), "open").select("key", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("cross"), "n")
-            left, held = open_keys.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-            if not left:
-                break
-            placed = placed.join(open_keys.select("key"), "key")
-            if left <= PAIRS_PER_MEMBER * held or turn == LEADER_ROUNDS:
-                p, q = placed.alias("p"), placed.alias("q")
-                pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.comp") < F.col("q.comp")))
-                pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-                pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-                links = links.unionByName(settle(_verified(pairs, sets, percent), "links"))
-                comps = components(links)
-                break
-        order = F.col("w") if not turn else F.xxhash64("node", F.lit(turn))
-        leaders = placed.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("node"), F.col("comp"))).alias("l"))
-        pairs = placed.join(leaders, "key").where("node <> l.node and (comp <> l.comp)")
-        pairs = pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        found = settle(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        comps = components(links)
+    keys = keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    tied = settle(keys.mapInArrow(_tie, "kind int, key long, a long, b long"), "tied")
+    # A key that goes on in the next partition: two rows for each partition at most.
+    ends = tied.where("kind > 0").groupBy("key").agg(F.min("a").alias("_a"), F.collect_set("a").alias("_all")).where(F.size("_all") > 1).select(F.col("_a").alias("a"), F.explode("_all").alias("b")).where("a <> b")
+    ties = settle(tied.where("kind = 0").select("a", "b").unionByName(ends).groupBy("a", "b").agg(F.count("*").alias("t")), "ties")
+    families = components(ties)
+
+    need = families.select("node").join(classes.select("node", "_rep", "half"), "node")
+    texts = settle(rows.join(need, rows["_id"].eqNullSafe(need["_rep"])).select("node", "half", "_text").mapInArrow(_packed(words), "node long, n long, half binary, packed binary").dropDuplicates(["node"]), "texts")
+
+    # Each class with the LEADERS it is tied to most often; a class has at most one row a table here.
+    best = ties.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("t", "a")), asc=False), 1, LEADERS).alias("_l"))
+    links = settle(_verified(best.select("b", F.explode("_l.a").alias("a")).select("a", "b"), texts, words, percent), "links")
+    comps = components(links)
+    cells = settle(_cells(families, comps), "cells").join(texts.select("node", "half", "packed"), "node")
+    cells = cells.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "comp", "large", "half", "packed")
+    more = settle(cells.mapInArrow(_link_cells(words, percent), "a long, b long"), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
 
     placed = signed.select("_id", "_th", "n", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("_least")).withColumnRenamed("comp", "_comp")
