@@ -36,12 +36,16 @@ def language_suffix(language: Column, subject: str = "analysis") -> Column:
     return F.when(F.coalesce(language, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(f"\n\nUse this language for the {subject}: "), language, F.lit(".")))
 
 
-@F.pandas_udf("string")
-def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _nfc(col: Column) -> Column:
     import unicodedata
 
-    for s in parts:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    def compose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    # The hints are given as objects: the module's annotations are strings.
+    compose.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(compose, "string")(col)
 
 
 LANGUAGE_MAX = 50

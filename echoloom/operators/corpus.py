@@ -134,7 +134,7 @@ def allocate_volumes(leaves: DataFrame, total: int, seed: int, floor: int = 1, t
     w = W.orderBy("_s", "rank")
     v = v.withColumn("_before", F.coalesce(F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_left", F.col("_k") - F.row_number().over(w) + 1)
     v = v.withColumn("_cut", F.floor((-F.col("_d") - F.col("_before")) / F.col("_left")))
-    x = F.min(F.when(F.col("_cut") <= F.col("_s"), F.col("_cut"))).over(all_)
+    x = F.max(F.when(F.col("_cut") <= F.col("_s"), F.col("_cut"))).over(all_)  # of the rows from the first that fits, the first has the largest
     v = v.withColumn("_x", F.coalesce(x, F.lit(0))).withColumn("_taken", F.least("_s", "_x"))
     rest = -F.col("_d") - F.sum("_taken").over(all_)
     v = v.withColumn("_rest", rest).withColumn("_o", F.row_number().over(W.orderBy(F.when(F.col("_s") > F.col("_x"), 0).otherwise(1), "rank")))
