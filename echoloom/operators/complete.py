@@ -138,7 +138,7 @@ def stub_complete(kind: str, fail_below: float = 0.0) -> Complete:
 
         u = _unit(user)
         if u < fail_below:
-            return TimeoutError("stub") if u < fail_below / 2 else ValueError("stub")
+            return ContentPolicyError("stub") if u < fail_below / 2 else ValueError("stub")  # errors that are not tried again
         tag = hashlib.md5(user.encode()).hexdigest()[:12]
         if kind == "judge":
             content = json.dumps({"quality_score": round(u, 2), "uncertainty_explanation": f"because {tag}"})
