@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as X
 from ..operators import chunking as C
+from ..operators import cluster
 from ..operators import embedding as M
 from ..views import view, with_views
 
@@ -55,6 +56,10 @@ def e8_hashed(spark, d):
     return X.hashing_embed(view(spark, d, "records"), "id", "content", 64).select("id", F.size("vector").alias("width"), F.round(X.norm(F.col("vector")), 6).alias("length"))
 
 
+def f1_clusters(spark, d):
+    return cluster.cluster_vectors(_vectors(spark, d), min_cluster_size=5)
+
+
 def f2_small_corpora(spark, d):
     r = view(spark, d, "records").select("id", "corpus_id", (F.col("pos") % 4).cast("int").alias("label"))
     return C.small_corpora_as_noise(r, "corpus_id", "label", 51)
