@@ -4,8 +4,9 @@ A gear rolling hash over the last WINDOW bytes decides where chunks end, so an i
 chunks around it. Chunks are deduplicated by digest over all documents: of the documents that hold a chunk,
 the one with the smallest id has its first occurrence. Chunks leave out the ends of a passage, so each
 stretch of chunks with one offset to their first occurrence is laid beside it with REACH bytes more on
-either side, and the bytes that are equal make the spans. Spans of MIN_WORDS words are reported. Texts that
-repeat a few words over and over give hardly any chunk ends of their own; a passage inside such a run can be missed.
+either side, and the bytes that are equal make the spans. Spans of MIN_WORDS words are reported. Where
+the hash allows no end for long, as in runs of a few words, chunks end at its local minima, and a run of equal
+chunks is one row.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WINDOW = 16
 MASK_BITS = 5
 MIN_CHUNK = 16
 MAX_CHUNK = 160
+#: Between ends further apart than that, a chunk may also end where the hash is the least of so many bytes to either side.
+RADIUS = 24
 #: Whole words in a span that is reported.
 MIN_WORDS = 50
 #: Bytes beyond the common chunks that are compared.
@@ -33,47 +36,79 @@ BATCH_BYTES = 2_000_000
 _GEAR = np.random.default_rng(4242).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def candidate_ends(data: np.ndarray) -> np.ndarray:
-    """Places after which the rolling hash allows a chunk to end (gear hash, shifted left by one bit a byte)."""
+def rolling_hash(data: np.ndarray) -> np.ndarray:
+    """The gear hash of the last WINDOW bytes at each byte, shifted left by one bit a byte."""
     h = _GEAR[data]
     step = 1
     while step < WINDOW:  # the hash of 2 x step bytes from those of step bytes
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
+    return h
+
+
+def candidate_ends(h: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash allows a chunk to end."""
     return np.flatnonzero((h >> np.uint32(WINDOW - MASK_BITS)) & np.uint32((1 << MASK_BITS) - 1) == 0) + 1
 
 
+def weak_ends(h: np.ndarray, start: int, end: int) -> list[int]:
+    """Ends inside a stretch without candidates: where the hash is the least within RADIUS bytes, RADIUS bytes apart or more.
+
+    A run that repeats a few words has such places at the same spots of its period, wherever it stands.
+    """
+    base = start + WINDOW  # hashes before may take in bytes of another text
+    low = h[base:end]
+    if len(low) < 2 * RADIUS + 1:
+        return []
+    step = 1
+    while 2 * step <= 2 * RADIUS + 1:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    rest = 2 * RADIUS + 1 - step
+    low = np.minimum(low[:-rest], low[rest:])
+    out, last = [], start
+    for c in (np.flatnonzero(h[base + RADIUS : end - RADIUS] == low) + base + RADIUS + 1).tolist():
+        if c - last >= RADIUS:
+            out.append(c)
+            last = c
+    return out
+
+
 def chunk_ends(data: np.ndarray, limits: list[int]) -> list[int]:
     """Ends of the chunks of several texts that stand one after the other; limits: their ends.
 
     The rolling hash is that of a text alone from WINDOW bytes after its start; before, no chunk ends, as MIN_CHUNK >= WINDOW.
     """
+    h = rolling_hash(data)
     ends: list[int] = []
-    found = candidate_ends(data).tolist()
+    found = candidate_ends(h).tolist()
     at, n, start = 0, len(found), 0
+
+    def close(last: int, end: int) -> None:
+        """Ends from last to end, which is one; none is more than MAX_CHUNK after another."""
+        for c in (*(weak_ends(h, last, end) if end - last > MAX_CHUNK else ()), end):
+            while c - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                ends.append(last)
+            if c > last:
+                ends.append(c)
+                last = c
+
     for limit in limits:
         last = start
         while at < n and found[at] <= limit:
             c = found[at]
             at += 1
             if c - last >= MIN_CHUNK and c > start:
-                while c - last > MAX_CHUNK:
-                    last += MAX_CHUNK
-                    ends.append(last)
-                if c > last:
-                    ends.append(c)
-                    last = c
-        while limit - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            ends.append(last)
-        if limit > last:
-            ends.append(limit)
+                close(last, c)
+                last = c
+        close(last, limit)
         start = limit
     return ends
 
 
 def _chunks(batches):
-    names = ["digest", "_id", "_row", "idx", "start", "size"]
+    names = ["digest", "_id", "_row", "start", "size"]
     for b in batches:
         ids, rows = b.column("_id").to_numpy(), b.column("_row").to_numpy()
         texts = [t or b"" for t in b.column("_text").to_pylist()]
@@ -91,8 +126,14 @@ def _chunks(batches):
             starts = np.concatenate([[0], ends[:-1]])
             owner = np.searchsorted(limits, starts, side="right")
             begin = limits - np.array([len(t) for t in texts[first:k]])
-            idx = np.arange(len(ends)) - np.searchsorted(starts, begin)[owner]
-            cols = [span_hashes(data, starts, ends).view(np.int64), ids[first:k][owner], rows[first:k][owner], idx.astype(np.int32), (starts - begin[owner]).astype(np.int32), (ends - starts).astype(np.int32)]
+            digests = span_hashes(data, starts, ends).view(np.int64)
+            # Equal chunks that follow each other in a text are one row of their whole size.
+            new = np.ones(len(ends), dtype=bool)
+            new[1:] = (digests[1:] != digests[:-1]) | (owner[1:] != owner[:-1])
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(ends)) - 1
+            mine = owner[head]
+            cols = [digests[head], ids[first:k][mine], rows[first:k][mine], (starts[head] - begin[mine]).astype(np.int32), (ends[tail] - starts[head]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
 
@@ -144,7 +185,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others. Null and empty texts, and an empty table, have no spans.
     """
     keyed = _keyed(docs, id_col, text_col)
-    chunks = keyed.mapInArrow(_chunks, "digest long, _id long, _row long, idx int, start int, size int")
+    chunks = keyed.mapInArrow(_chunks, "digest long, _id long, _row long, start int, size int")
     # min and max are enough to tell whether there are two documents, and are combined before the shuffle.
     shared = chunks.groupBy("digest").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").drop("_last")
     hits = settle(chunks.join(shared, "digest").select("digest", "_id", "_row", "start", "size", "first_id"), "hits")
