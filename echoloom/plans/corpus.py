@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..session import scratch_path
 from ..sources import records as S
 from ..streaming import streams as T
 from ..views import view, with_views
@@ -25,6 +26,32 @@ def _total(leaves) -> int:
     return 23 * leaves.count() + 7
 
 
+def a1_records(spark, d):
+    """All records, written as JSON and read by schema; the metadata come back as a map."""
+    path = scratch_path(spark, "records")
+    keys = ["created", "coding_level_1", "coding_level_2", "coding_level_3"]
+    _records(spark, d).select("id", "content", F.struct(*keys).alias("metadata")).write.json(path)
+    back = S.metadata_struct(S.read_records(spark, path))
+    return back.select("id", "content", *keys, F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+def a3_lines(spark, d):
+    """All turns through JSON lines."""
+    path = scratch_path(spark, "turns")
+    t = view(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    S.write_jsonl(t, path)
+    return S.read_jsonl(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema))
+
+
+def a4_log(spark, d):
+    """The call log, appended in two parts and read back by window and tenant."""
+    path, calls = scratch_path(spark, "log"), view(spark, d, "calls")
+    for status in ("ok", "error"):
+        S.append_calls(calls.where(F.col("status") == status).drop("id"), path)
+    back = S.read_calls(spark, path, "tenant_2", "2024-01-05 06:00:00", "2024-01-20 00:00:00")
+    return back.select("call_id", "operation", "call_duration_ms", "model", "cost_usd", "status", "error_class")
+
+
 def a5_calls(spark, d):
     """The scan of the log with its window and tenant."""
     from ..operators.usage import calls_in_window
@@ -202,9 +229,17 @@ _I2 = f"""WITH {_PCODE}, el AS (SELECT *, row_number() OVER (PARTITION BY parent
 _VOL = f"""rk AS (SELECT code, row_number() OVER (ORDER BY {_u('code', f'{SEED}:volume')}, code) AS rank FROM (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS code FROM part)),
   v0 AS (SELECT *, CAST(CASE WHEN rank <= 5 THEN 130 WHEN rank <= 30 THEN 60 WHEN rank <= 100 THEN 30 ELSE 20 END AS BIGINT) AS n0, count(*) OVER () AS k FROM rk)"""
 _GROWN = f"{_VOL}, tot AS (SELECT 23 * max(k) + 7 - sum(n0) AS d FROM v0), vol AS (SELECT code, CAST(n0 + d // k + CASE WHEN rank <= d % k THEN 1 ELSE 0 END AS BIGINT) AS n FROM v0, tot)"
+def i14_sampled(spark, d):
+    """A sample of fixed size, the same in every run."""
+    return C.sample_records(_records(spark, d), 100, SEED).select("id", "corpus_id", "content")
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "aij" and k[1].isdigit() and callable(f)}
 _JB = "time_bucket(INTERVAL '5 minutes', ts)"
 SQL = {
+    "a1_records": with_views("SELECT id, content, created, coding_level_1, coding_level_2, coding_level_3, false AS corrupt FROM records", "records"),
+    "a3_lines": "SELECT conv_id, turn, role, text FROM conversations",
+    "a4_log": with_views("SELECT call_id, operation, call_duration_ms, model, cost_usd, status, error_class FROM calls WHERE ts >= '2024-01-05 06:00:00' AND ts < '2024-01-20' AND tenant_id = 'tenant_2'", "calls"),
     "a5_calls": with_views("SELECT id, operation, cost_usd FROM calls WHERE ts >= '2024-01-10' AND ts < '2024-01-12' AND tenant_id = 'tenant_1'", "calls"),
     "a8_payloads": """WITH r AS (SELECT o_custkey AS insight_id, o_orderkey, o_orderpriority || ' ' || chr(92) || o_orderstatus AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS VARCHAR) DESC, o_orderkey) AS r FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY r <= 5)
       SELECT insight_id, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY r) AS ids, min_by(t, r) AS first, 'Say "why" ' || insight_id AS prompt FROM r GROUP BY insight_id""",
