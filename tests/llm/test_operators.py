@@ -257,6 +257,21 @@ def test_chunks_resist_insertions():
     assert [x - len(text) for x in both[n:]] == both[:n]
 
 
+def test_runs_of_one_word(spark):
+    """Long runs of few words give no chunk ends by the mask alone; they are found wherever they stand."""
+    words = ("Was ", "Onwhou ", "Thhe ", "a bc ", "La mentre ")
+    rows = [(2 * k + j, _words(40 + 7 * j, 100 + 2 * k + j) + "\n" + w * (90 + 11 * j) + _words(30, 200 + 2 * k + j)) for k, w in enumerate(words) for j in (0, 1)]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["_id"] for r in got} == {i for i, _ in rows}
+    texts = dict(rows)
+    for r in got:
+        assert texts[r["_id"]].encode()[r.start : r.end] in texts[r.first_id].encode()
+    for w in words:
+        text = (_words(50, 5) + w * 3000).encode()
+        ends = substring_dedup.chunk_ends(np.frombuffer(text, np.uint8), [len(text)])
+        assert ends[-1] == len(text) and all(0 < b - a <= substring_dedup.MAX_CHUNK for a, b in zip([0, *ends], ends))
+
+
 def test_token_counts(docs, empty):
     import public_tokenizers
     import sentencepiece
