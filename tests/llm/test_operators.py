@@ -213,6 +213,20 @@ def test_quality(docs, empty):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_band(spark):
+    """Junk that passes the base rules, of the kinds in the given tables, is rejected on both sides; clean text stays."""
+    r = random.Random(3)
+    vocabulary = [_words(1, k) for k in range(400)]
+    words = lambda: [vocabulary[int(400 * r.random() ** 2)] for _ in range(200)]
+    clean = [" ".join(words()) for _ in range(120)]
+    piped = ["".join(w + r.choice([" | ", " "]) for w in words()) for _ in range(2)]
+    marked = [" ".join(w + r.choice(["###", "$$$", "%%%", "***", "&&&"]) for w in words()) for _ in range(12)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(clean + piped + marked)], "doc_id long, text string, lang string")
+    got = quality.judge(df).collect()
+    assert not any(x.base_failed for x in got) and {x.doc_id for x in got if x.kept} == set(range(120))
+    assert all(x.off < 0 for x in got if x.doc_id in (120, 121)) and all(x.off > 0 for x in got if x.doc_id > 121)
+
+
 def test_kneser_ney_sums_to_one():
     r = np.random.default_rng(5)
     texts = ["".join(r.choice(list("abc de"), 400)) for _ in range(5)]
