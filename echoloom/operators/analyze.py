@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..functions import prompts as P
 from ..functions.text import parse_structured
@@ -85,11 +89,134 @@ def pack_sizes(sizes: Column, room: Column) -> Column:
     return F.when((F.size(sizes) > 1) & (F.array_max(first) == 0), halves).otherwise(first)
 
 
-def pack_partials(df: DataFrame, by: str, size: str, order: str, budget: int, cpt: int = CPT) -> DataFrame:
-    """(by, order, group) by pack_sizes over the sizes of each corpus, whose number is that of its chunks."""
-    lists = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("_l"))
-    grouped = lists.withColumn("_g", pack_sizes(F.transform("_l", lambda x: x["s"]), F.lit(budget * cpt).cast("bigint")))
-    return grouped.select(by, F.explode(F.arrays_zip("_l", "_g")).alias("_z")).select(by, F.col("_z._l.o").alias(order), F.col("_z._g").alias("group"))
+#: Partials of one block of the running pass of pack_partials.
+BLOCK = 65_536
+
+
+def _starts(sizes: np.ndarray, ends: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums before each item (one more at the end), and for a group that starts at an item where the next one starts, at its corpus's end (ends) at the latest."""
+    n = len(sizes)
+    pre = np.concatenate([[0], np.cumsum(sizes)])
+    full = np.minimum.accumulate(np.where(sizes > 0, np.arange(n), n)[::-1])[::-1]  # a group without size takes an item of any size
+    return pre, np.minimum(ends, np.maximum(full + 1, np.searchsorted(pre, pre[:-1] + room, side="right") - 1))
+
+
+def _segments(keys) -> tuple[np.ndarray, np.ndarray]:
+    """First item and end of each run of equal keys."""
+    codes = pa.chunked_array([keys]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return first, np.append(first[1:], len(codes))
+
+
+def _whole(batches):
+    """The rows of a partition as one batch, or None."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else None
+
+
+def _break_of(used: int, pre, room: int) -> int:
+    """The first item that doesn't fit into a group of this size."""
+    return max(0, int(np.searchsorted(pre, room - used, side="right")) - 1)
+
+
+def _block_tables(room: int, schema: pa.Schema):
+    """For the first and the last corpus of a block, which may go on in other blocks: what the block makes of each state that it may be entered with."""
+
+    def run(batches):
+        b = _whole(batches)
+        if b is None:
+            return
+        first, end = _segments(b.column(0))
+        for k in sorted({0, len(first) - 1}):
+            at, n = int(first[k]), int(end[k] - first[k])
+            sizes = b.column(2).to_numpy()[at : at + n]
+            pre, nxt = _starts(sizes, np.full(n, n), room)
+            used, made, nxt = [0] * n, [1] * n, nxt.tolist()
+            for i in range(n - 1, -1, -1):
+                if nxt[i] < n:
+                    used[i], made[i] = used[nxt[i]], made[nxt[i]] + 1
+                else:
+                    used[i] = int(pre[n] - pre[i])
+            most = min(n, int(np.searchsorted(pre, room)) + 1)  # later items cannot be the first to break
+            row = [b.column(0).slice(at, 1), *([x] for x in (b.column(3)[at].as_py(), n, int(pre[n]), pre[: most + 1].tolist(), used[:most], made[:most]))]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _carried(room: int, schema: pa.Schema):
+    """Over the blocks of one corpus in order: the state that each is entered with, and the corpus's size and last group."""
+
+    def run(table):
+        table = table.sort_by("_p")
+        used = group = seen = 0
+        out = []
+        for r in table.select(["_p", "n", "total", "pre", "used", "made"]).to_pylist():
+            out.append([r["_p"], used, group, seen])
+            seen += r["n"]
+            k = 0 if used == 0 else _break_of(used, r["pre"], room)
+            if used and k >= r["n"]:
+                used += r["total"]
+            else:
+                used, group = r["used"][k], group + r["made"][k] - (used == 0)
+        cols = [pa.array([x[k] for x in out], schema.field(k + 1).type) for k in range(4)]
+        return pa.Table.from_arrays([table.column(0), *cols, pa.array([seen] * len(out), pa.int64()), pa.array([group] * len(out), pa.int64())], schema=schema)
+
+    return run
+
+
+def _numbered(room: int, schema: pa.Schema):
+    """Numbers the groups of a block, whose rows hold the state in the columns from 4 where their corpus may go on elsewhere."""
+
+    def run(batches):
+        b = _whole(batches)
+        if b is None:
+            return
+        n = b.num_rows
+        first, end = _segments(b.column(0))
+        length = end - first
+        sizes = b.column(2).to_numpy()
+        used, base, seen, whole, last = (b.column(k).fill_null(-1).to_numpy()[first] for k in range(4, 9))
+        inside = whole < 0
+        used, base, seen = (np.where(inside, 0, x) for x in (used, base, seen))
+        pre, nxt = _starts(sizes, np.repeat(end, length), room)
+        nxt = nxt.tolist()
+        # Only the first corpus of a block is entered with a size.
+        at = min(int(end[0]), _break_of(int(used[0]), pre, room)) if used[0] else 0
+        starts = np.zeros(n, dtype=np.int64)
+        while at < n:
+            starts[at] = 1
+            at = nxt[at]
+        made = np.cumsum(starts)
+        group = made - np.repeat(made[first] - starts[first] - base + (used == 0), length)
+        whole, last = np.where(inside, length, whole), np.where(inside, group[end - 1], last)
+        rank = np.arange(n) - np.repeat(first - seen, length)
+        one, whole = np.repeat((last == 0) & (whole > 1), length), np.repeat(whole, length)
+        group = np.where(one, (rank >= whole // 2).astype(np.int64), group)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(group.astype(np.int32))], schema=schema)
+
+    return run
+
+
+def pack_partials(df: DataFrame, by: str, size: str, order: str, budget: int, cpt: int = CPT, block: int = BLOCK) -> DataFrame:
+    """(by, order, group) by the rules of pack_sizes over the partials of each corpus.
+
+    Partials are dealt by (by, order) into blocks; a block says what it makes of any state that it may be entered with, a pass over
+    the blocks of a corpus carries the state over, and each block numbers its groups. No row or task holds a corpus.
+    """
+    room = budget * cpt
+    rows = df.select(by, order, F.col(size).cast("bigint").alias("_s"))
+    n = max(1, -(-rows.count() // block))
+    rows = checkpointed(rows.repartitionByRange(n, by, order, "_s").sortWithinPartitions(by, order, "_s").withColumn("_p", F.spark_partition_id()))
+    kind = {f.name: f for f in rows.schema.fields}
+    state = StructType([kind[by]]).add("_p", "integer").add("n", "long").add("total", "long").add("pre", ArrayType(LongType())).add("used", ArrayType(LongType())).add("made", ArrayType(LongType()))
+    entry = StructType([kind[by]]).add("_p", "integer").add("_used", "long").add("_base", "long").add("_seen", "long").add("_n", "long").add("_last", "long")
+    out = StructType([kind[by], kind[order]]).add("group", "integer")
+    tables = rows.mapInArrow(_block_tables(room, to_arrow_schema(state)), state)
+    entries = tables.groupBy(by).applyInArrow(_carried(room, to_arrow_schema(entry)), entry).withColumnsRenamed({by: "_k", "_p": "_q"})
+    # Two rows a block.
+    entered = rows.join(F.broadcast(entries), rows[by].eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")), "left")
+    return entered.select(by, order, "_s", "_p", "_used", "_base", "_seen", "_n", "_last").mapInArrow(_numbered(room, to_arrow_schema(out)), out)
 
 
 def tree_reduce(partials: DataFrame, requests: DataFrame, fn: Complete, grids: DataFrame | None = None, by: str = "corpus_id", budget: int = 100_000, cpt: int = CPT) -> DataFrame:
@@ -98,32 +225,32 @@ def tree_reduce(partials: DataFrame, requests: DataFrame, fn: Complete, grids: D
     In each round all corpora take part: one whose partials fit in a message (or that has one alone) is answered with its grid of
     trends; the others' partials are packed into groups and each group is joined. Where every group is a single partial
     joining would not shrink anything, so one message is tried all the same. A failed group is left out; a corpus
-    whose groups all fail, or whose last call fails, is an error row.
+    whose groups all fail, or whose last call fails, is an error row. partials is read several times.
     """
     asked = requests.select(by, "prompt", "language")
-    now = checkpointed(partials.where("partial is not null").select(by, "ord", "partial"))
+    now = partials.where("partial is not null").select(by, "ord", "partial")
     done, rounds = None, 0
     lost = requests.select(by).join(now, by, "left_anti").select(by, F.lit("error").alias("status"), F.lit("AnalysisError").alias("error_class"), F.lit(0).alias("rounds"))
     while not now.isEmpty():
         rounds += 1
-        sized = now.withColumn("size", F.length(F.col("partial")) + PARTIAL_OVERHEAD)
-        groups = pack_partials(sized, by, "size", "ord", budget, cpt)
-        plan = checkpointed(sized.join(groups, [by, "ord"]))
+        # Only sizes are packed and kept; texts go once to their place and once to their message.
+        sized = checkpointed(now.select(by, "ord", (F.length(F.col("partial")) + PARTIAL_OVERHEAD).alias("size")))
+        plan = checkpointed(sized.join(pack_partials(sized, by, "size", "ord", budget, cpt), [by, "ord"]))
         per = plan.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.count_distinct("group").alias("k"))
         last = per.select(by, ((F.col("n") <= 1) | (F.col("total") <= budget * cpt) | (F.col("k") == F.col("n"))).alias("last"))
-        plan = plan.join(last, by).withColumn("group", F.when(F.col("last"), F.lit(0)).otherwise(F.col("group")))
-        lists = plan.groupBy(by, "group", "last").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "partial"))), lambda x: x["partial"]).alias("parts")).join(asked, by)
+        plan = plan.join(last, by).select(by, "ord", "last", F.when(F.col("last"), F.lit(0)).otherwise(F.col("group")).alias("group"))
+        lists = now.join(plan, [by, "ord"]).groupBy(by, "group", "last").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "partial"))), lambda x: x["partial"]).alias("parts")).join(asked, by)
         if grids is not None:
             lists = lists.join(grids.select(by, "grid"), by, "left").withColumn("grid", F.when(F.col("last"), F.col("grid")))
         message = P.reduce_message(F.col("prompt"), F.col("parts"), F.col("grid") if grids is not None else None)
         lists = lists.withColumns({"system": P.system_message("reduce", F.col("language")), "user": message}).select(by, "group", "last", "system", "user")
-        got = checkpointed(complete(lists, fn, max_tokens=10**9))
+        got = checkpointed(complete(lists, fn, max_tokens=10**9).select(by, "group", "last", "completion"))
         end = got.where("last").select(by, F.when(F.col("completion.status") == "ok", F.col("completion.content")).alias("analysis"), F.col("completion.status").alias("status"), F.col("completion.error_class").alias("error_class"), F.lit(rounds).alias("rounds"))
         done = end if done is None else done.unionByName(end)
         left = got.where("not last and completion.status = 'ok'").select(by, F.col("group").alias("ord"), F.col("completion.content").alias("partial"))
         gone = got.where("not last").select(by).distinct().join(left, by, "left_anti").select(by, F.lit("error").alias("status"), F.lit("AnalysisError").alias("error_class"), F.lit(rounds).alias("rounds"))
         lost = lost.unionByName(gone)
-        now = checkpointed(left)
+        now = left
     lost = lost.withColumn("analysis", F.lit(None).cast("string"))
     return lost.select(by, "analysis", "status", "error_class", "rounds") if done is None else done.unionByName(lost)
 

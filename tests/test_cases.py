@@ -154,6 +154,32 @@ def test_packs(spark):
     assert pack([10, 10, 10], 100) == [0, 1, 1] and pack([500], 100) == [0]
 
 
+def test_packs_over_blocks(spark):
+    """The running pass over blocks numbers groups as the fold over one array does."""
+    import random
+
+    r = random.Random(4)
+    kinds = {"a": lambda: r.randint(1, 60), "b": lambda: r.choice([0, 0, 5, 150]), "c": lambda: 1, "d": lambda: 200, None: lambda: r.randint(0, 30)}
+    rows = [(c, k, f()) for c, f in kinds.items() for k in range(90)] + [("e", 0, 500), ("f", 0, 1), ("f", 1, 2), ("g", 0, 0), *[("h", k, 1) for k in range(30)]]
+    df = spark.createDataFrame(rows, "c string, o long, s long")
+    lists = df.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "s"))), lambda x: x["s"]).alias("l"))
+    want = {x.c: x.g for x in lists.select("c", A.pack_sizes(F.col("l"), F.lit(100).cast("bigint")).alias("g")).collect()}
+    for block in (7, 40, 10**6):
+        got = {}
+        for x in sorted(A.pack_partials(df, "c", "s", "o", 25, block=block).collect(), key=lambda x: x.o):
+            got.setdefault(x.c, []).append(x.group)
+        assert got == want
+
+
+def test_tree_takes_whole_texts(spark, monkeypatch):
+    """What stands after the third line of a text changes the answer."""
+    from echoloom.plans import analysis
+
+    records = spark.createDataFrame([("a", 1, "1\n2\n3\n4"), ("b", 1, "1\n2\n3\n5"), ("a", 2, "x"), ("b", 2, "x")], "corpus_id string, pos long, content string")
+    monkeypatch.setattr(analysis, "view", lambda *_: records)
+    assert len({r.analysis for r in analysis.g4_tree(spark, "").collect()}) == 2
+
+
 def test_tree_reduce(spark):
     req = spark.createDataFrame([("a", "q", None), ("b", "q", None), ("c", "q", None)], "corpus_id string, prompt string, language string")
     parts = spark.createDataFrame([("a", k, "p" * 300) for k in range(9)] + [("b", 0, "p")] + [("c", 0, None)], "corpus_id string, ord long, partial string")
