@@ -39,11 +39,26 @@ def record_envelope(content: Column, id: Column | None = None, metadata: dict[st
     return F.concat(*parts, F.lit("  </feedback_record>"))
 
 
-def records_envelope(df: DataFrame, by: list[str], order: str, block: str) -> DataFrame:
-    """The blocks of each group, in order, inside one tag. A group is what one message can hold, so it is bounded by the token limit."""
-    out = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b")))).alias("_l"), F.count("*").alias("n_records"))
-    text = F.concat(F.lit("<feedback_records>\n"), F.array_join(F.transform("_l", lambda x: x["b"]), "\n"), F.lit("\n</feedback_records>"))
-    return out.select(*by, "n_records", text.alias("records"))
+def records_envelope(df: DataFrame, by: list[str], order: str, block: str, max_chars: int | None = None) -> DataFrame:
+    """The blocks of each group, in order, inside one tag: by, n_records, records.
+
+    With max_chars there is too_large too: lengths are summed first, and a group over it has no records, its blocks are not gathered.
+    Without it a group must be one that a message can hold.
+    """
+    head, tail = "<feedback_records>\n", "\n</feedback_records>"
+    fit = df
+    if max_chars is not None:
+        total = F.sum(F.length(block).cast("bigint")) + F.count("*") - 1 + len(head) + len(tail)
+        sums = df.groupBy(*by).agg(F.count("*").alias("n_records"), (total > max_chars).alias("too_large"))
+        same = lambda other: [df[c].eqNullSafe(other[f"_{c}"]) for c in by]
+        small = sums.where("not too_large").select(*[F.col(c).alias(f"_{c}") for c in by])
+        fit = df.join(small, same(small), "left_semi")
+    out = fit.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b")))).alias("_l"), F.count("*").alias("n_records"))
+    text = F.concat(F.lit(head), F.array_join(F.transform("_l", lambda x: x["b"]), "\n"), F.lit(tail))
+    out = out.select(*by, "n_records", text.alias("records"))
+    if max_chars is None:
+        return out
+    return out.withColumn("too_large", F.lit(False)).unionByName(sums.where("too_large").select(*by, "n_records", F.lit(None).cast("string").alias("records"), "too_large"))
 
 
 def instruction(prompt: Column) -> Column:

@@ -13,12 +13,14 @@ from ..functions import prompts as P
 from ..functions.text import parse_structured
 from ..session import checkpointed
 from . import chunking, pii, trends
-from .complete import Complete, complete
+from .complete import MAX_TOKENS, Complete, complete
 from .validate import DISCLAIMER
 
 JUDGE = "struct<quality_score:double,uncertainty_explanation:string>"
 NO_JUDGE = "There is no score, as the judge gave no usable answer."
 CPT = 4
+#: Records of more characters are over the token limit whatever stands round them.
+MAX_CHARS = (MAX_TOKENS + 1) * CPT - 1
 #: Characters round a partial in the message that joins partials, apart from its own text.
 PARTIAL_OVERHEAD = len("  <partial_analysis></partial_analysis>\n")
 RETAIN = ("PERSON",)
@@ -48,13 +50,14 @@ def record_blocks(records: DataFrame) -> DataFrame:
 def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Complete, by: str = "corpus_id", retain: tuple[str, ...] = RETAIN, period: str | None = None) -> DataFrame:
     """One row per request (by, prompt, language): analysis, quality_score, explanation, record_count, status, error_class, trends.
 
-    One message holds all records of a corpus, so a corpus over the token limit is an error row. Records are redacted first,
+    One message holds all records of a corpus, so a corpus over the token limit is an error row, made from the
+    lengths of its records alone. Records are redacted first,
     placeholders of types not in retain are turned back at the end, and the disclaimer comes first.
     """
     clean, mapping = pii.pseudonymise_records(records, by)
-    batch = P.records_envelope(record_blocks(clean), [by], "pos", "block")
+    batch = P.records_envelope(record_blocks(clean), [by], "pos", "block", MAX_CHARS)
     asked = requests.join(batch, by).withColumns({"system": P.system_message("analyze", F.col("language")), "user": P.analyze_message(F.col("prompt"), F.col("records"))})
-    got = checkpointed(complete(asked, fn))
+    got = checkpointed(complete(asked, fn, too_large="too_large"))
     got = got.withColumn("analysis", F.when(F.col("completion.status") == "ok", F.col("completion.content")))
     scored = checkpointed(judged(got, judge, "records", "prompt", "analysis"))
     back = pii.with_disclaimer(pii.restore(scored, mapping, by, "analysis", retain), "analysis")
@@ -297,8 +300,8 @@ def analyze_hierarchical(records: DataFrame, requests: DataFrame, labels: DataFr
 SUMMARY = "struct<title:string,summary:string,quality_score:double>"
 
 
-def _summaries(asked: DataFrame, fn: Complete, keep: list[str]) -> DataFrame:
-    got = checkpointed(complete(asked, fn)).withColumn("_raw", F.col("completion.content"))
+def _summaries(asked: DataFrame, fn: Complete, keep: list[str], **opts) -> DataFrame:
+    got = checkpointed(complete(asked, fn, **opts)).withColumn("_raw", F.col("completion.content"))
     rules = {"score_range": F.coalesce(~F.col("parsed.quality_score").between(0, 1), F.lit(True)), "no_title": F.coalesce(F.col("parsed.title"), F.lit("")) == ""}
     got = parse_structured(got, "_raw", SUMMARY, rules)
     return got.select(*keep, "parsed.title", "parsed.summary", "parsed.quality_score", F.coalesce("completion.error_class", F.when(F.col("parsed_error").isNotNull(), "LLMResponseError")).alias("error_class"))
@@ -314,10 +317,10 @@ def summarize(records: DataFrame, fn: Complete, language: Column | None = None)
 
 def summarize_bulk(records: DataFrame, fn: Complete, by: str = "corpus_id", language: Column | None = None) -> DataFrame:
     """One row per corpus: ids in input order, title, summary, quality_score, error_class."""
-    batch = P.records_envelope(record_blocks(records), [by], "pos", "block")
+    batch = P.records_envelope(record_blocks(records), [by], "pos", "block", MAX_CHARS)
     ids = records.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     asked = batch.withColumns({"system": P.system_message("aggregate", language), "user": F.col("records")})
-    return _summaries(asked.select(by, "system", "user"), fn, [by]).join(ids, by)
+    return _summaries(asked.select(by, "system", "user", "too_large"), fn, [by], too_large="too_large").join(ids, by)
 
 
 # The kinds of sensitive content.

@@ -187,6 +187,26 @@ def test_tree_reduce(spark):
     assert got["a"].status == "ok" and got["a"].rounds > 1 and got["b"].rounds == 1 and got["c"].status == "error"
 
 
+def test_large_corpora_are_not_gathered(spark):
+    """A corpus over the limit gets an error row from its lengths alone; the others are answered as before."""
+    rows = [(f"{c}{k}", c, k, t) for c, n, t in (("big", 5, "word " * 20_000), ("small", 3, "a & b")) for k in range(n)]
+    df = spark.createDataFrame(rows, "id string, corpus_id string, pos long, content string")
+    blocks = A.record_blocks(df)
+    got = {r.corpus_id: r for r in P.records_envelope(blocks, ["corpus_id"], "pos", "block", A.MAX_CHARS).collect()}
+    whole = {r.corpus_id: r for r in P.records_envelope(blocks, ["corpus_id"], "pos", "block").collect()}
+    assert got["big"].records is None and got["big"].too_large and got["big"].n_records == 5
+    assert got["small"].records == whole["small"].records and not got["small"].too_large
+    for c in ("big", "small"):  # the sum is the length that the text would have
+        n = len(whole[c].records)
+        assert {r.too_large for m in (n, n - 1) for r in P.records_envelope(blocks.where(F.col("corpus_id") == c), ["corpus_id"], "pos", "block", m).collect()} == {False, True}
+    sums = {r.corpus_id: r for r in A.summarize_bulk(df, K.stub_complete("summary")).collect()}
+    assert sums["big"].error_class == K.TOO_LARGE and sums["big"].title is None and len(sums["big"].ids) == 5 and sums["small"].error_class is None
+    req = spark.createDataFrame([("big", "q", None), ("small", "q", None)], "corpus_id string, prompt string, language string")
+    records = df.withColumns({"created": F.lit("2024-01-01"), "coding_level_1": F.lit("Water")})
+    out = {r.corpus_id: r for r in A.analyze(records, req, K.stub_complete("text"), K.stub_complete("judge")).collect()}
+    assert (out["big"].error_class, out["big"].record_count, out["small"].status) == (K.TOO_LARGE, 5, "ok")
+
+
 def test_codes(spark):
     nodes = spark.createDataFrame([("1", None, "One", 0), ("2", None, "Two", 1), ("1a", "1", "A", 0), ("1b", "1", "B", 1)], "node_id string, parent_id string, name string, position int")
     recs = spark.createDataFrame([("r", "text"), ("e", "")], "id string, content string")
