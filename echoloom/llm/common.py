@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of words everywhere in this package.
@@ -58,16 +58,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: More rows of one key than this are dealt to several tasks, and so many keys at most are listed as such.
+HOT_ROWS = 1000
+HOT_KEYS = 100_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """(keys, _n): keys that very many rows of df share, and the parts to deal their rows to; HOT_KEYS rows at most."""
+    limit = max(HOT_ROWS, (df.count() if rows is None else rows) // HOT_KEYS)
+    return df.groupBy(*keys).agg(F.count("*").alias("_c")).where(F.col("_c") > limit).select(*keys, F.ceil(F.col("_c") / limit).cast("int").alias("_n"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, vary: Column, how: str = "inner") -> DataFrame:
+    """left joined to right (few rows for each key) on keys, null equal to null; the rows of keys in hot (hot_keys of left) go to
+    several tasks by vary, and what right holds of such a key goes to each of them. how: inner, left or left_semi."""
+    # hot has HOT_KEYS rows at most.
+    known = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n"))
+    marked = lambda df: df.join(known, [df[k].eqNullSafe(known[f"_hot_{k}"]) for k in keys], "left").drop(*[f"_hot_{k}" for k in keys])
+    parts = F.coalesce("_n", F.lit(1))
+    one = marked(left.withColumn("_vary", vary)).withColumn("_part", F.pmod(F.col("_vary"), parts).cast("int")).drop("_vary", "_n")
+    many = marked(right).withColumn("_to", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    many = many.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [one[k].eqNullSafe(many[f"_right_{k}"]) for k in keys] + [one["_part"] == many["_to"]]
+    return one.join(many, on, how).drop("_part", "_to", *[f"_right_{k}" for k in keys])
+
+
+def text_hash(col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{col}`"), F.lit("")))
+
+
 def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Rows of docs whose (id, hash of text and the columns in more) has kept = true in verdicts (id, _th, kept).
+    """Rows of docs whose (id, hash of text and the columns in more) has kept = true in verdicts (id, _th, kept; a row for each of docs).
 
-    The hash tells rows apart that share an id but not a text.
+    The hash tells rows apart that share an id but not a text. Columns of docs may have any name.
     """
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    th = text_hash(text_col)
     if more:
-        th = F.xxhash64(th, *[F.col(c).cast("string") for c in more])
-    good = verdicts.where("kept").select(F.col(id_col).cast("long").alias("_kid"), F.col("_th").alias("_kth")).distinct()
-    return docs.join(good, F.col(id_col).cast("long").eqNullSafe(F.col("_kid")) & (th == F.col("_kth")), "left_semi")
+        th = F.xxhash64(th, *[F.col(f"`{c}`").cast("string") for c in more])
+    whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("_k"), th.alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    said = verdicts.select(F.col(id_col).cast("long").alias("_k"), F.col("_th").alias("_h"), "kept")
+    good = said.where("kept").select("_k", "_h").distinct()
+    return spread_join(whole, good, ["_k", "_h"], hot_keys(said, ["_k", "_h"]), F.monotonically_increasing_id(), "left_semi").select("_row.*")
 
 
 # ---------------------------------------------------------------- vector hashing

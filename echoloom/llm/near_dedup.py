@@ -1,17 +1,17 @@
 """Near duplicates by MinHash with tensored banding.
 
-A document gets two small collections of half keys: LEFT of two minimum hashes each, RIGHT of three.
-Each pair of one of either makes the key of a table, so LEFT x RIGHT tables cost 2 LEFT + 3 RIGHT
+A document gets two small collections of half keys: LEFT and RIGHT of ROWS minimum hashes each.
+Each pair of one of either makes the key of a table, so LEFT x RIGHT tables cost ROWS (LEFT + RIGHT)
 minimum hashes. Two sets of similarity s meet in a table with probability
-(1 - (1 - s^2)^LEFT) (1 - (1 - s^3)^RIGHT): 0.998 at 0.8, more above.
+(1 - (1 - s^3)^LEFT) (1 - (1 - s^3)^RIGHT): 0.998 at 0.8, 0.057 at 0.3, 0.0001 at 0.1.
 
 Texts with equal sets are one class from the start. Table keys are range-partitioned and sorted with their
-classes; the classes of a key are tied to its first one, so a key of any size gives one row a class and
-may lie in several partitions. The ties make families: no two classes of different families share a
-table. First each class is compared with the few it is tied to most often. Then, inside a family
-that is not yet one component, all classes that share a table and are not yet connected are compared,
-in cells of bounded size: blocks of the rest against each other and against blocks of the largest
-component. No pairs are emitted but the links found, and all comparisons are on the full sets.
+classes, so a key of any size may lie in several partitions; the classes of a key are tied to its first one.
+Each class is compared with the few that it is tied to most often. Then each key whose classes are not yet
+one component is looked at on its own: its classes that are not connected are compared in cells of
+bounded size, blocks of the rest against each other and against blocks of the key's largest component. Keys with the
+same classes count once. Ties are never closed before a comparison has confirmed them, no pairs are
+emitted but the few with leaders and the links found, and all comparisons are on the full sets.
 """
 
 from __future__ import annotations
@@ -24,21 +24,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, mix, settle, span_hashes, table, word_spans
+from .common import hot_keys, keep_rows, mix, settle, span_hashes, spread_join, table, text_hash, word_spans
 from .graph import components
 
 WORDS = 5
 PERCENT = 80
-LEFT, RIGHT = 7, 10
+LEFT, RIGHT, ROWS = 10, 10, 3
 #: So many of the classes that a class is tied to are compared with it before the cells.
 LEADERS = 2
-#: Classes of a block.
-BLOCK = 1000
+#: Classes of a block, and sets that a cell holds at a time.
+BLOCK = 500
+HELD = 400
 #: Bytes of text that are hashed at a time.
 CHUNK = 2_000_000
 
 _RNG = np.random.default_rng(77)
-_HASHES = 2 * LEFT + 3 * RIGHT
+_HASHES = ROWS * (LEFT + RIGHT)
 _XOR = _RNG.integers(0, 2**63, _HASHES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,8 +79,11 @@ def half_keys(s: np.ndarray) -> np.ndarray:
     lows = np.full(_HASHES, np.uint64(2**64 - 1))
     for k in range(0, len(s), 4096):
         lows = np.minimum(lows, ((s[None, k : k + 4096] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1))
-    left, right = lows[: 2 * LEFT].reshape(LEFT, 2), lows[2 * LEFT :].reshape(RIGHT, 3)
-    return np.concatenate([mix(mix(left[:, 0]) + left[:, 1]), mix(mix(mix(right[:, 0]) + right[:, 1]) + right[:, 2])])
+    rows = lows.reshape(LEFT + RIGHT, ROWS)
+    out = rows[:, 0]
+    for k in range(1, ROWS):
+        out = mix(out) + rows[:, k]
+    return mix(out)
 
 
 def set_node(s: np.ndarray) -> int:
@@ -142,10 +146,9 @@ def _packed(words: int):
     def run(batches):
         for b in batches:
             texts = [t or b"" for t in b.column("_text").to_pylist()]
-            want, half = b.column("node").to_pylist(), b.column("half").to_pylist()
-            sets = shingle_sets(texts, words)
-            take = [k for k, s in enumerate(sets) if len(s) and set_node(s) == want[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([want[k] for k in take], pa.int64()), pa.array([len(sets[k]) for k in take], pa.int64()), pa.array([half[k] for k in take], pa.binary()), pa.array([zlib.compress(texts[k].lower(), 1) for k in take], pa.binary())], names=["node", "n", "half", "packed"])
+            want, half = b.column("node"), b.column("half")
+            sizes = b.column("n")
+            yield pa.RecordBatch.from_arrays([want, sizes, half, pa.array([zlib.compress(t.lower(), 1) for t in texts], pa.binary())], names=["node", "n", "half", "packed"])
 
     return run
 
@@ -171,34 +174,50 @@ def _confirm(words: int, percent: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that the full comparison confirms; where the sizes are too far apart none is needed."""
-    sizes = texts.select("node", "n")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
-    near = near.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b")
+    first = hot_keys(pairs, ["a"])
+    near = spread_join(pairs, texts.select(F.col("node").alias("a"), F.col("n").alias("_na")), ["a"], first, F.col("b")).join(texts.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
+    near = settle(near.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b"), "near")
     x, y = (texts.select(F.col("node").alias(c), F.col("packed").alias(p)) for c, p in (("a", "_x"), ("b", "_y")))
-    return near.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(_confirm(words, percent), "a long, b long, ok boolean").where("ok").select("a", "b")
+    both = spread_join(near.join(y, "b"), x, ["a"], hot_keys(near, ["a"]), F.col("b"))
+    return both.select("a", "b", "_x", "_y").mapInArrow(_confirm(words, percent), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
-def _link_cell(nodes, comps, large, halves, packed, words: int, percent: int) -> list[tuple[int, int]]:
+def _link_cell(nodes, comps, large, sizes, halves, packed, words: int, percent: int) -> list[tuple[int, int]]:
     """Links between classes of one cell that share a table and are not yet connected, one of each component's at most."""
-    sets = shingle_sets([zlib.decompress(t) for t in packed], words)
+    held: dict[int, np.ndarray] = {}
+
+    def full(k: int) -> np.ndarray:
+        if k not in held:
+            while len(held) >= HELD:
+                del held[next(iter(held))]
+            held[k] = shingle_sets([zlib.decompress(packed[k])], words)[0]
+        return held[k]
+
     half = np.frombuffer(b"".join(halves), dtype=np.uint64).reshape(-1, LEFT + RIGHT)
-    names, label = np.unique(np.array(comps, dtype=np.int64), return_inverse=True)
-    large, out = np.array(large, dtype=bool), []
+    _, label = np.unique(np.array(comps, dtype=np.int64), return_inverse=True)
+    large, n, out = np.array(large, dtype=bool), np.array(sizes), []
     for i in np.flatnonzero(~large).tolist():
-        same = half == half[i]
-        near = same[:, :LEFT].any(axis=1) & same[:, LEFT:].any(axis=1) & (label != label[i]) & ((np.arange(len(label)) < i) | large)
+        fits = (label != label[i]) & ((np.arange(len(label)) < i) | large) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        order = np.flatnonzero(fits)
+        if not len(order):
+            continue
+        same = half[order] == half[i]
+        near = same[:, :LEFT].any(axis=1) & same[:, LEFT:].any(axis=1)
         # The most alike first: a link to one class of a component makes the others needless.
-        order = np.flatnonzero(near)
-        for j in order[np.argsort(-same[order].sum(axis=1), kind="stable")].tolist():
-            if label[j] != label[i] and _similar(sets[i], sets[j], percent):
+        alike, order = same[near].sum(axis=1), order[near]
+        for j in order[np.argsort(-alike, kind="stable")].tolist():
+            if label[j] != label[i] and _similar(full(i), full(j), percent):
                 out.append((nodes[i], nodes[j]))
                 label[label == label[j]] = label[i]
     return out
 
 
+_CELL = ("node", "comp", "large", "n", "half", "packed")
+
+
 def _link_cells(words: int, percent: int):
     def run(batches):
-        cell, held = None, [[], [], [], [], []]
+        cell, held = None, [[] for _ in _CELL]
 
         def links():
             out = _link_cell(*held, words, percent)
@@ -206,12 +225,12 @@ def _link_cells(words: int, percent: int):
 
         for b in batches:
             cells = b.column("cell").to_pylist()
-            cols = [b.column(c).to_pylist() for c in ("node", "comp", "large", "half", "packed")]
+            cols = [b.column(c).to_pylist() for c in _CELL]
             for k, c in enumerate(cells):
                 if c != cell:
                     if held[0]:
                         yield links()
-                    cell, held = c, [[], [], [], [], []]
+                    cell, held = c, [[] for _ in _CELL]
                 for h, col in zip(held, cols, strict=True):
                     h.append(col[k])
         if held[0]:
@@ -220,70 +239,89 @@ def _link_cells(words: int, percent: int):
     return run
 
 
-def _cells(families: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(cell, node, comp, large): each family that is not one component, in cells of 2 BLOCK classes at most, about.
+def _open_members(members: DataFrame, comps: DataFrame, compared: DataFrame) -> DataFrame:
+    """(key, node, comp) of the keys (one for each set of classes) whose classes are not one component, but for pairs that were compared."""
+    placed = settle(members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    marks = [F.sum(F.xxhash64("node", F.lit(k)) % (1 << 31)).alias(f"_s{k}") for k in (1, 2)]
+    keys = placed.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("node").alias("a"), F.max("node").alias("b"), *marks).where("_lo <> _hi")
+    keys = keys.groupBy("_c", "a", "b", "_s1", "_s2").agg(F.min("key").alias("key"))
+    done = compared.select("a", "b").withColumn("_c", F.lit(2).cast("long"))
+    keys = settle(keys.join(done, ["a", "b", "_c"], "left_anti").select("key"), "open")
+    return spread_join(placed, keys, ["key"], hot_keys(placed, ["key"]), F.xxhash64("node"), "left_semi")
 
-    A family of up to BLOCK classes is one cell. Of a larger one the largest component is compared with the rest only.
+
+def _cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(cell, node, comp, large): the classes of each key in cells of 2 block classes at most, about.
+
+    A key of up to block classes is one cell. Of a larger one the largest component is compared with the rest only.
     """
-    placed = families.select("node", F.col("comp").alias("fam"))
-    if comps is not None:
-        placed = placed.join(comps, "node", "left")
-    placed = placed.select("node", "fam", (F.coalesce("comp", "node") if comps is not None else F.col("node")).alias("comp"))
-    sizes = placed.groupBy("fam", "comp").agg(F.count("*").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("k"))
-    open_ = sizes.where("k > 1").select("fam", F.col("top.comp").alias("_top"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("nr"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("ng"), (F.col("n") <= BLOCK).alias("one"))
-    p = placed.join(open_, "fam").withColumn("large", F.col("comp") == F.col("_top"))
-    block = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("ng")).otherwise(F.col("nr"))).cast("int")
-    p = p.withColumn("blk", block)
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
+    sizes = sizes.select("key", F.col("top.comp").alias("_top"), F.ceil((F.col("n") - F.col("top.c")) / block).cast("int").alias("nr"), F.ceil(F.col("top.c") / block).cast("int").alias("ng"), (F.col("n") <= block).alias("one"))
+    p = spread_join(members, sizes, ["key"], hot_keys(members, ["key"]), F.xxhash64("node")).withColumn("large", F.col("comp") == F.col("_top"))
+    p = p.withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("ng")).otherwise(F.col("nr"))).cast("int"))
     to = lambda n: F.sequence(F.lit(0), n - 1)
     rest = F.concat(F.transform(to(F.col("nr")), lambda j: F.struct(F.lit(0).alias("t"), F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j"))), F.transform(to(F.col("ng")), lambda j: F.struct(F.lit(1).alias("t"), F.col("blk").alias("i"), j.alias("j"))))
     top = F.transform(to(F.col("nr")), lambda i: F.struct(F.lit(1).alias("t"), i.alias("i"), F.col("blk").alias("j")))
     alone = F.array(F.struct(F.lit(2).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     where = F.when(F.col("one"), alone).when(F.col("large"), top).otherwise(rest)
-    return p.select("node", "comp", "large", "fam", F.explode(where).alias("w")).select("node", "comp", "large", F.xxhash64("fam", "w.t", "w.i", "w.j").alias("cell"))
+    return p.select("node", "comp", "large", "key", F.explode(where).alias("w")).select("node", "comp", "large", F.xxhash64("key", "w.t", "w.i", "w.j").alias("cell"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, text_hash: bool = False) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, with_hash: bool = False) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept (id = component_id).
 
-    A text's set is its distinct n-grams of words, A-Z lower-cased; texts without words have an empty set and are linked
-    with nothing. component_id is the smallest id that can be reached. Rows with equal sets are always linked, repeated rows
+    A text's set is its distinct n-grams of words, A-Z lower-cased; texts without words (null, empty) have an empty set and are
+    linked with nothing. component_id is the smallest id that can be reached. Rows with equal sets are always linked, repeated rows
     too (they are all kept, or none). A null id is larger than any other: such a row's component_id is the smallest id of its
-    component, null if it has none, and kept is false unless null. An empty table gives an empty result.
+    component, null if it has none, and kept is false unless null. Very long texts are compared whole. Other columns of any name are ignored. An empty
+    table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col).cast("binary").alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text_hash(text_col).alias("_th"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
     signed = settle(rows.mapInArrow(_signed(words), "_id long, _th long, n long, node long, half binary"), "signed")
-    classes = signed.where("node is not null").groupBy("node").agg(F.min("_id").alias("_rep"), F.first("half").alias("half"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")).alias("_rep")
+    classes = settle(signed.where("node is not null").groupBy("node").agg(first, F.first("n").alias("n"), F.first("half").alias("half")), "classes")
     keys = classes.select("node", "half").mapInArrow(_table_keys, "key long, node long")
     keys = keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     tied = settle(keys.mapInArrow(_tie, "kind int, key long, a long, b long"), "tied")
     # A key that goes on in the next partition: two rows for each partition at most.
-    ends = tied.where("kind > 0").groupBy("key").agg(F.min("a").alias("_a"), F.collect_set("a").alias("_all")).where(F.size("_all") > 1).select(F.col("_a").alias("a"), F.explode("_all").alias("b")).where("a <> b")
-    ties = settle(tied.where("kind = 0").select("a", "b").unionByName(ends).groupBy("a", "b").agg(F.count("*").alias("t")), "ties")
-    families = components(ties)
+    ends = tied.where("kind > 0").groupBy("key").agg(F.min("a").alias("a"), F.collect_set("a").alias("_all")).where(F.size("_all") > 1).select("key", "a", F.explode("_all").alias("b")).where("a <> b")
+    tied = tied.where("kind = 0").select("key", "a", "b").unionByName(ends)
+    ties = settle(tied.groupBy("a", "b").agg(F.count("*").alias("t")), "ties")
+    members = tied.select("key", F.col("b").alias("node")).unionByName(tied.select("key", F.col("a").alias("node"))).distinct()
 
-    need = families.select("node").join(classes.select("node", "_rep", "half"), "node")
-    texts = settle(rows.join(need, rows["_id"].eqNullSafe(need["_rep"])).select("node", "half", "_text").mapInArrow(_packed(words), "node long, n long, half binary, packed binary").dropDuplicates(["node"]), "texts")
+    # A row for each class that shares a table: of rows that have the representative's id and text one is enough.
+    need = ties.select(F.col("a").alias("node")).unionByName(ties.select(F.col("b").alias("node"))).distinct().join(classes, "node").select("node", "n", "half", F.col("_rep._id").alias("_id"), F.col("_rep._th").alias("_th"))
+    texts = spread_join(rows, need, ["_id", "_th"], hot_keys(signed, ["_id", "_th"]), F.monotonically_increasing_id())
+    texts = settle(texts.select("node", "n", "half", "_text").mapInArrow(_packed(words), "node long, n long, half binary, packed binary").dropDuplicates(["node"]), "texts")
 
     # Each class with the LEADERS it is tied to most often; a class has at most one row a table here.
     best = ties.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("t", "a")), asc=False), 1, LEADERS).alias("_l"))
-    links = settle(_verified(best.select("b", F.explode("_l.a").alias("a")).select("a", "b"), texts, words, percent), "links")
+    compared = settle(best.select("b", F.explode("_l.a").alias("a")).select("a", "b"), "compared")
+    links = settle(_verified(compared, texts, words, percent), "links")
     comps = components(links)
-    cells = settle(_cells(families, comps), "cells").join(texts.select("node", "half", "packed"), "node")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "comp", "large", "half", "packed")
-    more = settle(cells.mapInArrow(_link_cells(words, percent), "a long, b long"), "links")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
-
-    placed = signed.select("_id", "_th", "n", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("_id").alias("_least")).withColumnRenamed("comp", "_comp")
-    out = placed.join(least, placed["comp"] == least["_comp"], "left")
-    component = F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("_least"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), *(["_th"] if text_hash else []))
+    open_ = settle(_open_members(members, comps, compared), "open-members")
+    if not open_.isEmpty():
+        cells = settle(_cells(open_), "cells").join(texts, "node")
+        cells = cells.repartition("cell").sortWithinPartitions("cell", "node").select("cell", *_CELL)
+        more = settle(cells.mapInArrow(_link_cells(words, percent), "a long, b long"), "links")
+        if not more.isEmpty():
+            comps = components(links.unionByName(more))
+
+    named = settle(classes.select("node", F.col("_rep._id").alias("_rep")).join(comps, "node", "left").select("node", "_rep", F.coalesce("comp", "node").alias("comp")), "named")
+    least = named.groupBy("comp").agg(F.min("_rep").alias("_least"))
+    least = settle(spread_join(named, least, ["comp"], hot_keys(named, ["comp"]), F.xxhash64("node")).select("node", "_least"), "least")
+    marked = signed.select("_id", "_th", "n", "node")
+    out = spread_join(marked, least, ["node"], hot_keys(marked, ["node"]), F.monotonically_increasing_id(), "left")
+    component = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("_least"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), *(["_th"] if with_hash else []))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: those whose id is the smallest of their component."""
-    verdicts = near_groups(docs, id_col, text_col, words, percent, text_hash=True)
+    """The rows of docs that stay, with all their columns: those whose id is the smallest of their component.
+
+    Null ids, empty and long texts, repeated rows and empty tables as in near_groups; the columns of docs may have any name.
+    """
+    verdicts = near_groups(docs, id_col, text_col, words, percent, with_hash=True)
     return keep_rows(docs, verdicts, id_col, text_col)
 
 
