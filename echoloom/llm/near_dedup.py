@@ -9,8 +9,8 @@ Texts with equal sets are one class from the start. Table keys are range-partiti
 classes, so a key of any size may lie in several partitions; the classes of a key are tied to its first one.
 Each class is compared with the few that it is tied to most often. Then each key whose classes are not yet
 one component is looked at on its own: its classes that are not connected are compared in cells of
-bounded size, blocks of the rest against each other and against blocks of the key's largest component. Keys with the
-same classes count once. Ties are never closed before a comparison has confirmed them, no pairs are
+bounded size, blocks of the rest against each other and against blocks of the key's largest component. A pair
+that shares several keys is compared at the first of its tables. Ties are never closed before a comparison has confirmed them, no pairs are
 emitted but the few with leaders and the links found, and all comparisons are on the full sets.
 """
 
@@ -35,6 +35,8 @@ LEADERS = 2
 #: Classes of a block, and sets that a cell holds at a time.
 BLOCK = 500
 HELD = 400
+#: A cell whose sets have fewer members in all holds them all.
+SETS = 4_000_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 2_000_000
 
@@ -174,17 +176,57 @@ def _confirm(words: int, percent: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that the full comparison confirms; where the sizes are too far apart none is needed."""
-    first = hot_keys(pairs, ["a"])
-    near = spread_join(pairs, texts.select(F.col("node").alias("a"), F.col("n").alias("_na")), ["a"], first, F.col("b")).join(texts.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
-    near = settle(near.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b"), "near")
-    x, y = (texts.select(F.col("node").alias(c), F.col("packed").alias(p)) for c, p in (("a", "_x"), ("b", "_y")))
-    both = spread_join(near.join(y, "b"), x, ["a"], hot_keys(near, ["a"]), F.col("b"))
+    x, y = (texts.select(F.col("node").alias(c), F.col("n").alias(n), F.col("packed").alias(p)) for c, n, p in (("a", "_na", "_x"), ("b", "_nb", "_y")))
+    both = spread_join(pairs.join(y, "b"), x, ["a"], hot_keys(pairs, ["a"]), F.col("b")).where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
     return both.select("a", "b", "_x", "_y").mapInArrow(_confirm(words, percent), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
-def _link_cell(nodes, comps, large, sizes, halves, packed, words: int, percent: int) -> list[tuple[int, int]]:
-    """Links between classes of one cell that share a table and are not yet connected, one of each component's at most."""
+def _partners(i: int, cell: dict, label: np.ndarray, at: tuple[int, int], percent: int) -> np.ndarray:
+    """Classes of a cell that class i is to be compared with here, the most alike first.
+
+    A pair that shares several tables is compared in the first of them alone.
+    """
+    n, half = cell["n"], cell["half"]
+    order = np.flatnonzero((label != label[i]) & ((np.arange(len(label)) < i) | cell["large"]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+    if not len(order):
+        return order
+    same = half[order] == half[i]
+    here = (same[:, :LEFT].argmax(axis=1) == at[0]) & (same[:, LEFT:].argmax(axis=1) == at[1])
+    return order[here][np.argsort(-same[here].sum(axis=1), kind="stable")]
+
+
+def _table_of(key: int, half: np.ndarray) -> tuple[int, int]:
+    """The table that a class with these half keys has this key in."""
+    keys = mix(half[:LEFT, None] * _ROT + half[None, LEFT:] + _TABLE)
+    left, right = np.argwhere(keys.view(np.int64) == key)[0]
+    return int(left), int(right)
+
+
+def _read_cell(rows: dict[str, list]) -> tuple[dict, np.ndarray, tuple[int, int]]:
+    half = np.frombuffer(b"".join(rows["half"]), dtype=np.uint64).reshape(-1, LEFT + RIGHT)
+    _, label = np.unique(np.array(rows["comp"], dtype=np.int64), return_inverse=True)
+    return {"half": half, "large": np.array(rows["large"], dtype=bool), "n": np.array(rows["n"])}, label, _table_of(rows["key"][0], half[0])
+
+
+def _met(rows: dict[str, list], percent: int) -> np.ndarray:
+    """Marks the classes of a cell that are to be compared with any other there."""
+    cell, label, at = _read_cell(rows)
+    out = np.zeros(len(label), dtype=bool)
+    for i in np.flatnonzero(~cell["large"]).tolist():
+        found = _partners(i, cell, label, at, percent)
+        if len(found):
+            out[i] = True
+            out[found] = True
+    return out
+
+
+def _link_cell(rows: dict[str, list], words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between classes of one cell that are not yet connected, one of each component's at most."""
+    cell, label, at = _read_cell(rows)
     held: dict[int, np.ndarray] = {}
+    packed, nodes, out = rows["packed"], rows["node"], []
+    if cell["n"].sum() < SETS:
+        held.update(enumerate(shingle_sets([zlib.decompress(x) for x in packed], words)))
 
     def full(k: int) -> np.ndarray:
         if k not in held:
@@ -193,65 +235,67 @@ def _link_cell(nodes, comps, large, sizes, halves, packed, words: int, percent:
             held[k] = shingle_sets([zlib.decompress(packed[k])], words)[0]
         return held[k]
 
-    half = np.frombuffer(b"".join(halves), dtype=np.uint64).reshape(-1, LEFT + RIGHT)
-    _, label = np.unique(np.array(comps, dtype=np.int64), return_inverse=True)
-    large, n, out = np.array(large, dtype=bool), np.array(sizes), []
-    for i in np.flatnonzero(~large).tolist():
-        fits = (label != label[i]) & ((np.arange(len(label)) < i) | large) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        order = np.flatnonzero(fits)
-        if not len(order):
-            continue
-        same = half[order] == half[i]
-        near = same[:, :LEFT].any(axis=1) & same[:, LEFT:].any(axis=1)
+    for i in np.flatnonzero(~cell["large"]).tolist():
         # The most alike first: a link to one class of a component makes the others needless.
-        alike, order = same[near].sum(axis=1), order[near]
-        for j in order[np.argsort(-alike, kind="stable")].tolist():
+        for j in _partners(i, cell, label, at, percent).tolist():
             if label[j] != label[i] and _similar(full(i), full(j), percent):
                 out.append((nodes[i], nodes[j]))
                 label[label == label[j]] = label[i]
     return out
 
 
-_CELL = ("node", "comp", "large", "n", "half", "packed")
+def _by_cell(batches, columns: tuple[str, ...]):
+    """The rows of each cell of a sorted partition, as lists by column."""
+    cell, held = None, {c: [] for c in columns}
+    for b in batches:
+        cells = b.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)] if len(cells) else []
+        cols = {c: b.column(c).to_pylist() for c in columns}
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if cells[lo] != cell:
+                if held[columns[0]]:
+                    yield cell, held
+                cell, held = cells[lo], {c: [] for c in columns}
+            for c in columns:
+                held[c] += cols[c][lo:hi]
+    if held[columns[0]]:
+        yield cell, held
 
 
-def _link_cells(words: int, percent: int):
+_CELL = ("node", "comp", "large", "key", "n", "half")
+
+
+def _met_cells(percent: int):
     def run(batches):
-        cell, held = None, [[] for _ in _CELL]
+        for cell, rows in _by_cell(batches, _CELL):
+            k = np.flatnonzero(_met(rows, percent)).tolist()
+            if k:
+                cols = [pa.array([rows[c][x] for x in k], t) for c, t in (("node", pa.int64()), ("comp", pa.int64()), ("large", pa.bool_()), ("key", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(k), pa.int64()), *cols], names=["cell", "node", "comp", "large", "key"])
+
+    return run
 
-        def links():
-            out = _link_cell(*held, words, percent)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-        for b in batches:
-            cells = b.column("cell").to_pylist()
-            cols = [b.column(c).to_pylist() for c in _CELL]
-            for k, c in enumerate(cells):
-                if c != cell:
-                    if held[0]:
-                        yield links()
-                    cell, held = c, [[] for _ in _CELL]
-                for h, col in zip(held, cols, strict=True):
-                    h.append(col[k])
-        if held[0]:
-            yield links()
+def _link_cells(words: int, percent: int):
+    def run(batches):
+        for _, rows in _by_cell(batches, (*_CELL, "packed")):
+            out = _link_cell(rows, words, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _open_members(members: DataFrame, comps: DataFrame, compared: DataFrame) -> DataFrame:
-    """(key, node, comp) of the keys (one for each set of classes) whose classes are not one component, but for pairs that were compared."""
+    """(key, node, comp) of the keys whose classes are not one component, but for pairs that were compared."""
     placed = settle(members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
-    marks = [F.sum(F.xxhash64("node", F.lit(k)) % (1 << 31)).alias(f"_s{k}") for k in (1, 2)]
-    keys = placed.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("node").alias("a"), F.max("node").alias("b"), *marks).where("_lo <> _hi")
-    keys = keys.groupBy("_c", "a", "b", "_s1", "_s2").agg(F.min("key").alias("key"))
+    keys = placed.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("node").alias("a"), F.max("node").alias("b")).where("_lo <> _hi")
     done = compared.select("a", "b").withColumn("_c", F.lit(2).cast("long"))
     keys = settle(keys.join(done, ["a", "b", "_c"], "left_anti").select("key"), "open")
     return spread_join(placed, keys, ["key"], hot_keys(placed, ["key"]), F.xxhash64("node"), "left_semi")
 
 
 def _cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(cell, node, comp, large): the classes of each key in cells of 2 block classes at most, about.
+    """(cell, node, comp, large, key): the classes of each key in cells of 2 block classes at most, about.
 
     A key of up to block classes is one cell. Of a larger one the largest component is compared with the rest only.
     """
@@ -264,7 +308,7 @@ def _cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
     top = F.transform(to(F.col("nr")), lambda i: F.struct(F.lit(1).alias("t"), i.alias("i"), F.col("blk").alias("j")))
     alone = F.array(F.struct(F.lit(2).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     where = F.when(F.col("one"), alone).when(F.col("large"), top).otherwise(rest)
-    return p.select("node", "comp", "large", "key", F.explode(where).alias("w")).select("node", "comp", "large", F.xxhash64("key", "w.t", "w.i", "w.j").alias("cell"))
+    return p.select("node", "comp", "large", "key", F.explode(where).alias("w")).select("node", "comp", "large", "key", F.xxhash64("key", "w.t", "w.i", "w.j").alias("cell"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, with_hash: bool = False) -> DataFrame:
@@ -301,9 +345,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = components(links)
     open_ = settle(_open_members(members, comps, compared), "open-members")
     if not open_.isEmpty():
-        cells = settle(_cells(open_), "cells").join(texts, "node")
-        cells = cells.repartition("cell").sortWithinPartitions("cell", "node").select("cell", *_CELL)
-        more = settle(cells.mapInArrow(_link_cells(words, percent), "a long, b long"), "links")
+        placed = lambda cells, *more: cells.join(texts.select("node", "n", "half", *more), "node").repartition("cell").sortWithinPartitions("cell", "node").select("cell", *_CELL, *more)
+        # First without texts: who meets whom. A class takes its text only to cells where it is compared.
+        met = settle(placed(_cells(open_)).mapInArrow(_met_cells(percent), "cell long, node long, comp long, large boolean, key long"), "met")
+        more = settle(placed(met, "packed").mapInArrow(_link_cells(words, percent), "a long, b long"), "links")
         if not more.isEmpty():
             comps = components(links.unionByName(more))
 
