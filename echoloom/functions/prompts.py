@@ -39,26 +39,29 @@ def record_envelope(content: Column, id: Column | None = None, metadata: dict[st
     return F.concat(*parts, F.lit("  </feedback_record>"))
 
 
-def records_envelope(df: DataFrame, by: list[str], order: str, block: str, max_chars: int | None = None) -> DataFrame:
-    """The blocks of each group, in order, inside one tag: by, n_records, records.
+def records_envelope(df: DataFrame, by: list[str], order: str, block: str, max_chars: int | None = None, flag: str | None = None) -> DataFrame:
+    """The blocks of each group, in order, inside one tag: by, n_records, records, and with flag whether it is true of any row.
 
     With max_chars there is too_large too: lengths are summed first, and a group over it has no records, its blocks are not gathered.
     Without it a group must be one that a message can hold.
     """
     head, tail = "<feedback_records>\n", "\n</feedback_records>"
+    flags = [F.max(F.coalesce(F.col(flag), F.lit(False))).alias(flag)] if flag else []
     fit = df
     if max_chars is not None:
         total = F.sum(F.length(block).cast("bigint")) + F.count("*") - 1 + len(head) + len(tail)
-        sums = df.groupBy(*by).agg(F.count("*").alias("n_records"), (total > max_chars).alias("too_large"))
+        sums = df.groupBy(*by).agg(F.count("*").alias("n_records"), (total > max_chars).alias("too_large"), *flags)
         same = lambda other: [df[c].eqNullSafe(other[f"_{c}"]) for c in by]
         small = sums.where("not too_large").select(*[F.col(c).alias(f"_{c}") for c in by])
         fit = df.join(small, same(small), "left_semi")
-    out = fit.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b")))).alias("_l"), F.count("*").alias("n_records"))
+    out = fit.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b")))).alias("_l"), F.count("*").alias("n_records"), *flags)
     text = F.concat(F.lit(head), F.array_join(F.transform("_l", lambda x: x["b"]), "\n"), F.lit(tail))
-    out = out.select(*by, "n_records", text.alias("records"))
+    more = [flag] if flag else []
+    out = out.select(*by, "n_records", text.alias("records"), *more)
     if max_chars is None:
         return out
-    return out.withColumn("too_large", F.lit(False)).unionByName(sums.where("too_large").select(*by, "n_records", F.lit(None).cast("string").alias("records"), "too_large"))
+    large = sums.where("too_large").select(*by, "n_records", F.lit(None).cast("string").alias("records"), *more, "too_large")
+    return out.withColumn("too_large", F.lit(False)).unionByName(large)
 
 
 def instruction(prompt: Column) -> Column:
@@ -80,6 +83,17 @@ def reduce_message(prompt: Column, partials: Column, trends: Column | None = Non
     return F.concat(instruction(prompt), F.lit("<partial_analyses>\n"), blocks, F.lit("\n</partial_analyses>"), tail)
 
 
+def reduce_chars(prompt: Column, trends: Column | None = None) -> Column:
+    """Characters of a message that joins partials, without those of partial_chars of each of them."""
+    none = F.array().cast("array<string>")
+    return F.length(reduce_message(prompt, none, trends)) - 1
+
+
+def partial_chars(partial: Column) -> Column:
+    """Characters that a partial takes up in the message, its line's end included."""
+    return F.length(escape_envelope(partial)) + len("  <partial_analysis></partial_analysis>\n")
+
+
 def _path(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda x, i: F.concat(F.lit("Code level "), (i + 1).cast("string"), F.lit(": "), x)), "\n")
 

@@ -14,15 +14,13 @@ from ..functions.text import parse_structured
 from ..session import checkpointed
 from . import chunking, pii, trends
 from .complete import MAX_TOKENS, Complete, complete
-from .validate import DISCLAIMER
+from .validate import DISCLAIMER, injection
 
 JUDGE = "struct<quality_score:double,uncertainty_explanation:string>"
 NO_JUDGE = "There is no score, as the judge gave no usable answer."
 CPT = 4
 #: Records of more characters are over the token limit whatever stands round them.
 MAX_CHARS = (MAX_TOKENS + 1) * CPT - 1
-#: Characters round a partial in the message that joins partials, apart from its own text.
-PARTIAL_OVERHEAD = len("  <partial_analysis></partial_analysis>\n")
 RETAIN = ("PERSON",)
 _META = ("created", "coding_level_1", "coding_level_2", "coding_level_3")
 
@@ -43,6 +41,8 @@ def judged(df: DataFrame, fn: Complete, source: str, prompt: str, analysis: str,
 
 
 def record_blocks(records: DataFrame) -> DataFrame:
+    """Adds block, the record in its envelope, and blocked: its own text looks like an injection."""
+    records = records.withColumn("blocked", injection(F.col("content")).isNotNull())
     meta = {k: F.col(k) for k in _META if k in records.columns}
     return records.withColumn("block", P.record_envelope(F.col("content"), F.col("id"), meta))
 
@@ -51,13 +51,13 @@ def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Comple
     """One row per request (by, prompt, language): analysis, quality_score, explanation, record_count, status, error_class, trends.
 
     One message holds all records of a corpus, so a corpus over the token limit is an error row, made from the
-    lengths of its records alone. Records are redacted first,
+    lengths of its records alone, and so is a corpus with a record that looks like an injection. Records are redacted first,
     placeholders of types not in retain are turned back at the end, and the disclaimer comes first.
     """
     clean, mapping = pii.pseudonymise_records(records, by)
-    batch = P.records_envelope(record_blocks(clean), [by], "pos", "block", MAX_CHARS)
+    batch = P.records_envelope(record_blocks(clean), [by], "pos", "block", MAX_CHARS, "blocked")
     asked = requests.join(batch, by).withColumns({"system": P.system_message("analyze", F.col("language")), "user": P.analyze_message(F.col("prompt"), F.col("records"))})
-    got = checkpointed(complete(asked, fn, too_large="too_large"))
+    got = checkpointed(complete(asked, fn, too_large="too_large", blocked="blocked"))
     got = got.withColumn("analysis", F.when(F.col("completion.status") == "ok", F.col("completion.content")))
     scored = checkpointed(judged(got, judge, "records", "prompt", "analysis"))
     back = pii.with_disclaimer(pii.restore(scored, mapping, by, "analysis", retain), "analysis")
@@ -69,11 +69,14 @@ def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Comple
 
 
 def map_chunks(members: DataFrame, records: DataFrame, requests: DataFrame, fn: Complete, by: str = "corpus_id", concurrency: int = 64) -> DataFrame:
-    """One row per chunk: by, chunk_id, n_records, source, partial (null if the call failed), completion."""
+    """One row per chunk: by, chunk_id, n_records, source, partial (null if the call failed), completion.
+
+    A chunk that is over the token limit, or holds a record that looks like an injection, is not sent.
+    """
     placed = record_blocks(records).join(members.select("id", "chunk_id", "rn"), "id")
-    batch = P.records_envelope(placed, [by, "chunk_id"], "rn", "block").withColumnRenamed("records", "source")
+    batch = P.records_envelope(placed, [by, "chunk_id"], "rn", "block", MAX_CHARS, "blocked").withColumnRenamed("records", "source")
     asked = batch.join(requests, by).withColumns({"system": P.system_message("map"), "user": P.analyze_message(F.col("prompt"), F.col("source"))})
-    got = complete(asked, fn, concurrency=concurrency)
+    got = complete(asked, fn, concurrency=concurrency, too_large="too_large", blocked="blocked")
     return got.withColumn("partial", F.when(F.col("completion.status") == "ok", F.col("completion.content"))).select(by, "chunk_id", "n_records", "source", "prompt", "language", "partial", "completion")
 
 
@@ -94,10 +97,12 @@ def pack_sizes(sizes: Column, room: Column) -> Column:
 
 #: Partials of one block of the running pass of pack_partials.
 BLOCK = 65_536
+#: More requests than this are joined by shuffle, not broadcast.
+SMALL = 10_000
 
 
-def _starts(sizes: np.ndarray, ends: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums before each item (one more at the end), and for a group that starts at an item where the next one starts, at its corpus's end (ends) at the latest."""
+def _starts(sizes: np.ndarray, ends: np.ndarray, room) -> tuple[np.ndarray, np.ndarray]:
+    """Sums before each item (one more at the end), and for a group that starts at an item where the next one starts, at its corpus's end (ends) at the latest. room: one number, or one for each item."""
     n = len(sizes)
     pre = np.concatenate([[0], np.cumsum(sizes)])
     full = np.minimum.accumulate(np.where(sizes > 0, np.arange(n), n)[::-1])[::-1]  # a group without size takes an item of any size
@@ -122,7 +127,7 @@ def _break_of(used: int, pre, room: int) -> int:
     return max(0, int(np.searchsorted(pre, room - used, side="right")) - 1)
 
 
-def _block_tables(room: int, schema: pa.Schema):
+def _block_tables(schema: pa.Schema):
     """For the first and the last corpus of a block, which may go on in other blocks: what the block makes of each state that it may be entered with."""
 
     def run(batches):
@@ -132,6 +137,7 @@ def _block_tables(room: int, schema: pa.Schema):
         first, end = _segments(b.column(0))
         for k in sorted({0, len(first) - 1}):
             at, n = int(first[k]), int(end[k] - first[k])
+            room = int(b.column(3)[at].as_py())
             sizes = b.column(2).to_numpy()[at : at + n]
             pre, nxt = _starts(sizes, np.full(n, n), room)
             used, made, nxt = [0] * n, [1] * n, nxt.tolist()
@@ -140,24 +146,24 @@ def _block_tables(room: int, schema: pa.Schema):
                     used[i], made[i] = used[nxt[i]], made[nxt[i]] + 1
                 else:
                     used[i] = int(pre[n] - pre[i])
-            most = min(n, int(np.searchsorted(pre, room)) + 1)  # later items cannot be the first to break
-            row = [b.column(0).slice(at, 1), *([x] for x in (b.column(3)[at].as_py(), n, int(pre[n]), pre[: most + 1].tolist(), used[:most], made[:most]))]
+            most = min(n, int(np.searchsorted(pre, max(room, 0))) + 1)  # later items cannot be the first to break
+            row = [b.column(0).slice(at, 1), *([x] for x in (b.column(4)[at].as_py(), room, n, int(pre[n]), pre[: most + 1].tolist(), used[:most], made[:most]))]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _carried(room: int, schema: pa.Schema):
+def _carried(schema: pa.Schema):
     """Over the blocks of one corpus in order: the state that each is entered with, and the corpus's size and last group."""
 
     def run(table):
         table = table.sort_by("_p")
         used = group = seen = 0
         out = []
-        for r in table.select(["_p", "n", "total", "pre", "used", "made"]).to_pylist():
+        for r in table.select(["_p", "room", "n", "total", "pre", "used", "made"]).to_pylist():
             out.append([r["_p"], used, group, seen])
             seen += r["n"]
-            k = 0 if used == 0 else _break_of(used, r["pre"], room)
+            k = 0 if used == 0 else _break_of(used, r["pre"], r["room"])
             if used and k >= r["n"]:
                 used += r["total"]
             else:
@@ -168,8 +174,8 @@ def _carried(room: int, schema: pa.Schema):
     return run
 
 
-def _numbered(room: int, schema: pa.Schema):
-    """Numbers the groups of a block, whose rows hold the state in the columns from 4 where their corpus may go on elsewhere."""
+def _numbered(schema: pa.Schema):
+    """Numbers the groups of a block, whose rows hold the state in the columns from 5 where their corpus may go on elsewhere."""
 
     def run(batches):
         b = _whole(batches)
@@ -178,14 +184,14 @@ def _numbered(room: int, schema: pa.Schema):
         n = b.num_rows
         first, end = _segments(b.column(0))
         length = end - first
-        sizes = b.column(2).to_numpy()
-        used, base, seen, whole, last = (b.column(k).fill_null(-1).to_numpy()[first] for k in range(4, 9))
+        sizes, room = b.column(2).to_numpy(), b.column(3).to_numpy()
+        used, base, seen, whole, last = (b.column(k).fill_null(-1).to_numpy()[first] for k in range(5, 10))
         inside = whole < 0
         used, base, seen = (np.where(inside, 0, x) for x in (used, base, seen))
         pre, nxt = _starts(sizes, np.repeat(end, length), room)
         nxt = nxt.tolist()
         # Only the first corpus of a block is entered with a size.
-        at = min(int(end[0]), _break_of(int(used[0]), pre, room)) if used[0] else 0
+        at = min(int(end[0]), _break_of(int(used[0]), pre, int(room[0]))) if used[0] else 0
         starts = np.zeros(n, dtype=np.int64)
         while at < n:
             starts[at] = 1
@@ -201,59 +207,71 @@ def _numbered(room: int, schema: pa.Schema):
     return run
 
 
-def pack_partials(df: DataFrame, by: str, size: str, order: str, budget: int, cpt: int = CPT, block: int = BLOCK) -> DataFrame:
-    """(by, order, group) by the rules of pack_sizes over the partials of each corpus.
+def pack_partials(df: DataFrame, by: str, size: str, order: str, room: Column | int, block: int = BLOCK) -> DataFrame:
+    """(by, order, group) by the rules of pack_sizes over the partials of each corpus; room: characters, the same for all partials of a corpus.
 
     Partials are dealt by (by, order) into blocks; a block says what it makes of any state that it may be entered with, a pass over
     the blocks of a corpus carries the state over, and each block numbers its groups. No row or task holds a corpus.
     """
-    room = budget * cpt
-    rows = df.select(by, order, F.col(size).cast("bigint").alias("_s"))
+    rows = df.select(by, order, F.col(size).cast("bigint").alias("_s"), (F.lit(room) if isinstance(room, int) else room).cast("bigint").alias("_room"))
     n = max(1, -(-rows.count() // block))
     rows = checkpointed(rows.repartitionByRange(n, by, order, "_s").sortWithinPartitions(by, order, "_s").withColumn("_p", F.spark_partition_id()))
     kind = {f.name: f for f in rows.schema.fields}
-    state = StructType([kind[by]]).add("_p", "integer").add("n", "long").add("total", "long").add("pre", ArrayType(LongType())).add("used", ArrayType(LongType())).add("made", ArrayType(LongType()))
+    state = StructType([kind[by]]).add("_p", "integer").add("room", "long").add("n", "long").add("total", "long").add("pre", ArrayType(LongType())).add("used", ArrayType(LongType())).add("made", ArrayType(LongType()))
     entry = StructType([kind[by]]).add("_p", "integer").add("_used", "long").add("_base", "long").add("_seen", "long").add("_n", "long").add("_last", "long")
     out = StructType([kind[by], kind[order]]).add("group", "integer")
-    tables = rows.mapInArrow(_block_tables(room, to_arrow_schema(state)), state)
-    entries = tables.groupBy(by).applyInArrow(_carried(room, to_arrow_schema(entry)), entry).withColumnsRenamed({by: "_k", "_p": "_q"})
+    tables = rows.mapInArrow(_block_tables(to_arrow_schema(state)), state)
+    entries = tables.groupBy(by).applyInArrow(_carried(to_arrow_schema(entry)), entry).withColumnsRenamed({by: "_k", "_p": "_q"})
     # Two rows a block.
     entered = rows.join(F.broadcast(entries), rows[by].eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")), "left")
-    return entered.select(by, order, "_s", "_p", "_used", "_base", "_seen", "_n", "_last").mapInArrow(_numbered(room, to_arrow_schema(out)), out)
+    return entered.select(by, order, "_s", "_room", "_p", "_used", "_base", "_seen", "_n", "_last").mapInArrow(_numbered(to_arrow_schema(out)), out)
 
 
-def tree_reduce(partials: DataFrame, requests: DataFrame, fn: Complete, grids: DataFrame | None = None, by: str = "corpus_id", budget: int = 100_000, cpt: int = CPT) -> DataFrame:
+def tree_reduce(partials: DataFrame, requests: DataFrame, fn: Complete, grids: DataFrame | None = None, by: str = "corpus_id", budget: int = MAX_TOKENS, cpt: int = CPT) -> DataFrame:
     """(by, analysis, status, error_class, rounds): partials (by, ord, partial) joined into one answer for each corpus.
 
     In each round all corpora take part: one whose partials fit in a message (or that has one alone) is answered with its grid of
     trends; the others' partials are packed into groups and each group is joined. Where every group is a single partial
-    joining would not shrink anything, so one message is tried all the same. A failed group is left out; a corpus
-    whose groups all fail, or whose last call fails, is an error row. partials is read several times.
+    joining would not shrink anything, so one message is tried all the same. Sizes are those of whole messages: instructions,
+    question, tags, escaped texts, and the grid in the last one. A message over the budget, a partial that looks like an
+    injection, or any other failed call ends a corpus as an error row (of its first failed group), so an answer
+    always rests on all partials. partials is read several times.
     """
     asked = requests.select(by, "prompt", "language")
+    if grids is not None:
+        asked = asked.join(grids.select(by, "grid"), by, "left")
+    else:
+        asked = asked.withColumn("grid", F.lit(None).cast("string"))
+    limit = budget * cpt + cpt - 1
+    fixed = F.length(P.system_message("reduce", F.col("language")))
+    asked = checkpointed(asked.withColumns({"_room": limit - fixed - P.reduce_chars(F.col("prompt")), "_last": limit - fixed - P.reduce_chars(F.col("prompt"), F.col("grid"))}))
     now = partials.where("partial is not null").select(by, "ord", "partial")
+    failed = lambda e: (F.lit("error").alias("status"), e.alias("error_class"))
     done, rounds = None, 0
-    lost = requests.select(by).join(now, by, "left_anti").select(by, F.lit("error").alias("status"), F.lit("AnalysisError").alias("error_class"), F.lit(0).alias("rounds"))
+    lost = requests.select(by).join(now, by, "left_anti").select(by, *failed(F.lit("AnalysisError")), F.lit(0).alias("rounds"))
     while not now.isEmpty():
         rounds += 1
         # Only sizes are packed and kept; texts go once to their place and once to their message.
-        sized = checkpointed(now.select(by, "ord", (F.length(F.col("partial")) + PARTIAL_OVERHEAD).alias("size")))
-        plan = checkpointed(sized.join(pack_partials(sized, by, "size", "ord", budget, cpt), [by, "ord"]))
-        per = plan.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.count_distinct("group").alias("k"))
-        last = per.select(by, ((F.col("n") <= 1) | (F.col("total") <= budget * cpt) | (F.col("k") == F.col("n"))).alias("last"))
-        plan = plan.join(last, by).select(by, "ord", "last", F.when(F.col("last"), F.lit(0)).otherwise(F.col("group")).alias("group"))
-        lists = now.join(plan, [by, "ord"]).groupBy(by, "group", "last").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "partial"))), lambda x: x["partial"]).alias("parts")).join(asked, by)
-        if grids is not None:
-            lists = lists.join(grids.select(by, "grid"), by, "left").withColumn("grid", F.when(F.col("last"), F.col("grid")))
-        message = P.reduce_message(F.col("prompt"), F.col("parts"), F.col("grid") if grids is not None else None)
-        lists = lists.withColumns({"system": P.system_message("reduce", F.col("language")), "user": message}).select(by, "group", "last", "system", "user")
-        got = checkpointed(complete(lists, fn, max_tokens=10**9).select(by, "group", "last", "completion"))
+        sized = checkpointed(now.select(by, "ord", P.partial_chars(F.col("partial")).alias("size")).join(F.broadcast(asked.select(by, "_room")) if asked.count() <= SMALL else asked.select(by, "_room"), by))
+        plan = checkpointed(sized.join(pack_partials(sized, by, "size", "ord", F.col("_room")), [by, "ord"]))
+        per = plan.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.count_distinct("group").alias("k")).join(asked.select(by, "_last"), by)
+        last = per.select(by, ((F.col("n") <= 1) | (F.col("total") <= F.col("_last")) | (F.col("k") == F.col("n"))).alias("last"))
+        plan = plan.join(last, by).select(by, "ord", "size", "last", F.when(F.col("last"), F.lit(0)).otherwise(F.col("group")).alias("group"))
+        # A message over the limit is an error row from its length alone; its texts are not gathered.
+        sums = plan.groupBy(by, "group", "last").agg(F.sum("size").alias("_size")).join(asked, by)
+        sums = sums.withColumn("too_large", F.col("_size") > F.when(F.col("last"), F.col("_last")).otherwise(F.col("_room")))
+        sums = checkpointed(sums.withColumn("grid", F.when(F.col("last"), F.col("grid"))).select(by, "group", "last", "prompt", "language", "grid", "too_large"))
+        fit = plan.join(sums.where("not too_large").select(by, "group"), [by, "group"]).select(by, "ord", "group")
+        texts = now.join(fit, [by, "ord"]).groupBy(by, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "partial"))), lambda x: x["partial"]).alias("parts"), F.max(injection(F.col("partial")).isNotNull()).alias("blocked"))
+        lists = sums.join(texts, [by, "group"], "left")
+        lists = lists.withColumns({"system": P.system_message("reduce", F.col("language")), "user": P.reduce_message(F.col("prompt"), F.coalesce("parts", F.array().cast("array<string>")), F.col("grid"))})
+        lists = lists.select(by, "group", "last", "system", "user", "too_large", "blocked")
+        got = checkpointed(complete(lists, fn, max_tokens=budget, chars_per_token=cpt, too_large="too_large", blocked="blocked").select(by, "group", "last", "completion"))
         end = got.where("last").select(by, F.when(F.col("completion.status") == "ok", F.col("completion.content")).alias("analysis"), F.col("completion.status").alias("status"), F.col("completion.error_class").alias("error_class"), F.lit(rounds).alias("rounds"))
         done = end if done is None else done.unionByName(end)
-        left = got.where("not last and completion.status = 'ok'").select(by, F.col("group").alias("ord"), F.col("completion.content").alias("partial"))
-        gone = got.where("not last").select(by).distinct().join(left, by, "left_anti").select(by, F.lit("error").alias("status"), F.lit("AnalysisError").alias("error_class"), F.lit(rounds).alias("rounds"))
-        lost = lost.unionByName(gone)
-        now = left
+        gone = got.where("not last and completion.status <> 'ok'").groupBy(by).agg(F.min_by(F.col("completion.error_class"), F.col("group")).alias("_e"))
+        lost = lost.unionByName(gone.select(by, *failed(F.coalesce("_e", F.lit("LLMError"))), F.lit(rounds).alias("rounds")))
+        now = checkpointed(got.where("not last").join(gone, by, "left_anti").select(by, F.col("group").alias("ord"), F.col("completion.content").alias("partial")))
     lost = lost.withColumn("analysis", F.lit(None).cast("string"))
     return lost.select(by, "analysis", "status", "error_class", "rounds") if done is None else done.unionByName(lost)
 
@@ -308,28 +326,33 @@ def _summaries(asked: DataFrame, fn: Complete, keep: list[str], **opts) -> DataF
 
 
 def summarize(records: DataFrame, fn: Complete, language: Column | None = None) -> DataFrame:
-    """One row per record: id, title, summary, quality_score, error_class. Empty records are not sent and get blanks with score 0."""
+    """One row per record: id, title, summary, quality_score, error_class. Empty records are not sent and get blanks with score 0; one that looks like an injection is an error row."""
     full = records.where(F.coalesce(F.length("content"), F.lit(0)) > 0)
     asked = full.withColumns({"system": P.system_message("summarize", language), "user": P.record_envelope(F.col("content"), F.col("id"))})
     blank = records.where(F.coalesce(F.length("content"), F.lit(0)) == 0).select("id", F.lit("").alias("title"), F.lit("").alias("summary"), F.lit(0.0).alias("quality_score"), F.lit(None).cast("string").alias("error_class"))
-    return _summaries(asked.select("id", "system", "user"), fn, ["id"]).unionByName(blank)
+    return _summaries(asked.select("id", "system", "user", injection(F.col("content")).isNotNull().alias("blocked")), fn, ["id"], blocked="blocked").unionByName(blank)
 
 
 def summarize_bulk(records: DataFrame, fn: Complete, by: str = "corpus_id", language: Column | None = None) -> DataFrame:
     """One row per corpus: ids in input order, title, summary, quality_score, error_class."""
-    batch = P.records_envelope(record_blocks(records), [by], "pos", "block", MAX_CHARS)
+    batch = P.records_envelope(record_blocks(records), [by], "pos", "block", MAX_CHARS, "blocked")
     ids = records.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     asked = batch.withColumns({"system": P.system_message("aggregate", language), "user": F.col("records")})
-    return _summaries(asked.select(by, "system", "user", "too_large"), fn, [by], too_large="too_large").join(ids, by)
+    return _summaries(asked.select(by, "system", "user", "too_large", "blocked"), fn, [by], too_large="too_large", blocked="blocked").join(ids, by)
 
 
 # The kinds of sensitive content.
 SENSITIVITY_TYPES = (
-    "GENDER_INEQUALITY GENDER_DISCRIMINATION SEXUAL_VIOLENCE SEXUAL_EXPLOITATION SEXUAL_ABUSE GENDER_BASED_VIOLENCE CORRUPTION FRAUD CODE_OF_CONDUCT_VIOLATION "
-    "ENVIRONMENTAL_HEALTH_AND_SAFETY_ISSUES THREATS_AND_PHYSICAL_VIOLENCE ALCOHOL_OR_NARCOTIC_ABUSE CONFLICT_OF_INTEREST THEFT EMBEZZLEMENT GIFTS_BRIBES_AND_KICKBACKS PROCUREMENT_OR_TENDER_VIOLATION "
-    "INSIDER_TRADING FALSIFICATION_OR_DESTRUCTION_OF_INFORMATION NEPOTISM_AND_FAVOURITISM ABUSE_OF_OFFICIAL_POSITION UNFAIR_TREATMENT_OF_EMPLOYEES UNFAIR_DISMISSAL HARASSMENT PRIVACY_AND_CONFIDENTIALITY_ISSUES "
-    "WORKPLACE_BULLYING SEXUAL_HARASSMENT VANDALISM GIFTS_AND_HOSPITALITY ENVIRONMENTAL_VIOLATIONS FOOD_SAFETY RETALIATION_AGAINST_WHISTLEBLOWERS INAPPROPRIATE_BEHAVIOUR"
-).split()
+    "GENDER_INEQUALITY", "GENDER_DISCRIMINATION", "SEXUAL_VIOLENCE", "SEXUAL_EXPLOITATION",
+    "SEXUAL_ABUSE", "GENDER_BASED_VIOLENCE", "CORRUPTION", "FRAUD",
+    "CODE_OF_CONDUCT_VIOLATION", "ENVIRONMENTAL_HEALTH_AND_SAFETY_ISSUES", "THREATS_AND_PHYSICAL_VIOLENCE", "ALCOHOL_OR_NARCOTIC_ABUSE",
+    "CONFLICT_OF_INTEREST", "THEFT", "EMBEZZLEMENT", "GIFTS_BRIBES_AND_KICKBACKS",
+    "PROCUREMENT_OR_TENDER_VIOLATION", "INSIDER_TRADING", "FALSIFICATION_OR_DESTRUCTION_OF_INFORMATION", "NEPOTISM_AND_FAVOURITISM",
+    "ABUSE_OF_OFFICIAL_POSITION", "UNFAIR_TREATMENT_OF_EMPLOYEES", "UNFAIR_DISMISSAL", "HARASSMENT",
+    "PRIVACY_AND_CONFIDENTIALITY_ISSUES", "WORKPLACE_BULLYING", "SEXUAL_HARASSMENT", "VANDALISM",
+    "GIFTS_AND_HOSPITALITY", "ENVIRONMENTAL_VIOLATIONS", "FOOD_SAFETY", "RETALIATION_AGAINST_WHISTLEBLOWERS",
+    "INAPPROPRIATE_BEHAVIOUR",
+)
 
 
 def detect_sensitive(records: DataFrame, fn: Complete) -> DataFrame:
@@ -337,8 +360,8 @@ def detect_sensitive(records: DataFrame, fn: Complete) -> DataFrame:
     from .validate import NO_SENSITIVE_CONTENT
 
     full = F.coalesce(F.length("content"), F.lit(0)) > 0
-    asked = records.where(full).select("id", P.system_message("sensitivity").alias("system"), P.record_envelope(F.col("content")).alias("user"))
-    got = checkpointed(complete(asked, fn)).withColumn("_raw", F.col("completion.content"))
+    asked = records.where(full).select("id", P.system_message("sensitivity").alias("system"), P.record_envelope(F.col("content")).alias("user"), injection(F.col("content")).isNotNull().alias("blocked"))
+    got = checkpointed(complete(asked, fn, blocked="blocked")).withColumn("_raw", F.col("completion.content"))
     known = F.array(*[F.lit(t) for t in SENSITIVITY_TYPES])
     rules = {"unknown_type": F.size(F.array_except(F.coalesce("parsed.sensitivity_types", F.array().cast("array<string>")), known)) > 0}
     got = parse_structured(got, "_raw", "struct<sensitivity_types:array<string>,explanation:string>", rules)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..functions.text import parse_score, parse_selected
 from ..session import checkpointed
-from .complete import Complete, complete
+from .complete import INJECTION, Complete, complete
+from .validate import injection
 
 
 def framework_paths(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
@@ -23,7 +24,7 @@ def framework_paths(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
     out = level
     for _ in range(max_depth):
         up = level.select(F.col("node_id").alias("parent_id"), "path", "names", "order")
-        level = leaf.join(up, "parent_id").select("node_id", F.concat("path", F.array("node_id")).alias("path"), F.concat("names", F.array("name")).alias("names"), F.concat("order", F.array("position")).alias("order"), "is_leaf")
+        level = checkpointed(leaf.join(up, "parent_id").select("node_id", F.concat("path", F.array("node_id")).alias("path"), F.concat("names", F.array("name")).alias("names"), F.concat("order", F.array("position")).alias("order"), "is_leaf"))
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -68,35 +69,42 @@ def path_columns(df: DataFrame, path: str = "path", names: str = "names", scores
 
 
 def assign_codes(records: DataFrame, nodes: DataFrame, pick: Complete, judge: Complete, max_codes: int = 10, threshold: float | None = None, id_col: str = "id") -> DataFrame:
-    """Rows (id, rank, code columns of three levels, confidence, explanation) of each record.
+    """Rows (id, rank, code columns of three levels, confidence, explanation, error_class) of each record.
 
     For each level of the framework: all records at all open nodes are asked to choose among its children, each choice is
-    judged, choices below the threshold go (a score that cannot be read goes too), leaves are kept and the others are asked again.
+    judged, choices below the threshold go, leaves are kept and the others are asked again. A record that looks like an injection,
+    or any of whose calls fails or is answered with a score that cannot be read, has no codes but one row with error_class.
     """
     n = checkpointed(nodes.select("node_id", "parent_id", "name", "position"))
     options = n.groupBy(F.coalesce("parent_id", F.lit("")).alias("at")).agg(F.array_sort(F.collect_list(F.struct("position", "node_id", "name"))).alias("options"))
-    text = records.select(id_col, "content").where(F.coalesce(F.length("content"), F.lit(0)) > 0)
+    text = records.where(F.coalesce(F.length("content"), F.lit(0)) > 0).select(id_col, "content", injection(F.col("content")).isNotNull().alias("blocked"))
     blank = lambda t: F.array().cast(t)
     front = text.select(id_col, F.lit("").alias("at"), blank("array<string>").alias("path"), blank("array<string>").alias("names"), blank("array<double>").alias("scores"), blank("array<string>").alias("whys"), blank("array<int>").alias("seq"))
-    found = None
+    found = failed = None
+    state = ("path", "names", "scores", "whys", "seq")
+    error = F.col("completion.error_class").alias("error_class")
     while True:
         asked = front.join(options, "at").join(text, id_col)
         asked = asked.withColumns({"system": P.system_message("pick"), "user": P.pick_message(F.col("content"), F.col("names"), F.transform("options", lambda o: o["name"]))})
-        got = complete(asked, pick)
+        got = checkpointed(complete(asked.drop("content"), pick, blocked="blocked").select(id_col, *state, "options", "completion"))
+        bad = got.where("completion.status <> 'ok'").select(id_col, error)
         chosen = F.transform(parse_selected(F.col("completion.content"), F.size("options")), lambda i: F.struct(i.alias("i"), F.get("options", i).alias("o")))
-        got = got.select(id_col, "content", "path", "names", "scores", "whys", "seq", F.explode(chosen).alias("c"))
-        got = got.select(id_col, "content", F.concat("path", F.array("c.o.node_id")).alias("path"), F.concat("names", F.array("c.o.name")).alias("names"), "scores", "whys", F.concat("seq", F.array("c.i")).alias("seq"))
-        asked = got.withColumns({"system": P.system_message("code_judge"), "user": P.code_judge_message(F.col("content"), F.col("names"))})
-        scored = complete(asked, judge).withColumn("s", parse_score(F.col("completion.content"))).where("s.score is not null")
-        if threshold is not None:
-            scored = scored.where(F.col("s.score") >= threshold)
+        got = got.where("completion.status = 'ok'").select(id_col, *state, F.explode(chosen).alias("c"))
+        got = got.select(id_col, F.concat("path", F.array("c.o.node_id")).alias("path"), F.concat("names", F.array("c.o.name")).alias("names"), "scores", "whys", F.concat("seq", F.array("c.i")).alias("seq"))
+        asked = got.join(text.select(id_col, "content"), id_col).withColumns({"system": P.system_message("code_judge"), "user": P.code_judge_message(F.col("content"), F.col("names"))})
+        scored = checkpointed(complete(asked.drop("content"), judge).select(id_col, *state, "completion", parse_score(F.col("completion.content")).alias("s")))
+        bad = bad.unionByName(scored.where("s.score is null").select(id_col, F.coalesce(error, F.lit(INJECTION)).alias("error_class")))
+        failed = bad if failed is None else failed.unionByName(bad)
+        good = scored.where("s.score is not null" if threshold is None else F.col("s.score") >= threshold)
         why = F.coalesce(F.get(F.split("completion.content", "\n", 2), F.lit(1)), F.lit(""))
-        level = checkpointed(scored.select(id_col, F.element_at("path", -1).alias("at"), "path", "names", F.concat("scores", F.array("s.score")).alias("scores"), F.concat("whys", F.array(why)).alias("whys"), "seq"))
+        level = checkpointed(good.select(id_col, F.element_at("path", -1).alias("at"), "path", "names", F.concat("scores", F.array("s.score")).alias("scores"), F.concat("whys", F.array(why)).alias("whys"), "seq"))
         leaves = level.join(options, "at", "left_anti")
         found = leaves if found is None else found.unionByName(leaves)
         front = level.join(options.select("at"), "at", "left_semi")
         if front.isEmpty():
             break
-    best = top_codes(score_paths(found), id_col, max_codes)
-    out = path_columns(best)
-    return out.select(id_col, "rank", *[f"code_{k}_{c}" for k in (1, 2, 3) for c in ("id", "name", "confidence")], "confidence", "explanation")
+    failed = failed.groupBy(id_col).agg(F.min("error_class").alias("error_class"))
+    best = top_codes(score_paths(found.join(failed, id_col, "left_anti")), id_col, max_codes)
+    out = path_columns(best).withColumn("error_class", F.lit(None).cast("string"))
+    cols = [id_col, "rank", *[f"code_{k}_{c}" for k in (1, 2, 3) for c in ("id", "name", "confidence")], "confidence", "explanation", "error_class"]
+    return out.select(*cols).unionByName(failed, allowMissingColumns=True).select(*cols)

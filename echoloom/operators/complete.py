@@ -78,11 +78,11 @@ def call_with_retries(fn: Complete, messages: list[tuple[str, str]], timeout: fl
     return out
 
 
-def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "user", out: str = "completion", screen: str | None = None, max_tokens: int = MAX_TOKENS, chars_per_token: int = 4, batch: int = 16, timeout: float = 120.0, concurrency: int | None = None, too_large: str | None = None) -> DataFrame:
+def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "user", out: str = "completion", screen: str | None = None, max_tokens: int = MAX_TOKENS, chars_per_token: int = 4, batch: int = 16, timeout: float = 120.0, concurrency: int | None = None, too_large: str | None = None, blocked: str | None = None) -> DataFrame:
     """Adds out, a struct with content, model, tokens, cost, status, error_class and duration.
 
-    Rows whose screened text (column screen, else none is screened) looks like an injection, or whose messages are over max_tokens, are
-    not sent; nor those where the column too_large says that the message was not even built. concurrency bounds the calls at one time, by the number of partitions. The result is not to be computed twice:
+    Rows whose screened text (column screen) looks like an injection, that the column blocked says hold one, or whose messages are over
+    max_tokens, are not sent; nor those where the column too_large says that the message was not even built. concurrency bounds the calls at one time, by the number of partitions. The result is not to be computed twice:
     write or checkpoint it before a second use.
     """
     from pyspark.sql import types as T
@@ -91,11 +91,13 @@ def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "u
     gated = with_token_estimate(df, [system, user], chars_per_token, max_tokens)
     if too_large:
         gated = gated.withColumn("over_limit", F.col("over_limit") | F.col(too_large))
+    screens = [F.coalesce(F.col(blocked), F.lit(False))] if blocked else []
     if screen:
         gated = screen_injection(gated, screen)
-        stop = F.when(F.col("injection").isNotNull(), INJECTION).when(F.col("over_limit"), TOO_LARGE)
-    else:
-        stop = F.when(F.col("over_limit"), TOO_LARGE)
+        screens.append(F.col("injection").isNotNull())
+    stop = F.when(F.col("over_limit"), TOO_LARGE)
+    for found in screens:
+        stop = F.when(found, INJECTION).otherwise(stop)
     gated = gated.withColumn("_stop", stop).select(*df.columns, "_stop")
     if concurrency:
         gated = gated.repartition(concurrency)

@@ -79,9 +79,14 @@ def check_calls(df: DataFrame) -> DataFrame:
 SCREENS = (("role_prefix", r"(?iU)^\s*(SYSTEM|ASSISTANT|USER)\s*:"), ("null_byte", r"\x00"), ("repeated_chars", r"(?d)(.)\1{199,}"))
 
 
+def injection(col: Column) -> Column:
+    """The name of the first screen that a text matches, or null."""
+    return F.coalesce(*[F.when(col.rlike(p), F.lit(name)) for name, p in SCREENS])
+
+
 def screen_injection(df: DataFrame, col: str = "content") -> DataFrame:
     """Adds injection: the first screen that matches, or null."""
-    return df.withColumn("injection", F.coalesce(*[F.when(F.col(col).rlike(p), F.lit(name)) for name, p in SCREENS]))
+    return df.withColumn("injection", injection(F.col(col)))
 
 
 def with_token_estimate(df: DataFrame, cols: list[str], chars_per_token: int = 4, limit: int = 100_000) -> DataFrame:

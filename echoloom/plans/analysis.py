@@ -8,7 +8,11 @@ from ..functions.text import parse_score
 from ..operators import analyze as A
 from ..operators import coding as G
 from ..operators.complete import complete, stub_complete
+from ..functions import prompts as P
+from ..operators.complete import KEYWORDS
+from ..operators.validate import DISCLAIMER
 from ..views import view, with_views
+from . import pii, screening, trends
 
 
 def _records(spark, d):
@@ -37,12 +41,12 @@ def g1_single_pass(spark, d):
 
 def g3_packed(spark, d):
     o = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 10).cast("bigint").alias("size"))
-    return A.pack_partials(o, "l_orderkey", "size", "l_linenumber", 100).select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.col("group").cast("bigint").alias("group"))
+    return A.pack_partials(o, "l_orderkey", "size", "l_linenumber", 400).select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.col("group").cast("bigint").alias("group"))
 
 
 def g4_tree(spark, d):
     p = _records(spark, d).select("corpus_id", F.col("pos").alias("ord"), F.when(F.col("pos") % 11 > 0, F.col("content")).alias("partial"))
-    return A.tree_reduce(p, _requests(spark, d), stub_complete("text"), budget=1000)
+    return A.tree_reduce(p, _requests(spark, d), stub_complete("text"), budget=20_000).withColumn("rounds", F.col("rounds").cast("bigint"))
 
 
 def g6_confidence(spark, d):
@@ -55,7 +59,7 @@ def g7_uncertainty(spark, d):
 
 
 def g8_hierarchical(spark, d):
-    out = A.analyze_hierarchical(_records(spark, d), _requests(spark, d), _labels(spark, d), stub_complete("text", 0.1), stub_complete("judge", 0.1), budget=2000)
+    out = A.analyze_hierarchical(_records(spark, d), _requests(spark, d), _labels(spark, d), stub_complete("text", 0.1), stub_complete("judge", 0.1), budget=20_000)
     return out.select("corpus_id", "analysis", "status", F.round("confidence", 6).alias("confidence"), "uncertainty", "chunks", "judged")
 
 
@@ -78,7 +82,7 @@ def g13_sensitive(spark, d):
 
 def g14_codes(spark, d):
     out = G.assign_codes(_records(spark, d), view(spark, d, "framework"), stub_complete("pick"), stub_complete("score"), max_codes=3, threshold=0.2)
-    return out.drop("explanation")
+    return out.drop("explanation").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def g15_threshold(spark, d):
@@ -119,6 +123,82 @@ def g20_nested(spark, d):
     return G.nest_framework(l1, l2, l3).select("id", "name", text(F.col("children")).alias("children"))
 
 
+# ---------------------------------------------------------------- SQL of what the completion functions without a model answer
+
+_n, _e = screening._n, screening._e
+_TAG = lambda x: f"substr(md5({x}), 1, 12)"
+_UNIT = lambda x: f"(CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT) / 4294967296.0)"
+_ASK = "What are the main concerns?"
+_HEAD = f"<analyst_instruction>\n{_ASK}\n</analyst_instruction>\n\n"
+_SUFFIX = "CASE WHEN corpus_id = 'src1' THEN " + _n("\n\nUse this language for the analysis: French.") + " ELSE '' END"
+_LONG = lambda system, user: f"(length({system}) + length({user})) // 4 > 100000"
+_OWN_BLOCK = "'  <feedback_record id=\"' || id || '\">' || chr(10) || '    <text>' || " + _e("content") + " || '</text>' || chr(10)"
+_META_BLOCK = _OWN_BLOCK + " || CASE WHEN meta <> '' THEN '    <metadata>' || chr(10) || meta || chr(10) || '    </metadata>' || chr(10) ELSE '' END || '  </feedback_record>'"
+
+
+def _batches(records: str) -> str:
+    return screening._BLOCKS.replace(screening._BLOCK, _META_BLOCK).replace("FROM records", f"FROM {records}").replace("m AS (", "meta_lines AS (").replace("FROM m)", "FROM meta_lines)") + ", " + screening._BATCH
+
+
+_G1 = f"""{pii._BASE}, {pii._replaced("placeholder")}, red AS (SELECT r.* REPLACE (o.content AS content) FROM records r JOIN out o ON o.id = r.id), {_batches("red")}, {trends._PERIODS},
+  u AS (SELECT corpus_id, n_records, records, {_n(_HEAD)} || records AS u, {_n(P.SYSTEM["analyze"])} || {_SUFFIX} AS s FROM batch),
+  a AS (SELECT *, {_LONG("s", "u")} AS large, 'analysis ' || {_TAG("u")} AS answer FROM u),
+  j AS (SELECT *, '<source_text>' || chr(10) || records || {_n(chr(10) + "</source_text>" + chr(10) * 2 + "<analyst_prompt>" + chr(10) + _ASK + chr(10) + "</analyst_prompt>" + chr(10) * 2 + "<analysis_to_score>" + chr(10))} || answer || {_n(chr(10) + "</analysis_to_score>")} AS ju FROM a)
+  SELECT corpus_id, CASE WHEN NOT large THEN {_n(DISCLAIMER)} || answer END AS analysis, CASE WHEN NOT large AND NOT {_LONG(_n(P.SYSTEM["judge"]), "ju")} THEN round({_UNIT("ju")}, 2) END AS quality_score,
+    n_records AS record_count, CASE WHEN large THEN 'error' ELSE 'ok' END AS status, CASE WHEN large THEN 'DocumentsTooLargeError' END AS error_class, (SELECT count(*) FROM periods p WHERE p.corpus_id = j.corpus_id) AS n_periods FROM j"""
+_SUMMARY = lambda keep, frm, system: f"""SELECT {keep}, CASE WHEN NOT large THEN 'Title ' || substr(md5(u), 1, 4) END AS title, CASE WHEN NOT large THEN 'Summary ' || {_TAG("u")} END AS summary,
+    CASE WHEN NOT large THEN round({_UNIT("u")}, 2) END AS quality_score FROM (SELECT *, {_LONG(_n(P.SYSTEM[system]), "u")} AS large FROM {frm})"""
+_G10 = f"""WITH b AS (SELECT id, {_OWN_BLOCK} || '  </feedback_record>' AS u FROM records WHERE content <> ''), g AS ({_SUMMARY("id, CASE WHEN large THEN 'DocumentsTooLargeError' END AS error_class", "b", "summarize")})
+  SELECT * FROM g UNION ALL BY NAME SELECT id, '' AS title, '' AS summary, 0.0 AS quality_score, NULL AS error_class FROM records WHERE coalesce(content, '') = ''"""
+_G11 = f"WITH {_batches('records')}, b AS (SELECT corpus_id, n_records AS n_ids, records AS u FROM batch) {_SUMMARY('corpus_id, n_ids', 'b', 'aggregate')}"
+_KINDS = ", ".join("CASE WHEN " + " OR ".join(f"contains(l, '{k}')" for k in keys) + f" THEN '{t}' END" for t, keys in KEYWORDS.items())
+_G13 = f"""WITH b AS (SELECT id, content, {screening._PLAIN} AS v FROM records), l AS (SELECT id, coalesce(content, '') <> '' AS filled, {_LONG(_n(P.SYSTEM["sensitivity"]), "v[:-2]")} AS large, lower(v) AS l FROM b),
+  t AS (SELECT *, CASE WHEN NOT filled THEN '' WHEN NOT large THEN concat_ws(',', {_KINDS}) END AS types FROM l)
+  SELECT id, types <> '' AS is_sensitive, types, CASE WHEN filled AND large THEN 'DocumentsTooLargeError' END AS error_class FROM t"""
+
+
+def _tree_sql(budget: int, rounds: int) -> str:
+    """tree_reduce round by round, as far as the given tables need."""
+    empty = len(_HEAD + "<partial_analyses>\n" + "\n</partial_analyses>") - 1
+    parts = [f"""q AS (SELECT DISTINCT corpus_id, {budget * 4 + 3 - empty - len(P.SYSTEM["reduce"])} - length({_SUFFIX}) AS room FROM records),
+      p1 AS (SELECT corpus_id, pos AS ord, content AS partial FROM records WHERE pos % 11 > 0 AND content IS NOT NULL)"""]
+    for r in range(1, rounds + 1):
+        parts.append(f"""s{r} AS MATERIALIZED (SELECT p.corpus_id, ord, partial, room, length({_e("partial")}) + {len("  <partial_analysis></partial_analysis>") + 1} AS size, row_number() OVER w AS i, count(*) OVER (PARTITION BY p.corpus_id) AS n FROM p{r} p JOIN q ON q.corpus_id = p.corpus_id WINDOW w AS (PARTITION BY p.corpus_id ORDER BY ord)),
+      f{r} AS (SELECT corpus_id, i, n, room, size AS used, CAST(0 AS BIGINT) AS g FROM s{r} WHERE i = 1 UNION ALL
+        SELECT s.corpus_id, s.i, s.n, s.room, CASE WHEN f.used + s.size <= s.room THEN f.used + s.size ELSE s.size END, CASE WHEN f.used + s.size <= s.room THEN f.g ELSE f.g + 1 END FROM f{r} f JOIN s{r} s ON s.corpus_id = f.corpus_id AND s.i = f.i + 1),
+      h{r} AS (SELECT corpus_id, i, CASE WHEN n > 1 AND max(g) OVER (PARTITION BY corpus_id) = 0 THEN CASE WHEN i - 1 < n // 2 THEN 0 ELSE 1 END ELSE g END AS g FROM f{r}),
+      l{r} AS (SELECT s.corpus_id, max(n) <= 1 OR sum(size) <= any_value(room) OR count(DISTINCT g) = max(n) AS last FROM s{r} s JOIN h{r} h ON h.corpus_id = s.corpus_id AND h.i = s.i GROUP BY 1),
+      m{r} AS (SELECT s.corpus_id, last, CASE WHEN last THEN 0 ELSE g END AS g, sum(size) > any_value(room) AS large, {_n(_HEAD + "<partial_analyses>" + chr(10))} || string_agg('  <partial_analysis>' || {_e("partial")} || '</partial_analysis>', chr(10) ORDER BY s.i) || {_n(chr(10) + "</partial_analyses>")} AS u
+        FROM s{r} s JOIN h{r} h ON h.corpus_id = s.corpus_id AND h.i = s.i JOIN l{r} l ON l.corpus_id = s.corpus_id GROUP BY ALL),
+      d{r} AS (SELECT corpus_id, CASE WHEN NOT large THEN 'analysis ' || {_TAG("u")} END AS analysis, CASE WHEN large THEN 'DocumentsTooLargeError' END AS error_class, {r} AS rounds FROM m{r} WHERE last
+        UNION ALL SELECT DISTINCT corpus_id, NULL, 'DocumentsTooLargeError', {r} FROM m{r} WHERE NOT last AND large),
+      p{r + 1} AS (SELECT corpus_id, g AS ord, 'analysis ' || {_TAG("u")} AS partial FROM m{r} WHERE corpus_id NOT IN (SELECT corpus_id FROM d{r}))""")
+    ends = " UNION ALL ".join(f"SELECT * FROM d{r}" for r in range(1, rounds + 1))
+    parts.append(f"ends AS ({ends} UNION ALL SELECT corpus_id, NULL, 'AnalysisError', 0 FROM q WHERE corpus_id NOT IN (SELECT corpus_id FROM p1))")
+    return "WITH RECURSIVE " + ",\n".join(parts) + " SELECT corpus_id, analysis, CASE WHEN error_class IS NULL THEN 'ok' ELSE 'error' END AS status, error_class, CAST(rounds AS BIGINT) AS rounds FROM ends"
+
+
+def _codes_sql(levels: int, max_codes: int, threshold: float) -> str:
+    """assign_codes level by level; the framework of the given tables has so many."""
+    plain = screening._PLAIN
+    lines = "array_to_string(list_transform(names, lambda x, i: 'Code level ' || i || ': ' || x), chr(10))"
+    empty = lambda t: f"CAST([] AS {t}[])"
+    parts = [f"""o AS (SELECT coalesce(parent_id, '') AS spot, list(node_id ORDER BY position, node_id) AS ids, list(name ORDER BY position, node_id) AS labels FROM framework GROUP BY 1),
+      t0 AS (SELECT id, '' AS spot, {empty("VARCHAR")} AS path, {empty("VARCHAR")} AS names, {empty("DOUBLE")} AS scores, {empty("BIGINT")} AS seq FROM records WHERE content <> '')"""]
+    for k in range(levels):
+        parts.append(f"""a{k} AS (SELECT t.*, content, ids, labels, {plain} || CASE WHEN len(names) > 0 THEN '<hierarchy_path>' || chr(10) || {lines} || {_n(chr(10) + "</hierarchy_path>" + chr(10) * 2)} ELSE '' END
+        || '<current_level>' || chr(10) || 'Code level ' || (len(names) + 1) || {_n(chr(10) + "</current_level>" + chr(10) * 2 + "<options>" + chr(10))} || array_to_string(list_transform(labels, lambda x, i: (i - 1) || ': ' || x), chr(10)) || chr(10) || '</options>' AS u
+        FROM t{k} t JOIN o ON o.spot = t.spot JOIN records r ON r.id = t.id),
+      c{k} AS (SELECT *, unnest(list_sort(list_distinct([CAST(floor({_UNIT("u")} * len(labels)) AS BIGINT), CAST(floor({_UNIT("u")} * 7919) AS BIGINT) % len(labels)]))) AS pick FROM a{k}),
+      n{k} AS (SELECT id, content, list_append(path, ids[pick + 1]) AS path, list_append(names, labels[pick + 1]) AS names, scores, list_append(seq, pick) AS seq FROM c{k}),
+      j{k} AS (SELECT *, {plain} || '<code_path>' || chr(10) || {lines} || {_n(chr(10) + "</code_path>" + chr(10) * 2 + "<instruction>" + chr(10) + "Score the assignment at code level ")} || len(names) || '.' || chr(10) || '</instruction>' AS ju FROM n{k}),
+      t{k + 1} AS (SELECT id, path[-1] AS spot, path, names, list_append(scores, s) AS scores, seq FROM (SELECT *, round({_UNIT("ju")}, 2) AS s FROM j{k}) WHERE s >= {threshold})""")
+    leaves = " UNION ALL ".join(f"SELECT * FROM t{k} WHERE spot NOT IN (SELECT spot FROM o)" for k in range(1, levels + 1))
+    cols = ", ".join(f"path[{k}] AS code_{k}_id, names[{k}] AS code_{k}_name, scores[{k}] AS code_{k}_confidence" for k in (1, 2, 3))
+    parts.append(f"f AS (SELECT *, list_min(scores) AS confidence FROM ({leaves})), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, seq) AS rank FROM f)")
+    return "WITH " + ",\n".join(parts) + f" SELECT id, rank, {cols}, confidence, CAST(NULL AS VARCHAR) AS error_class FROM best WHERE rank <= {max_codes}"
+
+
 _EV = "CAST(round(((event_id * {k}) % 101) / 100, 2) AS DOUBLE)"
 _S = [_EV.format(k=k) for k in (3, 4, 5)]
 _P = f"p AS (SELECT event_id, user_id, event_type, [{', '.join(_S)}] AS s FROM events)"
@@ -126,6 +206,12 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "gk" and k[1].isd
 SQL = {
     "k1_completions": with_views("""WITH r AS (SELECT id, CASE WHEN pos % 9 = 0 THEN 'AnalysisError' WHEN (length(content) + 5) // 4 > 2000 THEN 'DocumentsTooLargeError' END AS e, 'analysis ' || substr(md5(content), 1, 12) AS c FROM records)
       SELECT id, CASE WHEN e IS NULL THEN c END AS content, CASE WHEN e IS NULL THEN 'ok' ELSE 'error' END AS status, e AS error_class, CASE WHEN e IS NULL THEN CAST(length(c) // 4 AS BIGINT) ELSE 0 END AS output_tokens FROM r""", "records"),
+    "g1_single_pass": with_views(_G1, "records"),
+    "g4_tree": with_views(_tree_sql(20_000, 4), "records"),
+    "g10_summaries": with_views(_G10, "records"),
+    "g11_bulk_summaries": with_views(_G11, "records"),
+    "g13_sensitive": with_views(_G13, "records"),
+    "g14_codes": with_views(_codes_sql(3, 3, 0.2), "records", "framework"),
     "g3_packed": """WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 10 AS BIGINT) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity * 10 AS BIGINT)) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
       f AS (SELECT l_orderkey, l_linenumber, i, n, size AS used, CAST(0 AS BIGINT) AS g FROM s WHERE i = 1 UNION ALL
         SELECT s.l_orderkey, s.l_linenumber, s.i, s.n, CASE WHEN f.used + s.size <= 400 THEN f.used + s.size ELSE s.size END, CASE WHEN f.used + s.size <= 400 THEN f.g ELSE f.g + 1 END FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.i = f.i + 1)
