@@ -385,3 +385,44 @@ def test_urls(spark):
     out = url_filter.judge_urls(spark.createDataFrame([(1000 * y + k, u) for k, u, y in held], "page_id long, url string"), url_filter.train(url_filter.labelled_urls(spark)), rules=()).collect()
     assert np.mean([(r.verdict == "block") == (r.page_id >= 1000) for r in out]) >= 0.9
     assert url_filter.judge_urls(df.limit(0), url_filter.train(df.selectExpr("url", "CAST(NULL AS int) AS label"))).count() == 0
+
+
+def test_repeats_against_all_windows(spark):
+    """Every document with a stretch of 52 words that another holds is found, also where each sentence stands first in a document of its own."""
+    import random
+
+    from recall_substring import shared_windows
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    sentences = [prose(12) + "." for _ in range(10)]
+    rows = [(k, prose(30) + " " + s + " " + prose(30)) for k, s in enumerate(sentences)]
+    rows += [(100 + k, prose(40 + k) + " " + " ".join(sentences) + " " + prose(20)) for k in range(3)]
+    long = prose(3000)
+    rows += [(200, long), (201, prose(3) + " " + long), (202, "x" + long[:9000] + " " + prose(40) + long[9000:])]
+    rows += [(300 + k, prose(20) + " que" * (80 + 30 * k) + " " + prose(20)) for k in range(4)] + [(400 + k, prose(200)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: t.encode() for i, t in rows}
+    want = {i: w for i, w in shared_windows(texts).items() if w}
+    got = {}
+    for x in substring_dedup.repeated_spans(docs).collect():
+        got.setdefault(x._id, []).append((x.start, x.end))
+        part = texts[x._id][x.start : x.end]
+        assert sum(part in t for t in texts.values()) > 1 and part.decode("utf-8")
+    assert set(got) == set(want)
+    for i in (100, 101, 102, 200, 201):
+        a, b = min(s for s, _ in want[i]), max(e for _, e in want[i])
+        assert any(s <= a and e >= b for s, e in got[i])
+
+
+def test_repeats_keep_columns(spark):
+    text = _words(70, 9) + " é"
+    rows = [(1, text, 5, "a"), (2, "é " + text + " 漢", 6, None), (None, None, 7, "c"), (None, text, 8, "d"), (2, "é " + text + " 漢", 6, None), (4, "", 9, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, gone string")
+    out = substring_dedup.drop_repeats(docs)
+    assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
+    left = sorted(((x.doc_id, x.text, x._row, x.gone) for x in out.collect()), key=str)
+    assert len(left) == 6 and (1, text, 5, "a") in left and (None, None, 7, "c") in left and (4, "", 9, "e") in left
+    assert all(len(t) < 20 for i, t, *_ in left if i == 2)
+    assert substring_dedup.drop_repeats(docs.limit(0)).count() == 0
