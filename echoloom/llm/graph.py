@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, settle, spread_join
+from .common import discard, hot_keys, settle, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = told.groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
         hooked = settle(labels.join(near, "node").select("node", "comp", F.least("comp", "_near").alias("_new")), "hooked")
         if hooked.where("_new <> comp").isEmpty():  # no edge between two labels
+            discard(hubs, hooked)
             return labels
         # The old root learns of the smaller label too, so that whole trees move at once.
         roots = hooked.groupBy("comp").agg(F.min("_new").alias("_rnew"))
@@ -32,4 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         lifted = settle(lifted.select("node", F.least("_new", "_rnew").alias("_new")), "lifted")
         up = lifted.select(F.col("node").alias("_new"), F.col("_new").alias("_up"))
         jumped = spread_join(lifted, up, ["_new"], hot_keys(lifted, ["_new"], nodes), F.xxhash64("node"))
+        before = labels
         labels = settle(jumped.select("node", F.least("_new", "_up").alias("comp")), "labels")
+        discard(before, hooked, lifted)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import SPACE, hot_keys, mix, settle, span_hashes, spread_join, table, text_hash, word_spans
+from .common import SPACE, discard, hot_keys, mix, settle, span_hashes, spread_join, table, text_hash, word_spans
 
 WINDOW = 16
 #: A chunk ends where MASK_BITS bits of the rolling hash are zero, not before MIN_CHUNK bytes and at MAX_CHUNK at the latest.
@@ -32,8 +32,8 @@ MAX_CHUNK = 160
 RADIUS = 24
 #: Whole words in a span that is reported.
 MIN_WORDS = 50
-#: Bytes beyond the common chunks that are compared at first.
-REACH = 600
+#: Bytes beyond the common chunks that are compared at first, more than a chunk has.
+REACH = 192
 #: Least bytes of the runs of chunks that get a digest; longer ones double.
 RUNS = (96, 144, 216, 324, 486)
 #: Stands for a null identifier: one document, after all others.
@@ -224,14 +224,15 @@ def _holders(batches):
 
 
 def _shared_places(places: DataFrame, name: str) -> DataFrame:
-    """(key, place, a_id, a_row, a_start) of the keys in places that two documents hold, with the first place of each."""
+    """(key, place, a_id, a_row, a_start) of the keys in places (settled, not read again) that two documents hold, with the first place of each; and what was settled for it."""
     order = places.repartitionByRange("key", "_id", "_row", "start").sortWithinPartitions("key", "_id", "_row", "start").select(*_PLACE)
     found = settle(order.mapInArrow(_holders, _HELD), name)
+    discard(places)
     ends = found.where("kind = 2").groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("a_id", "a_row", "a_start")).alias("_first"), F.max("_id").alias("_last")).where("_first.a_id < _last")
     # Two rows a partition.
     open_ = found.where("kind = 1").join(F.broadcast(ends), F.col("key") == F.col("_key"))
     open_ = open_.select(*_PLACE, "_first.a_id", "_first.a_row", "_first.a_start")
-    return found.where("kind = 0").select(*_PLACE, "a_id", "a_row", "a_start").unionByName(open_)
+    return found.where("kind = 0").select(*_PLACE, "a_id", "a_row", "a_start").unionByName(open_), found
 
 
 _DOC = ("_id", "_row", "start", "size", "key", "a_id", "a_row", "a_start")
@@ -384,19 +385,22 @@ def _whole_words(x: np.ndarray, y: np.ndarray, s: int, e: int) -> int:
     return max(0, len(starts) - first - last)
 
 
-def _compared(keyed: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
-    """_SPAN rows of pairs (b_id, b_row, a_id, a_row, b_at, a_at, n)."""
+def _compared(keyed: DataFrame, repeated: bool, pairs: DataFrame, min_words: int) -> DataFrame:
+    """_SPAN rows of pairs (b_id, b_row, a_id, a_row, b_at, a_at, n). repeated: keyed has rows with one id and text."""
     sides = [pairs.select(F.col(f"{x}_id").alias("_id"), F.col(f"{x}_row").alias("_row"), F.col(f"{x}_at").alias("at"), "n") for x in "ab"]
     need = settle(sides[0].unionByName(sides[1]).distinct(), "need")
     segments = spread_join(need, keyed, ["_id", "_row"], hot_keys(need, ["_id", "_row"]), F.xxhash64("at", "n"))
-    segments = settle(segments.select("_id", "_row", "at", "n", F.expr("substring(_text, cast(at + 1 as int), cast(n as int))").alias("seg")), "segments").dropDuplicates(["_id", "_row", "at", "n"])
+    segments = settle(segments.select("_id", "_row", "at", "n", F.expr("substring(_text, cast(at + 1 as int), cast(n as int))").alias("seg")), "segments")
+    texts = segments.dropDuplicates(["_id", "_row", "at", "n"]) if repeated else segments
     for x in "ba":
         keys = [f"{x}_id", f"{x}_row", f"{x}_at", "n"]
-        mine = segments.select(*[F.col(c).alias(k) for c, k in zip(("_id", "_row", "at", "n"), keys, strict=True)], F.col("seg").alias(f"{x}_seg"))
+        mine = texts.select(*[F.col(c).alias(k) for c, k in zip(("_id", "_row", "at", "n"), keys, strict=True)], F.col("seg").alias(f"{x}_seg"))
         held = pairs if x == "b" else held  # noqa: F821
         held = held.join(mine, keys) if x == "b" else spread_join(held, mine, keys, hot_keys(pairs, keys), F.xxhash64("b_id", "b_row", "b_at"))
     held = held.select("a_id", "a_row", "a_at", "a_seg", "b_id", "b_row", "b_at", "b_seg", "n")
-    return settle(held.mapInArrow(_stretches(min_words), _SPAN), "stretches")
+    out = settle(held.mapInArrow(_stretches(min_words), _SPAN), "stretches")
+    discard(need, segments)
+    return out
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -408,17 +412,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = _keyed(docs, id_col, text_col)
     chunks = settle(keyed.mapInArrow(_chunks, "key long, _id long, _row long, start int, size int"), "chunks")
-    hits = _shared_places(chunks, "hits")
+    hits, written = _shared_places(chunks, "hits")
     found = settle(hits.repartition("_id", "_row").sortWithinPartitions("_id", "_row", "start").select(*_DOC).mapInArrow(_of_documents, _FOUND), "found")
-    runs = found.where("kind = 1").select("key", "_id", "_row", F.col("lo").cast("int").alias("start"), (F.col("hi") - F.col("lo")).cast("int").alias("size"))
-    more = _shared_places(runs, "runs").where("_id > a_id").select("_id", "_row", "a_id", "a_row", (F.col("start") - F.col("a_start")).cast("long").alias("shift"), F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("size")).cast("long").alias("hi"))
+    discard(written)
+    runs = settle(found.where("kind = 1").select("key", "_id", "_row", F.col("lo").cast("int").alias("start"), (F.col("hi") - F.col("lo")).cast("int").alias("size")), "run-keys")
+    more, written = _shared_places(runs, "runs")
+    more = more.where("_id > a_id").select("_id", "_row", "a_id", "a_row", (F.col("start") - F.col("a_start")).cast("long").alias("shift"), F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("size")).cast("long").alias("hi"))
     pairs = found.where("kind = 0").drop("kind", "key").unionByName(more)
     pairs = pairs.groupBy(F.col("_id").alias("b_id"), F.col("_row").alias("b_row"), "a_id", "a_row", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     before = F.least(F.lit(REACH), F.col("lo"), F.col("lo") - F.col("shift"))
     pairs = settle(pairs.select("b_id", "b_row", "a_id", "a_row", (F.col("lo") - before).alias("b_at"), (F.col("lo") - F.col("shift") - before).alias("a_at"), (F.col("hi") - F.col("lo") + before + REACH).alias("n")), "pairs")
+    discard(found, written)
+    repeated = not keyed.groupBy("_id", "_row").count().where("count > 1").isEmpty()
     spans = None
     while True:
-        part = _compared(keyed, pairs, min_words)
+        part = _compared(keyed, repeated, pairs, min_words)
         done = part.where("open = 0").select("_id", "_row", "start", "end", "n_words", "first_id", "is_first")
         spans = done if spans is None else spans.unionByName(done)
         wider = part.where("open = 1")
