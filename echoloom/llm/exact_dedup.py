@@ -89,7 +89,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z; the row with the largest id stays.
     Null and empty texts are equal to each other. Null ids count as the smallest; if a group has
     no other id, keep_id is null. Of repeated rows with the largest id one stays. An empty table
-    gives an empty result; other columns of any name are ignored.
+    gives an empty result; very long texts are compared whole, and other columns of any name are ignored. Runs that go on in another
+    partition are matched by SHA-256.
     """
     runs = _sorted_runs(docs, id_col, text_col, []).select("_id", "_text", "_sha")
     local = settle(runs.mapInArrow(_decide, "_id long, _sha binary, _keep long, _n long, _first boolean, _open boolean"), "exact")
@@ -143,7 +144,7 @@ def _survivors(batches):
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; same rule as exact_groups, one shuffle."""
+    """The rows of docs that stay, with all their columns; same rule as exact_groups (nulls, ties, repeats, long texts, empty tables), one shuffle. Columns may have any name."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     runs = _sorted_runs(docs, id_col, text_col, others)
     schema = T.StructType([*runs.schema.fields, T.StructField("_open", T.BooleanType())])

@@ -107,7 +107,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at least
     min_key code points in at least two documents lose all their lines except in the smallest id.
     _th is a hash of the text: rows that share an id but not a text each have a bitmap of their own,
-    while they count as one document. A null id is one document, after all others.
+    while they count as one document. A null id is one document, after all others. Of equal lines of one document all stay or
+    none; null and empty texts are one empty line, which never goes; long texts are read whole; other columns of any name are ignored; an empty
+    table gives an empty result.
     """
     lines = keyed_documents(docs, id_col, text_col).mapInArrow(_lines(min_key), "h1 long, h2 long, _id long, _th long, pos int")
     lines = lines.repartitionByRange("h1", "h2", "_id").sortWithinPartitions("h1", "h2", "_id", "_th", "pos")

@@ -95,7 +95,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """The mixture itself: every row of docs as often as it is taken, with its own columns."""
+    """The mixture itself: every row of docs as often as it is taken, with its own columns, whatever their names; nulls, repeats, long texts and empty tables as in mix_counts."""
     out = mix_counts(docs, id_col, text_col, source_col, seed, carry=docs.columns)
     out = out.where("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -223,12 +223,13 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, bytes of little-endian unsigned 32-bit ids).
 
     Every row of docs is a document of its own: its text's ids and END_ID. A null or empty text is END_ID alone.
-    Rows that repeat an id are packed each for itself. An empty table gives an empty result. path: a tokenizers
+    Rows that repeat an id, or have none, are packed each for itself. Very long texts are cut into
+    pieces freely; other columns of any name are ignored. An empty table gives an empty result. path: a tokenizers
     file at the same place on every worker.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
     groups = max(1, math.ceil(docs.count() / group_docs))
-    inner = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(groups)), F.lit(groups)).cast("long").alias("_group"))
+    inner = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(groups)), F.lit(groups)).cast("long").alias("_group"))
     rows = inner.mapInArrow(_tokenized(path, sequence, with_ids), "_id long, _group long, n long, crcs array<long>, ids array<binary>")
     rows = rows.repartition("_group").sortWithinPartitions("_group", "n", "_id", "crcs")
     out = rows.mapInArrow(_packed(sequence, with_ids), "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

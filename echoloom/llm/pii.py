@@ -108,7 +108,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     start and end count code points, end exclusive. Spans of the base kinds that pass their check are always
     there; others only with a score of THRESHOLD or more, and not across a base span. Null and empty texts
-    have no spans.
+    have no spans; very long texts are searched whole, repeated rows and null ids are rows like any other, other columns of any name are
+    ignored, and an empty table gives an empty result.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

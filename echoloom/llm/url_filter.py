@@ -6,6 +6,8 @@ is a vector of 2**BITS weights, so what is broadcast has a fixed size.
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,24 +18,47 @@ from .common import mix, table
 BITS = 16
 GRAMS = (3, 4, 5)
 MAX_LABELLED = 20_000
+#: A page is blocked from this probability on; half would block what the model knows nothing of.
+THRESHOLD = 0.65
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-# The labelled table, words in host names and what they stand for.
-BLOCKED_HOSTS = (
-    "cheap-pills.example.com", "cheap-pills.example.net", "www.cheap-pills.example.org", "casino-win.example.net", "casino-win.example.org", "m.casino-win.example.com",
-    "spam-farm.example.org", "blog.spam-farm.example.net", "spam-farm.example.com", "adult-x.example.com", "adult-x.example.org", "www.adult-x.example.net",
-    "ads-track.example.com", "m.ads-track.example.org", "ads-track.example.net", "free-bets.example.net", "free-bets.example.com", "blog.free-bets.example.org",
-)
-ALLOWED_HOSTS = (
-    "thering.example.com", "www.therand.example.net", "blog.tionble.example.org", "m.ththth.example.net", "ththre.example.org", "thernd.example.com", "blog.tionsh.example.net", "ththan.example.net",
-    "weather.example.org", "library.example.com", "www.history.example.net", "blog.garden.example.com", "m.recipes.example.org", "science.example.net", "museum.example.org", "news.example.com",
-    "therha.example.net", "blog.thonth.example.org", "www.tiontion.example.com", "ththble.example.org", "therst.example.net", "m.theron.example.com", "ththly.example.com", "schools.example.org",
-)
-SAMPLE_PATHS = ("/en/12", "/fr/825", "/de/61.html", "/es/978/", "/en/")
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{h}{p}", y) for hosts, y in ((BLOCKED_HOSTS, 1), (ALLOWED_HOSTS, 0)) for h in hosts for p in SAMPLE_PATHS]
+# Words of the labelled table, of urls to block and of others.
+BLOCKED_WORDS = (
+    "casino poker slots roulette jackpot betting bets sportsbook lottery bingo pills viagra cialis pharma steroids weightloss porn xxx adult sex escort "
+    "webcam nude dating loans payday credit forex bitcoin replica rolex warez crack keygen serial torrent malware phishing spam tracker adserver popunder clicks cheap free win bonus winner prize"
+).split()
+ALLOWED_WORDS = (
+    "library museum history science weather garden recipes cooking travel city council school college university research journal archive news press daily "
+    "health clinic hospital music theatre cinema film books poetry language grammar maths physics chemistry biology nature forest river mountain football tennis cycling climbing family "
+    "children teacher market farm bakery coffee bread village church parish law court justice policy budget energy water rail bus station house roof paint wood design art gallery photo camera code software linux data map atlas blog notes forum wiki"
+).split()
+PREFIXES = ("", "www.", "blog.", "m.")
+ENDINGS = ("com", "org", "net", "info", "example.com", "example.org", "example.net")
+LANGUAGES = ("en", "fr", "de", "es")
+SYLLABLES = ("ba", "ro", "ti", "len", "mar", "ko", "su", "vin", "del", "pa", "the", "ring", "sho", "ly", "tion", "and")
+
+
+def labelled_urls(spark: SparkSession, each: int = 1000, seed: int = 11) -> DataFrame:
+    """(url, label): the same number of urls to block (1) and to allow (0), made from the words by a rule.
+
+    Of those to block a third have both a host and a path of such words, a third the host alone, a third the path alone; the
+    rest of each, and all of the others, are everyday words, made-up names, numbers and languages.
+    """
+    r = random.Random(seed)
+    letters = lambda: "".join(r.choice("abcdefghiklmnoprstuvwhtn") for _ in range(r.randint(3, 8)))
+    made_up = lambda: letters() if r.random() < 0.5 else "".join(r.choice(SYLLABLES) for _ in range(r.randint(2, 3)))
+    plain = lambda: r.choice(ALLOWED_WORDS) if r.random() < 0.5 else made_up()
+    name = lambda word: (word() + r.choice(("-", "")) + word() if r.random() < 0.6 else word()) + r.choice(("", "", str(r.randint(1, 999))))
+    bad = lambda: r.choice(BLOCKED_WORDS)
+    host = lambda word: f"{r.choice(PREFIXES)}{name(word)}.{r.choice(ENDINGS)}"
+
+    def path(word) -> str:
+        some = [r.choice(LANGUAGES)] if r.random() < 0.5 else []
+        some += [name(word) for _ in range(r.randint(0 if word is plain else 1, 2))] + ([str(r.randint(1, 9999))] if r.random() < 0.6 else [])
+        return "/" + "/".join(some) + r.choice(("", "", "/", ".html"))
+
+    kinds = ((bad, bad), (bad, plain), (plain, bad))
+    rows = [(f"https://{host(kinds[k % 3][0])}{path(kinds[k % 3][1])}", 1) for k in range(each)] + [(f"https://{host(plain)}{path(plain)}", 0) for _ in range(each)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -70,7 +95,7 @@ def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray
     return r, c, 1 / np.sqrt(np.bincount(r, minlength=len(hosts)).clip(1))[r]
 
 
-def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", epochs: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", epochs: int = 200, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias from at most MAX_LABELLED rows (by a hash of the url), by full-batch gradient steps.
 
     Rows without a label are left out. Without rows of both classes the model allows everything.
@@ -118,11 +143,13 @@ def match_rule(by: dict, host: str, path: str) -> tuple[str, str] | None:
     return best
 
 
-def judge_urls(pages: DataFrame, model: tuple[np.ndarray, float], rules=RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, model: tuple[np.ndarray, float], rules=RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, score.
 
     score is the model's probability of a page to block, whatever the rules say. A null url, one
-    without a scheme or an empty one has an empty host and path; it is judged by the model alone.
+    without a scheme or an empty one has an empty host and path; it is judged by the model alone. Of rules of one
+    length the first stays. Repeated rows and null ids are rows like any other, very long urls are judged whole, other columns of any
+    name are ignored, and an empty table gives an empty result.
     """
     shared, by = pages.sparkSession.sparkContext.broadcast(model), rule_index(rules)
 
