@@ -7,10 +7,10 @@ minimum hashes. Two sets of similarity s meet in a table with probability
 
 Texts with equal sets are one class from the start. Table keys are range-partitioned and sorted with their
 classes, so a key of any size may lie in several partitions; the classes of a key are tied to its first one.
-Each class is compared with the few that it is tied to most often. Then each key whose classes are not yet
-one component is looked at on its own: its classes that are not connected are compared in cells of
-bounded size, blocks of the rest against each other and against blocks of the key's largest component. A pair
-that shares several keys is compared at the first of its tables. Ties are never closed before a comparison has confirmed them, no pairs are
+Each class is compared with the few that it is tied to most often. Then the classes of the keys that are not yet one
+component are looked at: those that share a left half key and are not connected meet in cells of
+bounded size, blocks of the rest against each other and against blocks of the key's largest component, and pairs that share a right half key too
+(so a table) are compared, each at the first left half key it shares. Ties are never closed before a comparison has confirmed them, no pairs are
 emitted but the few with leaders and the links found, and all comparisons are on the full sets.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, keep_rows, mix, settle, span_hashes, spread_join, table, text_hash, word_spans
+from .common import discard, hot_keys, keep_rows, mix, settle, span_hashes, spread_join, table, text_hash, word_spans
 from .graph import components
 
 WORDS = 5
@@ -181,31 +181,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.select("a", "b", "_x", "_y").mapInArrow(_confirm(words, percent), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
-def _partners(i: int, cell: dict, label: np.ndarray, at: tuple[int, int], percent: int) -> np.ndarray:
-    """Classes of a cell that class i is to be compared with here, the most alike first.
+def _partners(i: int, cell: dict, label: np.ndarray, at: int, percent: int) -> np.ndarray:
+    """Classes of a cell that share a table with class i and are to be compared with it here, the most alike first.
 
-    A pair that shares several tables is compared in the first of them alone.
+    A pair that shares several left half keys is compared at the first of them alone.
     """
     n, half = cell["n"], cell["half"]
     order = np.flatnonzero((label != label[i]) & ((np.arange(len(label)) < i) | cell["large"]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
     if not len(order):
         return order
     same = half[order] == half[i]
-    here = (same[:, :LEFT].argmax(axis=1) == at[0]) & (same[:, LEFT:].argmax(axis=1) == at[1])
+    here = (same[:, :LEFT].argmax(axis=1) == at) & same[:, LEFT:].any(axis=1)
     return order[here][np.argsort(-same[here].sum(axis=1), kind="stable")]
 
 
-def _table_of(key: int, half: np.ndarray) -> tuple[int, int]:
-    """The table that a class with these half keys has this key in."""
-    keys = mix(half[:LEFT, None] * _ROT + half[None, LEFT:] + _TABLE)
-    left, right = np.argwhere(keys.view(np.int64) == key)[0]
-    return int(left), int(right)
+_LEFT_SALT = _TABLE[:, 0]
 
 
-def _read_cell(rows: dict[str, list]) -> tuple[dict, np.ndarray, tuple[int, int]]:
+def _left_keys(batches):
+    """For each class the keys of its left half keys."""
+    for b in batches:
+        half = np.frombuffer(b"".join(b.column("half").to_pylist()), dtype=np.uint64).reshape(-1, LEFT + RIGHT)
+        keys = mix(half[:, :LEFT] + _LEFT_SALT).reshape(-1).view(np.int64)
+        cols = [np.repeat(b.column(c).to_numpy(), LEFT) for c in ("node", "comp")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], names=["key", "node", "comp"])
+
+
+def _read_cell(rows: dict[str, list]) -> tuple[dict, np.ndarray, int]:
     half = np.frombuffer(b"".join(rows["half"]), dtype=np.uint64).reshape(-1, LEFT + RIGHT)
     _, label = np.unique(np.array(rows["comp"], dtype=np.int64), return_inverse=True)
-    return {"half": half, "large": np.array(rows["large"], dtype=bool), "n": np.array(rows["n"])}, label, _table_of(rows["key"][0], half[0])
+    return {"half": half, "large": np.array(rows["large"], dtype=bool), "n": np.array(rows["n"])}, label, int(np.flatnonzero(mix(half[0, :LEFT] + _LEFT_SALT).view(np.int64) == rows["key"][0])[0])
 
 
 def _met(rows: dict[str, list], percent: int) -> np.ndarray:
@@ -285,13 +290,17 @@ def _link_cells(words: int, percent: int):
     return run
 
 
-def _open_members(members: DataFrame, comps: DataFrame, compared: DataFrame) -> DataFrame:
-    """(key, node, comp) of the keys whose classes are not one component, but for pairs that were compared."""
+def _open_members(members: DataFrame, comps: DataFrame, compared: DataFrame, halves: DataFrame) -> DataFrame:
+    """(key, node, comp): of the classes that share a table with one they are not connected to (but for pairs that were compared), those that share a left half key with such a one; key stands for it."""
     placed = settle(members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "members")
     keys = placed.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("node").alias("a"), F.max("node").alias("b")).where("_lo <> _hi")
     done = compared.select("a", "b").withColumn("_c", F.lit(2).cast("long"))
     keys = settle(keys.join(done, ["a", "b", "_c"], "left_anti").select("key"), "open")
-    return spread_join(placed, keys, ["key"], hot_keys(placed, ["key"]), F.xxhash64("node"), "left_semi")
+    nodes = spread_join(placed, keys, ["key"], hot_keys(placed, ["key"]), F.xxhash64("node"), "left_semi").select("node", "comp").distinct()
+    left = settle(nodes.join(halves, "node").select("node", "comp", "half").mapInArrow(_left_keys, "key long, node long, comp long"), "left")
+    discard(placed, keys)
+    keys = left.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
+    return spread_join(left, keys, ["key"], hot_keys(left, ["key"]), F.xxhash64("node"), "left_semi")
 
 
 def _cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -343,7 +352,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared = settle(best.select("b", F.explode("_l.a").alias("a")).select("a", "b"), "compared")
     links = settle(_verified(compared, texts, words, percent), "links")
     comps = components(links)
-    open_ = settle(_open_members(members, comps, compared), "open-members")
+    open_ = settle(_open_members(members, comps, compared, texts.select("node", "half")), "open-members")
     if not open_.isEmpty():
         placed = lambda cells, *more: cells.join(texts.select("node", "n", "half", *more), "node").repartition("cell").sortWithinPartitions("cell", "node").select("cell", *_CELL, *more)
         # First without texts: who meets whom. A class takes its text only to cells where it is compared.
