@@ -33,7 +33,7 @@ LEFT, RIGHT, ROWS = 10, 10, 3
 #: So many of the classes that a class is tied to are compared with it before the cells.
 LEADERS = 2
 #: Classes of a block, and sets that a cell holds at a time.
-BLOCK = 500
+BLOCK = 250
 HELD = 400
 #: A cell whose sets have fewer members in all holds them all.
 SETS = 4_000_000
