@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .validate import DISCLAIMER
 
 # The built-in detectors, in order of their names, and labels that are not personal.
@@ -33,10 +34,10 @@ def _spans(text: Column, type: str, pattern: str) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
 
 
-def detect_entities(df: DataFrame, id_col: str, col: str, detectors: dict[str, str] | None = None) -> DataFrame:
-    """A row for each span: id, start, end (code points, end exclusive), type, value. Another recogniser's rows of this form serve as well."""
+def detect_entities(df: DataFrame, id_col: str, col: str, detectors: dict[str, str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each span: id, start, end (code points, end exclusive), type, value, and columns to carry. Another recogniser's rows of this form serve as well."""
     found = F.concat(*[_spans(F.coalesce(F.col(col), F.lit("")), t, p) for t, p in (detectors or DETECTORS).items()])
-    return df.select(F.col(id_col), F.explode(found).alias("_s")).select(id_col, "_s.start", "_s.end", "_s.type", "_s.value")
+    return df.select(F.col(id_col), *carry, F.explode(found).alias("_s")).select(id_col, "_s.start", "_s.end", "_s.type", "_s.value", *carry)
 
 
 def filter_entities(spans: DataFrame, ignore: tuple[str, ...] = IGNORED, verbatim: tuple[str, ...] = VERBATIM) -> DataFrame:
@@ -73,10 +74,13 @@ def pseudonymise_records(df: DataFrame, by: str = "corpus_id", id_col: str = "id
     """The records with col redacted, and the mapping (by, placeholder, type, value).
 
     Placeholders are numbered over a whole corpus in order of record and place, so one of them means one value wherever
-    it stands. Metadata stay.
+    it stands. Metadata stay. Spans are found once and written to the shared folder; the mapping and the records both read them there.
     """
-    found = resolve_spans(filter_entities(spans if spans is not None else detect_entities(df, id_col, col)), id_col)
-    keyed = found.join(df.select(id_col, by), id_col)
+    if spans is None:
+        found = detect_entities(df, id_col, col, carry=(by,))
+    else:
+        found = spans.join(df.select(id_col, by), id_col)
+    keyed = checkpointed(resolve_spans(filter_entities(found), id_col))
     mapping = number_placeholders(keyed, [by], [id_col, "start"])
     own = keyed.join(mapping, [by, "type", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
     out = df.join(own, id_col, "left").withColumn(col, F.when(F.col("_spans").isNull(), F.col(col)).otherwise(replace_spans(F.col(col), F.col("_spans"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 METRICS = (("call_duration_ms", "duration"), ("input_tokens", "input"), ("output_tokens", "output"))
@@ -45,17 +46,41 @@ def invocations(df: DataFrame) -> DataFrame:
     )
 
 
-def dist_columns(col: str, prefix: str, where: Column) -> list[Column]:
-    """avg, min, max, total and the interpolated 5th and 95th percentile over the rows where the condition holds."""
-    x = F.when(where, F.col(col))
-    return [
-        F.avg(x).alias(f"{prefix}_avg"),
-        F.min(x).cast("bigint").alias(f"{prefix}_min"),
-        F.max(x).cast("bigint").alias(f"{prefix}_max"),
-        F.sum(x).cast("bigint").alias(f"{prefix}_total"),
-        F.percentile(x, 0.05).alias(f"{prefix}_p5"),
-        F.percentile(x, 0.95).alias(f"{prefix}_p95"),
-    ]
+def _value_counts(rows: DataFrame, by: list[str], failed: Column) -> DataFrame:
+    """(by, _m, _v, _c, _total, _failed, _cost): counts of each value of a metric over rows that did not fail, and under metric '' the totals of all."""
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    piece = lambda m, v, total, bad, cost: F.struct(F.lit(m).alias("_m"), v.alias("_v"), total.alias("_total"), bad.alias("_failed"), cost.cast(MONEY).alias("_cost"))
+    pieces = [piece("", none, F.lit(1).cast("bigint"), failed.cast("bigint"), F.col("cost_usd"))]
+    pieces += [piece(p, F.when(~failed, F.col(col)).cast("bigint"), zero, zero, F.lit(0)) for col, p in METRICS]
+    long = rows.select(*by, F.explode(F.array(*pieces)).alias("_x")).select(*by, "_x.*").where("_m = '' or _v is not null")
+    return long.groupBy(*by, "_m", "_v").agg(F.count("_v").alias("_c"), F.sum("_total").alias("_total"), F.sum("_failed").alias("_failed"), F.sum("_cost").alias("_cost"))
+
+
+def _distributions(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, total, failed, cost_usd, avg, min, max, total, p5 and p95 of each metric) from value counts.
+
+    Percentiles are exact and interpolated. They come from running sums over the sorted distinct values of a metric, which spill.
+    """
+    cell = W.partitionBy(*by, "_m")
+    s = counts.withColumn("_upto", F.sum("_c").over(cell.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(cell))
+    place = lambda n, q: F.lit(q) * (n - 1)  # noqa: E731  from 0, may lie between two rows
+    aggs, shown = [], []
+    for _, p in METRICS:
+        mine = lambda x, p=p: F.when(F.col("_m") == p, x)
+        aggs += [F.sum(mine(F.col("_v") * F.col("_c"))).alias(f"{p}_total"), F.min(mine(F.col("_v"))).alias(f"{p}_min"), F.max(mine(F.col("_v"))).alias(f"{p}_max"), F.max(mine(F.col("_n"))).alias(f"{p}_n")]
+        shown += [(F.col(f"{p}_total").cast("double") / F.col(f"{p}_n")).alias(f"{p}_avg"), F.col(f"{p}_min"), F.col(f"{p}_max"), F.col(f"{p}_total")]
+        for name, q in (("p5", 0.05), ("p95", 0.95)):
+            at = place(F.col("_n"), q)
+            aggs += [F.min(mine(F.when(F.col("_upto") > f(at), F.col("_v")))).alias(f"{p}_{name}_{k}") for k, f in (("lo", F.floor), ("hi", F.ceil))]
+            lo, hi, at = F.col(f"{p}_{name}_lo"), F.col(f"{p}_{name}_hi"), place(F.col(f"{p}_n"), q)
+            shown.append(F.when(lo == hi, lo.cast("double")).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(f"{p}_{name}"))
+    out = s.groupBy(*by).agg(F.sum("_total").alias("total"), F.sum("_failed").alias("failed"), F.coalesce(F.sum("_cost"), F.lit(0)).cast(MONEY).alias("cost_usd"), *aggs)
+    return out.select(*by, "total", "failed", "cost_usd", *shown)
+
+
+def distributions(df: DataFrame, by: list[str], failed: Column) -> DataFrame:
+    """avg, min, max, total and the interpolated 5th and 95th percentile of the metrics of each group, over rows that did not fail; null without any."""
+    return _distributions(_value_counts(df, by, F.coalesce(failed, F.lit(False))), by).drop("total", "failed", "cost_usd")
 
 
 def zero_fill(df: DataFrame) -> DataFrame:
@@ -70,23 +95,21 @@ def usage_cube(df: DataFrame, view: str = "call") -> DataFrame:
 
     view 'call' counts calls, 'invocation' the sums of invocations. Totals and costs are over all rows, distributions
     over rows that did not fail. grouping tells a roll-up's null from a null in the data. The grand total is there
-    even without input. The percentiles are exact: their state grows with a cell's distinct values.
+    even without input. Rows shrink to counts of values by (tenant, operation) before they are rolled up.
     """
     rows = invocations(df) if view == "invocation" else df
     failed = F.col("all_failed") if view == "invocation" else F.col("status") == "error"
-    failed = F.coalesce(failed, F.lit(False))
-    cells = rows.cube("tenant_id", "operation").agg(
-        F.grouping_id().cast("bigint").alias("grouping"),
-        F.count("*").alias("total"),
-        F.count_if(failed).alias("failed"),
-        F.coalesce(F.sum("cost_usd"), F.lit(0)).cast(MONEY).alias("cost_usd"),
-        *[c for col, p in METRICS for c in dist_columns(col, p, ~failed)],
-    )
-    key = df.sparkSession.range(1).select(F.lit(TOTAL).cast("bigint").alias("_g"))
-    missing = key.join(cells.where(F.col("grouping") == TOTAL), F.col("_g") == F.col("grouping"), "left_anti")
-    kinds = dict(cells.dtypes)
-    blank = missing.select(*[F.lit(TOTAL).cast("bigint").alias(c) if c == "grouping" else (F.lit(0) if c in ("total", "failed", "cost_usd") else F.lit(None)).cast(kinds[c]).alias(c) for c in cells.columns])
-    return zero_fill(cells.unionByName(blank))
+    counts = _value_counts(rows, ["tenant_id", "operation"], F.coalesce(failed, F.lit(False)))
+    cell = lambda g, t, o: F.struct(F.lit(g).cast("bigint").alias("grouping"), (F.col("tenant_id") if t else F.lit(None).cast("string")).alias("tenant_id"), (F.col("operation") if o else F.lit(None).cast("string")).alias("operation"))
+    cells = F.array(cell(BOTH, True, True), cell(TENANT, True, False), cell(OPERATION, False, True), cell(TOTAL, False, False))
+    placed = counts.select(F.explode(cells).alias("_x"), "_m", "_v", "_c", "_total", "_failed", "_cost").select("_x.*", "_m", "_v", "_c", "_total", "_failed", "_cost")
+    kinds = dict(placed.dtypes)
+    nothing = {"grouping": F.lit(TOTAL), "_m": F.lit(""), "tenant_id": F.lit(None), "operation": F.lit(None), "_v": F.lit(None)}
+    empty = df.sparkSession.range(1).select(*[nothing.get(c, F.lit(0)).cast(kinds[c]).alias(c) for c in placed.columns])
+    by = ["grouping", "tenant_id", "operation"]
+    rolled = placed.unionByName(empty).groupBy(*by, "_m", "_v").agg(*[F.sum(c).alias(c) for c in ("_c", "_total", "_failed", "_cost")])
+    out = _distributions(rolled, by)
+    return zero_fill(out.select("tenant_id", "operation", "grouping", *[c for c in out.columns if c not in by]))
 
 
 def usage_for_tenant(df: DataFrame, tenant: str, from_=None, to=None, view: str = "call") -> DataFrame:
@@ -104,9 +127,15 @@ def breakdown(cells: DataFrame, axis: str) -> DataFrame:
 
 
 def _report(cells: DataFrame, axis: str, level: int) -> DataFrame:
-    tops = cells.where(F.col("grouping").isin(level, TOTAL))
-    nested = breakdown(cells, axis).withColumnRenamed(axis, "_axis")
-    return tops.join(nested, (F.col(axis).eqNullSafe(F.col("_axis"))) & (F.col("grouping") == level), "left").drop("_axis")
+    """Rows of an axis and the grand total, with the children of each as items (null for the grand total); cells are read once."""
+    child = "operation" if axis == "tenant_id" else "tenant_id"
+    own = F.col("grouping") != BOTH
+    item = F.struct((-F.col("cost_usd")).alias("k"), F.col(child).alias("name"), "total", "failed", "cost_usd")
+    rows = cells.where(F.col("grouping").isin(BOTH, level, TOTAL))
+    groups = rows.groupBy(F.when(own, F.col("grouping")).otherwise(level).alias("_level"), F.col(axis).alias("_axis"))
+    nested = groups.agg(F.first(F.when(own, F.struct(*cells.columns)), ignorenulls=True).alias("_own"), F.array_sort(F.collect_list(F.when(~own & (F.col("total") > 0), item))).alias("_l"))
+    plain = F.transform("_l", lambda x: F.struct(x["name"].alias("name"), x["total"].alias("total"), x["failed"].alias("failed"), x["cost_usd"].alias("cost_usd")))
+    return nested.select("_own.*", F.when(F.size("_l") > 0, plain).alias("items"))
 
 
 def usage_by_tenant(df: DataFrame, from_=None, to=None, view: str = "call") -> DataFrame:
@@ -181,8 +210,6 @@ def latency_summary(df: DataFrame, by: list[str], value: str, status: str = "sta
 
     Ranks come from a count per value, not from a sorted list of all rows.
     """
-    from pyspark.sql import Window as W
-
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"), F.count_if(F.col(status) == "ok").alias("_ok"))
     w = W.partitionBy(*by).orderBy(value)
     s = counts.where(F.col(value).isNotNull()).withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))

@@ -47,8 +47,7 @@ def h5_counts(spark, d):
 
 
 def h6_distribution(spark, d):
-    df = _calls(spark, d)
-    return _rounded(df.groupBy("model").agg(*[c for col, p in U.METRICS for c in U.dist_columns(col, p, F.col("status") == "ok")]))
+    return _rounded(U.distributions(_calls(spark, d), ["model"], F.col("status") != "ok"))
 
 
 def h7_zero_fill(spark, d):
