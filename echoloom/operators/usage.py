@@ -63,19 +63,22 @@ def _distributions(counts: DataFrame, by: list[str]) -> DataFrame:
     """
     cell = W.partitionBy(*by, "_m")
     s = counts.withColumn("_upto", F.sum("_c").over(cell.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(cell))
-    place = lambda n, q: F.lit(q) * (n - 1)  # noqa: E731  from 0, may lie between two rows
-    aggs, shown = [], []
-    for _, p in METRICS:
-        mine = lambda x, p=p: F.when(F.col("_m") == p, x)
-        aggs += [F.sum(mine(F.col("_v") * F.col("_c"))).alias(f"{p}_total"), F.min(mine(F.col("_v"))).alias(f"{p}_min"), F.max(mine(F.col("_v"))).alias(f"{p}_max"), F.max(mine(F.col("_n"))).alias(f"{p}_n")]
-        shown += [(F.col(f"{p}_total").cast("double") / F.col(f"{p}_n")).alias(f"{p}_avg"), F.col(f"{p}_min"), F.col(f"{p}_max"), F.col(f"{p}_total")]
-        for name, q in (("p5", 0.05), ("p95", 0.95)):
-            at = place(F.col("_n"), q)
-            aggs += [F.min(mine(F.when(F.col("_upto") > f(at), F.col("_v")))).alias(f"{p}_{name}_{k}") for k, f in (("lo", F.floor), ("hi", F.ceil))]
-            lo, hi, at = F.col(f"{p}_{name}_lo"), F.col(f"{p}_{name}_hi"), place(F.col(f"{p}_n"), q)
-            shown.append(F.when(lo == hi, lo.cast("double")).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(f"{p}_{name}"))
-    out = s.groupBy(*by).agg(F.sum("_total").alias("total"), F.sum("_failed").alias("failed"), F.coalesce(F.sum("_cost"), F.lit(0)).cast(MONEY).alias("cost_usd"), *aggs)
-    return out.select(*by, "total", "failed", "cost_usd", *shown)
+    ranks = {}
+    for name, q in (("p5", 0.05), ("p95", 0.95)):
+        at = F.lit(q) * (F.col("_n") - 1)  # from 0, may lie between two rows
+        ranks |= {f"{name}_lo": F.floor(at), f"{name}_hi": F.ceil(at)}
+    # By cell and metric, where the rows already are; what is left is a few rows a cell.
+    first = [F.min(F.when(F.col("_upto") > r, F.col("_v"))).alias(k) for k, r in ranks.items()]
+    one = s.groupBy(*by, "_m").agg(F.max("_n").alias("_n"), F.sum(F.col("_v") * F.col("_c")).alias("sum"), F.min("_v").alias("min"), F.max("_v").alias("max"), *[F.sum(c).alias(c) for c in ("_total", "_failed", "_cost")], *first)
+
+    def between(name: str, q: float) -> Column:
+        at, lo, hi = F.lit(q) * (F.col("_n") - 1), F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return F.when(lo == hi, lo.cast("double")).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name)
+
+    stats = F.struct((F.col("sum").cast("double") / F.col("_n")).alias("avg"), "min", "max", F.col("sum").alias("total"), between("p5", 0.05), between("p95", 0.95))
+    one = one.select(*by, "_m", "_total", "_failed", "_cost", F.when(F.col("_m") != "", stats).alias("_s"))
+    out = one.groupBy(*by).agg(F.sum("_total").alias("total"), F.sum("_failed").alias("failed"), F.coalesce(F.sum("_cost"), F.lit(0)).cast(MONEY).alias("cost_usd"), *[F.max(F.when(F.col("_m") == p, F.col("_s"))).alias(f"_{p}") for _, p in METRICS])
+    return out.select(*by, "total", "failed", "cost_usd", *[F.col(f"_{p}")[x].alias(f"{p}_{x}") for _, p in METRICS for x in STATS])
 
 
 def distributions(df: DataFrame, by: list[str], failed: Column) -> DataFrame:
