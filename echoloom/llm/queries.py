@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, substring_dedup, token_counts, url_filter
+from . import best_fit, conversations, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, spelling, substring_dedup, token_counts, url_filter
 
-MODULES = (url_filter, exact_dedup, pii, quality, substring_dedup, line_dedup, near_dedup, token_counts, mixing, packing)
+MODULES = (url_filter, exact_dedup, pii, quality, substring_dedup, line_dedup, near_dedup, token_counts, mixing, packing, spelling, conversations, best_fit)
 
 
 def queries() -> dict:
