@@ -13,11 +13,14 @@ two is left for is skipped with all words below it. All pairs of a query and a p
 
 from __future__ import annotations
 
-import zlib
+import re
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +42,12 @@ COUNTED = 400_000
 _LETTERS = bytes(k | 32 if 65 <= k <= 90 else k if 97 <= k <= 122 or k >= 0xC0 else 32 for k in range(256))
 
 
-def _damaged(word: bytes, seed: int) -> bytes:
-    """word (Latin-1) without one code point if its checksum says so; seed: crc32 of `<doc_id>:`."""
-    h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), seed)
-    return word if h % DAMAGE else word[: (k := h % len(word))] + word[k + 1 :]
+#: Runs of letters that are long enough to be words.
+_WORDS = re.compile(b"[^ ]{%d,}" % LEAST_CHARS).findall
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of a task's texts, counted before they are sent."""
+    """(word, n) of a task's texts, counted before they are sent. A run loses a code point where its checksum with the document's id says so."""
 
     def flush() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
@@ -56,14 +57,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[bytes, int] = {}
     for b in batches:
         for doc, text in zip(b.column("_id").to_pylist(), b.column("_text").to_pylist(), strict=True):
-            seed = zlib.crc32(f"{'' if doc is None else doc}:".encode())
-            own: dict[bytes, int] = {}
-            for w in (text or "").encode("latin-1", "replace").translate(_LETTERS).split():
-                if len(w) >= LEAST_CHARS:
-                    own[w] = own.get(w, 0) + 1
-            for w, n in own.items():
-                if len(w := _damaged(w, seed)) >= LEAST_CHARS:
-                    counts[w] = counts.get(w, 0) + n
+            seed = crc32(f"{'' if doc is None else doc}:".encode())
+            for w, n in Counter(_WORDS((text or "").encode("latin-1", "replace").translate(_LETTERS))).items():
+                h = crc32(w if w.isascii() else w.decode("latin-1").encode(), seed)
+                if not h % DAMAGE:
+                    w = w[: (k := h % len(w))] + w[k + 1 :]
+                    if len(w) < LEAST_CHARS:
+                        continue
+                counts[w] = counts.get(w, 0) + n
             if len(counts) >= COUNTED:
                 yield flush()
     if counts:
@@ -200,32 +201,27 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_key", "least", "from", "to", "shared", "back", "word", "n"]
 
     def found(rows: pa.Table) -> pa.RecordBatch:
+        key = rows.column("_key").to_numpy()
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        rows = rows.filter(pa.array(~(first & np.concatenate((first[1:], [True])))))  # without words that meet none
         key, least, lo, hi, shared, n = (rows.column(c).to_numpy() for c in ("_key", "least", "from", "to", "shared", "n"))
-        words = [w.encode("latin-1") for w in rows.column("word").to_pylist()]
+        words = " ".join(rows.column("word").to_pylist()).encode("latin-1").split()
         plain = _Texts(words)
         turned = _Texts([w[::-1] if back else w for w, back in zip(words, rows.column("back").to_pylist(), strict=True)])
-        same = np.ones(len(words), bool)
-        same[0] = False
-        for x in (key, least, lo, hi):
-            same[1:] &= x[1:] == x[:-1]
-        near = np.zeros(len(words), np.int64)
-        best: dict[int, tuple[int, bytes]] = {}
-        for q, w in scan(turned, same, shared.astype(np.int64)):
-            place = plain.common(q, w)
-            fits = (place >= lo[q]) & (place < hi[q]) & (np.minimum(plain.size[q], plain.size[w]) == least[q])
-            q, w = q[fits], w[fits]
-            near += np.bincount(q, minlength=len(words))
-            order = np.lexsort((-n[w], q))
-            q, w = q[order], w[order]
-            most = np.maximum.reduceat(n[w], np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))) if len(q) else n[:0]
-            top = n[w] == np.repeat(most, np.unique(q, return_counts=True)[1])
-            for k, j in zip(q[top].tolist(), w[top].tolist(), strict=True):
-                one = (-int(n[j]), words[j])
-                if k not in best or one < best[k]:
-                    best[k] = one
-        k = np.flatnonzero(near).tolist()
-        cols = [[words[i].decode("latin-1") for i in k], near[k], [-best[i][0] for i in k], [best[i][1].decode("latin-1") for i in k]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["word", "n_near", "best", "form"])
+        same = np.concatenate((np.zeros(min(1, len(words)), bool), np.logical_and.reduce([x[1:] == x[:-1] for x in (key, least, lo, hi)])))
+        pairs = list(scan(turned, same, shared.astype(np.int64)))
+        q, w = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        place = plain.common(q, w)
+        fits = (place >= lo[q]) & (place < hi[q]) & (np.minimum(plain.size[q], plain.size[w]) == least[q])
+        q, w = q[fits], w[fits]
+        near = np.bincount(q, minlength=len(words))
+        # Of a word's near words the most frequent, of equally frequent ones the first in the order of code points.
+        rank = pc.rank(rows.column("word"), tiebreaker="dense").to_numpy() if len(words) else n
+        order = np.lexsort((rank[w], -n[w], q))
+        q, w = q[order], w[order]
+        best = w[np.concatenate((np.ones(min(1, len(q)), bool), q[1:] != q[:-1]))]
+        k, word = np.flatnonzero(near), rows.column("word").combine_chunks()
+        return pa.RecordBatch.from_arrays([word.take(pa.array(k)), pa.array(near[k], pa.int64()), pa.array(n[best], pa.int64()), word.take(pa.array(best))], names=["word", "n_near", "best", "form"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
