@@ -13,24 +13,48 @@ from .complete import INJECTION, Complete, complete
 from .validate import injection
 
 
-def framework_paths(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(node_id, path ids, names, depth, is_leaf, min_leaf_depth, max_leaf_depth) of a table (node_id, parent_id, name, position).
+CYCLE, ORPHAN, REPEATED, UNNAMED = "cycle", "unknown parent", "repeated id", "no id"
 
-    A join for each level; depths of leaves are those below a node, counted from the root.
+
+def framework_paths(nodes: DataFrame) -> DataFrame:
+    """(node_id, path ids, names, order, depth, is_leaf, min_leaf_depth, max_leaf_depth, error) of a table (node_id, parent_id, name, position).
+
+    Frameworks of any depth: each node points at an ancestor and holds the path down from it; a round joins a node's pointer with that
+    ancestor's own, so paths double and a chain of a thousand levels takes ten rounds. Only nodes that have not reached a root
+    go on. Depths of leaves are those below a node, counted from the root. A node without a path to a root has an error
+    in place of one: itself or an ancestor stands in a cycle, names a parent that is not there, has no id, or has an id that others have too
+    (each such row is returned). A node all of whose leaves have errors has no depths of leaves. An empty table gives an empty result.
     """
-    n = nodes.select("node_id", "parent_id", "name", "position")
-    leaf = n.join(n.select(F.col("parent_id").alias("node_id")).distinct().where("node_id is not null").withColumn("_inner", F.lit(True)), "node_id", "left").withColumn("is_leaf", F.col("_inner").isNull())
-    level = leaf.where("parent_id is null").select("node_id", F.array("node_id").alias("path"), F.array("name").alias("names"), F.array("position").alias("order"), "is_leaf")
-    out = level
-    for _ in range(max_depth):
-        up = level.select(F.col("node_id").alias("parent_id"), "path", "names", "order")
-        level = checkpointed(leaf.join(up, "parent_id").select("node_id", F.concat("path", F.array("node_id")).alias("path"), F.concat("names", F.array("name")).alias("names"), F.concat("order", F.array("position")).alias("order"), "is_leaf"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    out = out.withColumn("depth", F.size("path"))
-    below = out.where("is_leaf").select(F.explode("path").alias("node_id"), F.col("depth").alias("_d")).groupBy("node_id").agg(F.min("_d").alias("min_leaf_depth"), F.max("_d").alias("max_leaf_depth"))
-    return out.join(below, "node_id").select("node_id", "path", "names", "order", "depth", "is_leaf", "min_leaf_depth", "max_leaf_depth")
+    n = checkpointed(nodes.select("node_id", "parent_id", "name", "position"))
+    ids = n.groupBy("node_id").agg(F.count("*").alias("_c"))
+    parents = n.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.lit(True).alias("_inner"))
+    known = ids.join(parents, "node_id", "left").select(F.col("node_id").alias("_id"), "_c", F.coalesce("_inner", F.lit(False)).alias("_inner"))
+    own = n.join(known, n["node_id"].eqNullSafe(known["_id"])).drop("_id")
+    above = ids.where("node_id is not null").select(F.col("node_id").alias("_p"), F.col("_c").alias("_pc"))
+    own = own.join(above, own["parent_id"] == above["_p"], "left")
+    error = F.when(F.col("node_id").isNull(), UNNAMED).when(F.col("_c") > 1, REPEATED).when(F.col("parent_id").isNotNull() & F.col("_p").isNull(), ORPHAN).when(F.col("_pc") > 1, REPEATED)
+    state = own.select("node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("path"), F.array("name").alias("names"), F.array("position").alias("order"), (~F.col("_inner")).alias("is_leaf"), error.alias("error"))
+    state = checkpointed(state)
+    ended = state.where("up is null or error is not null")
+    open_ = state.where("up is not null and error is null")
+    done = ended
+    while not open_.isEmpty():
+        # Whoever is pointed at is in one of the two: it has ended, or goes on itself.
+        target = done.unionByName(open_).where("error is null or node_id is not null").select(F.col("node_id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in ("path", "names", "order", "error")]).where("up is not null")
+        target = target.groupBy("up").agg(*[F.first(c).alias(c) for c in ("_up", "_path", "_names", "_order", "_error")])
+        longer = open_.join(target, "up").select(
+            "node_id", F.col("_up").alias("up"), *[F.concat(f"_{c}", c).alias(c) for c in ("path", "names", "order")], "is_leaf", F.col("_error").alias("error")
+        )
+        # A path that meets a node twice has gone round.
+        looped = F.when(F.size(F.array_distinct("path")) < F.size("path"), CYCLE)
+        state = checkpointed(longer.withColumn("error", F.coalesce("error", looped)))
+        done = checkpointed(done.unionByName(state.where("up is null or error is not null")))
+        open_ = state.where("up is not null and error is null")
+    whole = done.where("error is null").withColumn("depth", F.size("path"))
+    below = whole.where("is_leaf").select(F.explode("path").alias("node_id"), F.col("depth").alias("_d")).groupBy("node_id").agg(F.min("_d").alias("min_leaf_depth"), F.max("_d").alias("max_leaf_depth"))
+    columns = ["node_id", "path", "names", "order", "depth", "is_leaf", "min_leaf_depth", "max_leaf_depth", "error"]
+    failed = done.where("error is not null").select("node_id", "is_leaf", "error")
+    return whole.join(below, "node_id", "left").select(*columns).unionByName(failed, allowMissingColumns=True).select(*columns)
 
 
 def nest_framework(l1: DataFrame, l2: DataFrame, l3: DataFrame, limits: tuple[int, int, int] = (20, 50, 50)) -> DataFrame:

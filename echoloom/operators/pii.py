@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .numbering import number_rows
 from .validate import DISCLAIMER
 
 # The built-in detectors, in order of their names, and labels that are not personal.
@@ -18,20 +19,37 @@ DETECTORS = {
 }
 IGNORED = ("CARDINAL", "ORDINAL", "QUANTITY", "PERCENT", "MONEY", "FAC", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE", "MISC")
 VERBATIM = ("DATE_TIME",)
+# The same matches found in linear time: an address starts where a run of its characters starts or the last match ended, and no
+# character of the run is given back. With it, a string without which a text has no match.
+_LINEAR = {
+    DETECTORS["EMAIL_ADDRESS"]: (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Za-z0-9]", "@"),
+    DETECTORS["PHONE_NUMBER"]: (DETECTORS["PHONE_NUMBER"], "+"),
+    DETECTORS["URL"]: (DETECTORS["URL"], "://"),
+}
 _SPAN = "array<struct<start:int,end:int,type:string,value:string>>"
 
 
 def _spans(text: Column, type: str, pattern: str) -> Column:
     """Matches of a pattern with their places, from what split leaves between them."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(hits, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
+    fast, needs = _LINEAR.get(pattern, (pattern, None))
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(fast), F.lit(0)), F.split(text, fast, -1), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["h"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(type).alias("type"), x["h"].alias("value")))).alias("out"))
+        more = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(type).alias("type"), x["h"].alias("value")))
+        return F.when(x["h"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out")))  # the last piece has no match behind it
+
+    none = F.array().cast(_SPAN)
+
+    def block(acc: Column, few: Column) -> Column:
+        """Spans are gathered block by block, as each step copies what it adds to."""
+        inner = F.aggregate(few, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], inner["out"]).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+    blocks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(128)), lambda k: F.slice(pairs, k, F.lit(128)))
+    found = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: acc["out"])
+    return found if needs is None else F.when(F.contains(text, F.lit(needs)), found).otherwise(none)
 
 
 def detect_entities(df: DataFrame, id_col: str, col: str, detectors: dict[str, str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -53,11 +71,13 @@ def resolve_spans(spans: DataFrame, id_col: str) -> DataFrame:
 
 
 def number_placeholders(spans: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """A mapping by group: placeholder <TYPE_n>, type, value. Equal values of one type share one; n counts over all types, by first appearance."""
-    first = spans.groupBy(*by, "type", "value").agg(F.min(F.struct(*order)).alias("_at"))
-    w = W.partitionBy(*by).orderBy("_at", "type", "value")
-    n = F.row_number().over(w) - 1
-    return first.select(*by, F.concat(F.lit("<"), "type", F.lit("_"), n.cast("string"), F.lit(">")).alias("placeholder"), "type", "value")
+    """A mapping by group: placeholder <TYPE_n>, type, value. Equal values of one type share one; n counts over all types, by first appearance.
+
+    Groups of any size are numbered in ranges, so that no task holds the values of a corpus.
+    """
+    first = spans.groupBy(*by, "type", "value").agg(F.min(F.struct(*order)).alias("_first_at"))
+    numbered = number_rows(first, by, ["_first_at", "type", "value"], "_n")
+    return numbered.select(*by, F.concat(F.lit("<"), "type", F.lit("_"), F.col("_n").cast("string"), F.lit(">")).alias("placeholder"), "type", "value")
 
 
 def replace_spans(text: Column, spans: Column) -> Column:

@@ -114,6 +114,19 @@ def g19_paths(spark, d):
     return p.select("node_id", F.array_join("names", " > ").alias("path"), F.col("depth").cast("bigint").alias("depth"), "is_leaf", F.col("min_leaf_depth").cast("bigint").alias("min_leaf_depth"), F.col("max_leaf_depth").cast("bigint").alias("max_leaf_depth"))
 
 
+def _lines(spark, d):
+    """Customers as codes: chains of a hundred levels, with a cycle and a parent that is not there further down."""
+    k = F.col("c_custkey") % 150
+    parent = F.when(k == 100, F.col("c_custkey") + 2).when(k == 120, -F.col("c_custkey")).when(k > 0, F.col("c_custkey") - 1)
+    return view(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), parent.alias("parent_id"), F.col("c_name").alias("name"), k.alias("position"))
+
+
+def g19_depths(spark, d):
+    p = G.framework_paths(_lines(spark, d))
+    long = lambda c: F.col(c).cast("bigint").alias(c)
+    return p.select("node_id", F.md5(F.array_join("names", ">").cast("binary")).alias("path_md5"), long("depth"), "is_leaf", long("min_leaf_depth"), long("max_leaf_depth"), "error")
+
+
 def g20_nested(spark, d):
     p = view(spark, d, "part")
     l1 = p.select(F.col("p_size").cast("string").alias("id"), F.concat(F.lit("size "), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("name"), F.lit(None).cast("string").alias("parent_id")).distinct()
@@ -228,6 +241,14 @@ SQL = {
     "g19_paths": with_views("""WITH RECURSIVE t AS (SELECT node_id, [node_id] AS ids, name AS path, 1 AS depth FROM framework WHERE parent_id IS NULL UNION ALL SELECT f.node_id, list_append(t.ids, f.node_id), t.path || ' > ' || f.name, t.depth + 1 FROM framework f JOIN t ON f.parent_id = t.node_id),
       l AS (SELECT *, node_id NOT IN (SELECT parent_id FROM framework WHERE parent_id IS NOT NULL) AS is_leaf FROM t), b AS (SELECT unnest(ids) AS node_id, depth AS d FROM l WHERE is_leaf)
       SELECT l.node_id, path, CAST(depth AS BIGINT) AS depth, is_leaf, CAST(min(d) AS BIGINT) AS min_leaf_depth, CAST(max(d) AS BIGINT) AS max_leaf_depth FROM l JOIN b ON b.node_id = l.node_id GROUP BY 1, 2, 3, 4""", "framework"),
+    "g19_depths": """WITH RECURSIVE n AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey % 150 = 100 THEN c_custkey + 2 WHEN c_custkey % 150 = 120 THEN -c_custkey WHEN c_custkey % 150 > 0 THEN c_custkey - 1 END AS parent_id, c_name AS name FROM customer),
+      t AS (SELECT node_id, [node_id] AS ids, name AS path, 1 AS depth FROM n WHERE parent_id IS NULL UNION ALL SELECT n.node_id, list_append(t.ids, n.node_id), t.path || '>' || n.name, t.depth + 1 FROM n JOIN t ON n.parent_id = t.node_id),
+      o AS (SELECT node_id FROM n WHERE parent_id NOT IN (SELECT node_id FROM n) UNION ALL SELECT n.node_id FROM n JOIN o ON n.parent_id = o.node_id),
+      inner_ AS (SELECT DISTINCT parent_id AS node_id FROM n WHERE parent_id IS NOT NULL), b AS (SELECT unnest(ids) AS node_id, depth AS d FROM t WHERE node_id NOT IN (SELECT node_id FROM inner_)),
+      m AS (SELECT node_id, min(d) AS lo, max(d) AS hi FROM b GROUP BY 1)
+      SELECT n.node_id, md5(t.path) AS path_md5, CAST(t.depth AS BIGINT) AS depth, n.node_id NOT IN (SELECT node_id FROM inner_) AS is_leaf, CAST(lo AS BIGINT) AS min_leaf_depth, CAST(hi AS BIGINT) AS max_leaf_depth,
+        CASE WHEN t.node_id IS NOT NULL THEN NULL WHEN n.node_id IN (SELECT node_id FROM o) THEN 'unknown parent' ELSE 'cycle' END AS error
+      FROM n LEFT JOIN t ON t.node_id = n.node_id LEFT JOIN m ON m.node_id = n.node_id""",
     "g20_nested": """WITH p AS (SELECT CAST(p_size AS VARCHAR) AS s, CAST(p_size AS VARCHAR) || '|' || p_brand AS m, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) || '|' || p_brand END AS mname, CAST(p_partkey AS VARCHAR) AS k, p_name FROM part),
       l1 AS (SELECT DISTINCT s AS id, 'size ' || lpad(s, 3, '0') AS name FROM p QUALIFY dense_rank() OVER (ORDER BY 'size ' || lpad(s, 3, '0'), s) <= 20),
       l3 AS (SELECT m, k, p_name FROM p QUALIFY row_number() OVER (PARTITION BY m ORDER BY p_name, k) <= 50), c3 AS (SELECT m, string_agg(k, ',' ORDER BY p_name, k) AS kids FROM l3 GROUP BY 1),
