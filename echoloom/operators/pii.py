@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .numbering import number_rows
+from .substrings import values_in_texts
 from .validate import DISCLAIMER
 
 # The built-in detectors, in order of their names, and labels that are not personal.
@@ -124,5 +125,5 @@ def with_disclaimer(df: DataFrame, col: str) -> DataFrame:
 
 
 def audit_leaks(df: DataFrame, mapping: DataFrame, by: str, id_col: str, col: str) -> DataFrame:
-    """(id, placeholder) of original values that still stand in a redacted text of their corpus."""
-    return df.join(mapping, by).where(F.contains(F.col(col), F.col("value"))).select(id_col, "placeholder")
+    """(id, placeholder) of original values that still stand in a redacted text of their corpus. Texts meet values on grams, not corpus by corpus."""
+    return values_in_texts(df.select(by, id_col, col), mapping.select(by, "placeholder", "value"), by, col).select(id_col, "placeholder")
