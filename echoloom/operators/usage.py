@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 METRICS = (("call_duration_ms", "duration"), ("input_tokens", "input"), ("output_tokens", "output"))
 STATS = ("avg", "min", "max", "total", "p5", "p95")
 MONEY = "decimal(18,6)"
@@ -56,20 +59,41 @@ def _value_counts(rows: DataFrame, by: list[str], failed: Column) -> DataFrame:
     return long.groupBy(*by, "_m", "_v").agg(F.count("_v").alias("_c"), F.sum("_total").alias("_total"), F.sum("_failed").alias("_failed"), F.sum("_cost").alias("_cost"))
 
 
-def _distributions(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, total, failed, cost_usd, avg, min, max, total, p5 and p95 of each metric) from value counts.
+def _bin(v: Column) -> Column:
+    """Bins in the order of values, each a 256th of its power of two wide; 2^15 of them for all 64-bit integers."""
+    size = F.when(v < -(2**63 - 1), F.lit(2**63 - 1)).otherwise(F.abs(v))
+    up = F.greatest(F.length(F.bin(size)) - 9, F.lit(0))  # bits that a bin leaves open
+    place = up * 512 + F.call_function("shiftright", size, up)
+    return F.when(v < 0, -1 - place).otherwise(place)
+
+
+def _distributions(counts: DataFrame, by: list[str], place: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(by, total, failed, cost_usd, avg, min, max, total, p5 and p95 of each metric) from value counts; place says to which cells a row belongs.
 
-    Percentiles are exact and interpolated. They come from running sums over the sorted distinct values of a metric, which spill.
+    Percentiles are exact and interpolated. Values are counted by bin; a rank lies in the bin where the counts of bins reach it, and only inside
+    bins are values sorted, so that no task sorts a cell. What is summed over the bins of a cell are 2^15 rows at most.
     """
+    ranks = {f"{name}_{end}": (q, f) for name, q in (("p5", 0.05), ("p95", 0.95)) for end, f in (("lo", F.floor), ("hi", F.ceil))}  # from 0, may lie between two rows
+    own = [*by, "_m", "_bin"]
+    binned = place(checkpointed(counts)).withColumn("_bin", _bin(F.col("_v")))  # read twice: counts and sums by bin, then the bins that hold a rank
+    sums = {"_n": "_c", "_total": "_total", "_failed": "_failed", "_cost": "_cost"}
+    bins = binned.groupBy(*own).agg(F.sum(F.col("_v") * F.col("_c")).alias("_sum"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *[F.sum(c).alias(k) for k, c in sums.items()])
     cell = W.partitionBy(*by, "_m")
-    s = counts.withColumn("_upto", F.sum("_c").over(cell.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(cell))
-    ranks = {}
-    for name, q in (("p5", 0.05), ("p95", 0.95)):
-        at = F.lit(q) * (F.col("_n") - 1)  # from 0, may lie between two rows
-        ranks |= {f"{name}_lo": F.floor(at), f"{name}_hi": F.ceil(at)}
-    # By cell and metric, where the rows already are; what is left is a few rows a cell.
-    first = [F.min(F.when(F.col("_upto") > r, F.col("_v"))).alias(k) for k, r in ranks.items()]
-    one = s.groupBy(*by, "_m").agg(F.max("_n").alias("_n"), F.sum(F.col("_v") * F.col("_c")).alias("sum"), F.min("_v").alias("min"), F.max("_v").alias("max"), *[F.sum(c).alias(c) for c in ("_total", "_failed", "_cost")], *first)
+    upto = F.coalesce(F.sum("_n").over(cell.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumns({"_before": upto, "_all": F.sum("_n").over(cell)})
+    inside = {}  # the rank inside the bin that holds it
+    for k, (q, f) in ranks.items():
+        r = f(F.lit(q) * (F.col("_all") - 1)) - F.col("_before")
+        inside[k] = F.when((r >= 0) & (r < F.col("_n")), r)
+    holds = F.collect_list(F.when(F.coalesce(*inside.values()).isNotNull(), F.struct("_bin", *[c.alias(k) for k, c in inside.items()])))
+    figures = {"_n": F.max("_all"), "sum": F.sum("_sum"), "min": F.min("_min"), "max": F.max("_max")} | {c: F.sum(c) for c in ("_total", "_failed", "_cost")}
+    cells = bins.groupBy(*by, "_m").agg(*[c.alias(k) for k, c in figures.items()], holds.alias("_holds"))
+    cells = cells.select("*", F.explode_outer("_holds").alias("_h")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_m"])], *figures, "_h.*").withColumnRenamed("_bin", f"_k{len(by) + 1}")
+    keys = [f"_k{i}" for i in range(len(own))]
+    met = cells.join(binned.select(*own, "_v", "_c"), [F.col(c).eqNullSafe(F.col(k)) for k, c in zip(keys, own, strict=True)], "left")
+    met = met.withColumn("_in", F.sum("_c").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    found = [F.min(F.when(F.col("_in") > F.col(k), F.col("_v"))).alias(k) for k in ranks]
+    one = met.groupBy(*keys[:-1]).agg(*[F.first(k).alias(k) for k in figures], *found).withColumnsRenamed(dict(zip(keys[:-1], [*by, "_m"], strict=True)))
 
     def between(name: str, q: float) -> Column:
         at, lo, hi = F.lit(q) * (F.col("_n") - 1), F.col(f"{name}_lo"), F.col(f"{name}_hi")
@@ -93,6 +117,30 @@ def zero_fill(df: DataFrame) -> DataFrame:
     return df.withColumns(fill)
 
 
+def _cubes(df: DataFrame, *views: str) -> DataFrame:
+    """Cells of one or both views, all from one table of value counts: _view, tenant_id, operation, grouping and figures."""
+    rows = None
+    for v in views:
+        one = invocations(df) if v == "invocation" else df
+        failed = F.col("all_failed") if v == "invocation" else F.col("status") == "error"
+        one = one.select(F.lit(v).alias("_view"), "tenant_id", "operation", *[F.col(c).cast("bigint").alias(c) for c, _ in METRICS], F.col("cost_usd").cast(MONEY).alias("cost_usd"), F.coalesce(failed, F.lit(False)).alias("_bad"))
+        rows = one if rows is None else rows.unionByName(one)
+    counts = _value_counts(rows, ["_view", "tenant_id", "operation"], F.col("_bad"))
+    cell = lambda g, t, o: F.struct(F.lit(g).cast("bigint").alias("grouping"), (F.col("tenant_id") if t else F.lit(None).cast("string")).alias("tenant_id"), (F.col("operation") if o else F.lit(None).cast("string")).alias("operation"))
+    cells = F.array(cell(BOTH, True, True), cell(TENANT, True, False), cell(OPERATION, False, True), cell(TOTAL, False, False))
+    by = ["_view", "grouping", "tenant_id", "operation"]
+
+    def place(base: DataFrame) -> DataFrame:
+        placed = base.select("_view", F.explode(cells).alias("_x"), "_m", "_v", "_c", "_total", "_failed", "_cost").select("_view", "_x.*", "_m", "_v", "_c", "_total", "_failed", "_cost")
+        kinds = dict(placed.dtypes)
+        nothing = {"_view": F.explode(F.array(*map(F.lit, views))), "grouping": F.lit(TOTAL), "_m": F.lit(""), "tenant_id": F.lit(None), "operation": F.lit(None), "_v": F.lit(None)}
+        empty = df.sparkSession.range(1).select(*[(nothing[c] if c == "_view" else nothing.get(c, F.lit(0)).cast(kinds[c])).alias(c) for c in placed.columns])
+        return placed.unionByName(empty)
+
+    out = _distributions(counts, by, place)
+    return zero_fill(out.select("_view", "tenant_id", "operation", "grouping", *[c for c in out.columns if c not in by]))
+
+
 def usage_cube(df: DataFrame, view: str = "call") -> DataFrame:
     """One pass over four grouping sets: (tenant, operation), (tenant), (operation), ().
 
@@ -100,19 +148,7 @@ def usage_cube(df: DataFrame, view: str = "call") -> DataFrame:
     over rows that did not fail. grouping tells a roll-up's null from a null in the data. The grand total is there
     even without input. Rows shrink to counts of values by (tenant, operation) before they are rolled up.
     """
-    rows = invocations(df) if view == "invocation" else df
-    failed = F.col("all_failed") if view == "invocation" else F.col("status") == "error"
-    counts = _value_counts(rows, ["tenant_id", "operation"], F.coalesce(failed, F.lit(False)))
-    cell = lambda g, t, o: F.struct(F.lit(g).cast("bigint").alias("grouping"), (F.col("tenant_id") if t else F.lit(None).cast("string")).alias("tenant_id"), (F.col("operation") if o else F.lit(None).cast("string")).alias("operation"))
-    cells = F.array(cell(BOTH, True, True), cell(TENANT, True, False), cell(OPERATION, False, True), cell(TOTAL, False, False))
-    placed = counts.select(F.explode(cells).alias("_x"), "_m", "_v", "_c", "_total", "_failed", "_cost").select("_x.*", "_m", "_v", "_c", "_total", "_failed", "_cost")
-    kinds = dict(placed.dtypes)
-    nothing = {"grouping": F.lit(TOTAL), "_m": F.lit(""), "tenant_id": F.lit(None), "operation": F.lit(None), "_v": F.lit(None)}
-    empty = df.sparkSession.range(1).select(*[nothing.get(c, F.lit(0)).cast(kinds[c]).alias(c) for c in placed.columns])
-    by = ["grouping", "tenant_id", "operation"]
-    rolled = placed.unionByName(empty).groupBy(*by, "_m", "_v").agg(*[F.sum(c).alias(c) for c in ("_c", "_total", "_failed", "_cost")])
-    out = _distributions(rolled, by)
-    return zero_fill(out.select("tenant_id", "operation", "grouping", *[c for c in out.columns if c not in by]))
+    return _cubes(df, view).drop("_view")
 
 
 def usage_for_tenant(df: DataFrame, tenant: str, from_=None, to=None, view: str = "call") -> DataFrame:
@@ -154,13 +190,12 @@ def usage_by_operation(df: DataFrame, from_=None, to=None, view: str = "call") -
 
 
 def two_views(df: DataFrame) -> DataFrame:
-    """Per-invocation and per-call figures of every cell side by side."""
-    key = ("grouping", "tenant_id", "operation")
-    a, b = usage_cube(df, "invocation"), usage_cube(df, "call")
-    b = b.select(*[F.col(c).alias(f"call_{c}") for c in b.columns])
-    on = (a["grouping"] == b["call_grouping"]) & a["tenant_id"].eqNullSafe(b["call_tenant_id"]) & a["operation"].eqNullSafe(b["call_operation"])
-    joined = a.join(b, on, "full_outer")
-    return joined.select(*[F.coalesce(c, f"call_{c}").alias(c) for c in key], *[F.col(c).alias(f"invocation_{c}") for c in a.columns if c not in key], *[F.col(c) for c in b.columns if c[5:] not in key])
+    """Per-invocation and per-call figures of every cell side by side, from one table of value counts."""
+    key = ["grouping", "tenant_id", "operation"]
+    cells = _cubes(df, "invocation", "call")
+    own = [c for c in cells.columns if c not in (*key, "_view")]
+    sides = cells.groupBy(*key).agg(*[F.first(F.when(F.col("_view") == v, F.struct(*own)), ignorenulls=True).alias(f"_{v}") for v in ("invocation", "call")])
+    return sides.select(*key, *[F.col(f"_{v}")[c].alias(f"{v}_{c}") for v in ("invocation", "call") for c in own])
 
 
 def fan_out(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import SparkSession
 
 
@@ -33,9 +35,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def checkpointed(df):
-    """df, written to the shared folder and cut off from what made it."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """df, written to the shared folder as Parquet and read back: cut off from what made it, and computed once where a reader takes only some columns.
+
+    Dataset.checkpoint computes its last stage twice and stores whole rows. Files go when the session's process ends.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
