@@ -173,22 +173,3 @@ def parent_path(col: Column) -> Column:
 def leaf_short(col: Column) -> Column:
     return F.element_at(F.split(col, ":", -1), -1)
 
-
-# Frequent words that tell languages apart.
-STOPWORDS = {
-    "en": "the of and to in is that for it with as was on be by this are from at or an".split(),
-    "fr": "le la les des et une un est du que qui dans pour par sur au en ne pas il".split(),
-    "de": "der die das und ist nicht ein eine zu mit den von im für auf sich dem des es auch".split(),
-    "es": "el los las de que y en un una por con para del se no es al lo como su".split(),
-}
-
-
-def detect_language(df: DataFrame, id_col: str, col: str, least: int = 2) -> DataFrame:
-    """id and detected: the language with most hits of its frequent words, ties by code; xx with fewer than `least` hits.
-
-    The word profile is a fixed small table; words are counted per row before anything is joined.
-    """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
-    hits = [F.struct(F.size(F.filter("_w", lambda w: w.isin(*STOPWORDS[k]))).alias("n"), F.lit(k).alias("k")) for k in sorted(STOPWORDS)]  # noqa: B023
-    best = F.array_max(F.transform(F.array(*hits), lambda h: F.struct(h["n"].alias("n"), (-F.array_position(F.array(*[F.lit(k) for k in sorted(STOPWORDS)]), h["k"])).alias("o"), h["k"].alias("k"))))
-    return df.select(F.col(id_col), words.alias("_w")).select(id_col, best.alias("_b")).select(id_col, F.when(F.col("_b.n") >= least, F.col("_b.k")).otherwise("xx").alias("detected"))

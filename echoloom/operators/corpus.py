@@ -191,9 +191,26 @@ def pattern_summary(df: DataFrame, carriers: DataFrame) -> DataFrame:
     return df.groupBy("pattern").agg(F.count("*").alias("n")).join(names, "pattern", "left").select("pattern", "n", F.coalesce("carriers", F.lit("")).alias("carriers"))
 
 
-def sample_records(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
-    """n records, all if there are no more; the same ones every time."""
-    return df.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
+def sample_records(df: DataFrame, n: int, seed: int, id_col: str = "id", bins: int = 1 << 16) -> DataFrame:
+    """n records, all if there are no more: those whose digest (md5 of seed and id) is least, ties by id. The same ones every time.
+
+    Digests are counted by their first bits. All records of bins below the one where the counts reach n are taken where they lie,
+    and only that bin is sorted, so no task sees the sample. Records that repeat an id have one digest; which of them are taken is not stated. A null id counts as empty.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    place = F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint") / ((1 << 32) // bins)).cast("int")
+    rows = df.select("*", digest.alias("_digest")).withColumn("_place", place)
+    counts = sorted(rows.groupBy("_place").count().collect())  # `bins` numbers at most
+    upto, edge = 0, None
+    for at, c in counts:
+        if upto + c > n:
+            edge = at
+            break
+        upto += c
+    if edge is None:
+        return df
+    last = rows.where(F.col("_place") == edge).orderBy("_digest", id_col).limit(n - upto)
+    return rows.where(F.col("_place") < edge).unionByName(last).drop("_digest", "_place")
 
 
 def corpus_checks(df: DataFrame, framework: DataFrame, field: str = "codes") -> DataFrame:

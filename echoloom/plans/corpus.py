@@ -234,6 +234,12 @@ def i14_sampled(spark, d):
     return C.sample_records(_records(spark, d), 100, SEED).select("id", "corpus_id", "content")
 
 
+def i14_half(spark, d):
+    """Half of the records of one corpus."""
+    r = _records(spark, d).where("corpus_id = 'src1'")
+    return C.sample_records(r, r.count() // 2, SEED).select("id", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "aij" and k[1].isdigit() and callable(f)}
 _JB = "time_bucket(INTERVAL '5 minutes', ts)"
 SQL = {
@@ -260,6 +266,8 @@ SQL = {
       SELECT id, CASE WHEN pos % 9 > 0 AND pos % 7 > 0 THEN 'merged' WHEN pos % 9 > 0 THEN 'missing' ELSE 'extra' END AS part, CASE WHEN pos % 9 > 0 AND pos % 7 > 0 THEN abs(k - pos % 8) > 1 END AS mismatch FROM s WHERE pos % 9 > 0 OR pos % 7 > 0""", "records"),
     "i12_series": with_views(f"{_PLANT} SELECT pattern, substr(created, 1, 7) AS month, count(DISTINCT id) AS n FROM planted GROUP BY 1, 2", "records"),
     "i13_summary": with_views(f"WITH {_PAT} SELECT pat.pattern, count(*) AS n, coalesce((SELECT string_agg(code, ', ' ORDER BY code) FROM carriers c WHERE c.pattern = pat.pattern), '') AS carriers FROM pat GROUP BY 1", "records"),
+    "i14_sampled": with_views(f"SELECT id, corpus_id, content FROM records ORDER BY md5('{SEED}:' || id), id LIMIT 100", "records"),
+    "i14_half": with_views(f"SELECT id, md5(content) AS digest FROM records WHERE corpus_id = 'src1' ORDER BY md5('{SEED}:' || id), id LIMIT (SELECT count(*) // 2 FROM records WHERE corpus_id = 'src1')", "records"),
     "i15_checks": with_views("""WITH r AS (SELECT id, pos, concat_ws(',', coding_level_2, CASE WHEN pos % 6 = 0 THEN ' L9-9' END) AS codes FROM records), d AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE pos % 25 = 0)
       SELECT id, 'repeated id' AS problem FROM r WHERE pos % 25 = 0 UNION ALL SELECT id, 'unknown code' FROM r WHERE pos % 6 = 0
       UNION ALL SELECT id, 'no code' FROM d WHERE trim(codes) = '' UNION ALL SELECT id, 'blank at comma' FROM d WHERE regexp_matches(codes, '\\s,|,\\s') UNION ALL SELECT id, 'sentence count' FROM d WHERE pos % 17 NOT BETWEEN 1 AND 15""", "records"),

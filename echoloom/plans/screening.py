@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import languages as L
 from ..functions import prompts as P
 from ..functions import text as T
 from ..operators import validate as V
@@ -147,7 +148,7 @@ def b24_pretty(spark, d):
 
 
 def b25_detected(spark, d):
-    return T.detect_language(_records(spark, d), "id", "content")
+    return L.detect_language(_records(spark, d), "id", "content")
 
 
 def b26_sentences(spark, d):
@@ -205,9 +206,13 @@ def _n(text: str) -> str:
     return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n"))
 
 
-def _words_sql() -> str:
-    best = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + y + chr(39) for y in T.STOPWORDS[k])}))), 'o': -{i}, 'k': '{k}'}}" for i, k in enumerate(sorted(T.STOPWORDS)))
-    return f"WITH w AS (SELECT id, list_filter(string_split_regex(lower(coalesce(content, '')), '[\\s!-/:-@\\[-`{{-~]+'), lambda x: x <> '') AS w FROM records), b AS (SELECT id, list_max([{best}]) AS b FROM w) SELECT id, CASE WHEN b.n >= 2 THEN b.k ELSE 'xx' END AS detected FROM b"
+def _languages_sql() -> str:
+    weights = ", ".join(f"('{lang}', '{gram}', {w})" for lang, gram, w in L.profiles())
+    return f"""WITH p(lang, gram, w) AS (VALUES {weights}), t AS (SELECT id, ' ' || trim(regexp_replace(lower(coalesce(content, '')), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' ' AS t FROM records),
+      c AS (SELECT id, string_split(t, '') AS c FROM t WHERE trim(t) <> ''), g AS (SELECT id, len(c) - 2 AS n, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM c),
+      s AS (SELECT id, lang, any_value(n) AS n, sum(w) AS s, count(*) AS hits FROM g JOIN p USING (gram) GROUP BY 1, 2), b AS (SELECT id, n, lang, hits FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, lang) = 1),
+      d AS (SELECT r.id, CASE WHEN b.hits * 100 >= b.n * {L.LEAST_SHARE} THEN b.lang ELSE 'xx' END AS detected FROM records r LEFT JOIN b ON b.id = r.id)
+      SELECT id, detected, CASE WHEN detected IN ({', '.join(f"'{x}'" for x in L.SUPPORTED)}) THEN detected ELSE 'xx' END AS language FROM d"""
 
 
 _PICKED = "list_filter(list_transform(r, lambda x: CASE lower(x) WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE TRY_CAST(x AS DOUBLE) END), lambda x: x IS NOT NULL)"
@@ -243,7 +248,7 @@ SQL = {
     "b23_dots": f"WITH e AS (SELECT event_id, (event_id % 101) / 100 AS s FROM events) SELECT event_id, {_DOTS('s')} AS dots FROM e",
     "b24_pretty": with_views(f"""WITH p AS (SELECT *, CASE WHEN language IN ('en', 'fr', 'es') THEN language ELSE 'en' END AS code, CASE WHEN pos % 5 > 0 THEN (pos % 201) / 200 END AS s FROM records)
       SELECT id, concat_ws({_NL}, 'Feedback-ID:    ' || id, rpad({_HEAD('quality')}, 16, ' ') || {_DOTS('s')} || ' ' || CAST(round_even(s * 100, 0) AS INT) || '%', rpad({_HEAD('title')}, 16, ' ') || coding_level_1, {_HEAD('summary')} || {_NL} || coding_level_2, repeat('-', 60)) AS pretty FROM p""", "records"),
-    "b25_detected": with_views(_words_sql(), "records"),
+    "b25_detected": with_views(_languages_sql(), "records"),
     "b26_sentences": with_views(r"SELECT id, CASE WHEN trim(content) = '' THEN 0 ELSE greatest(len(list_filter(string_split_regex(trim(content), '[.!?]+\s+|\n'), lambda x: trim(x) <> '')), 1) END AS n FROM records", "records"),
     "b27_scores": """WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN CAST(event_id % 130 / 100 AS VARCHAR) WHEN 2 THEN '-1' WHEN 3 THEN '0.' || event_id % 9 END AS t FROM events), n AS (SELECT event_id, t, TRY_CAST(t AS DOUBLE) AS n FROM e)
       SELECT event_id, CASE WHEN n BETWEEN 0 AND 1 THEN n END AS score, CASE WHEN t IS NULL THEN 'missing' WHEN n IS NULL THEN 'not a number' WHEN n NOT BETWEEN 0 AND 1 THEN 'out of range' END AS reason FROM n""",

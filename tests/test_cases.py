@@ -5,6 +5,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from echoloom.functions import languages
 from echoloom.functions import prompts as P
 from echoloom.functions import text as X
 from echoloom.functions import vectors as V
@@ -278,7 +279,7 @@ def test_stream_intake(spark, tmp_path):
 def test_language_of_texts(spark):
     rows = [("en", "the cat and the dog in the house"), ("fr", "le chat et la souris dans la maison"), ("xx", "zzz"), ("xx", "")]
     df = spark.createDataFrame(rows, "want string, t string")
-    assert all(r.want == r.detected for r in X.detect_language(df.withColumn("id", F.col("want")), "id", "t").withColumn("want", F.col("id")).collect())
+    assert all(r.want == r.detected for r in languages.detect_language(df.withColumn("id", F.col("want")), "id", "t").withColumn("want", F.col("id")).collect())
 
 
 def test_tree_fails_with_a_group(spark):
