@@ -59,14 +59,32 @@ def a5_calls(spark, d):
     return calls_in_window(view(spark, d, "calls"), "2024-01-10 00:00:00", "2024-01-12 00:00:00", "tenant_1").select("id", "operation", "cost_usd")
 
 
+def a6_codebook(spark, d):
+    """Codebooks made of parts, a book a brand: every other one in the form of fixed levels, the others as trees."""
+    p = view(spark, d, "part").select("p_brand", F.concat(F.lit("all of "), "p_brand").alias("p_mfgr"), F.col("p_size").cast("string").alias("p_container"), F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("about"))
+    tree = F.substring("p_brand", -1, 1).cast("int") % 2 == 0
+    sensitive, examples = F.col("k") % 7 == 0, F.array("p_container", "name")
+    code = F.struct("k", F.concat(F.lit("c"), "k").alias("code_id"), "name", F.col("about").alias("code_description"), examples.alias("examples"), sensitive.alias("sensitive"))
+    low = p.groupBy("p_brand", "p_mfgr", "p_container").agg(F.array_sort(F.collect_list(code)).alias("codes"))
+    both = low.groupBy("p_brand", "p_mfgr").agg(F.array_sort(F.collect_list(F.struct(F.col("p_container").alias("name"), "codes"))).alias("categories"))
+    fixed = F.to_json(F.struct(F.array(F.struct(F.col("p_mfgr").alias("name"), "categories")).alias("types")))
+    leaf = lambda x: F.struct(x["code_id"].alias("id"), x["name"].alias("name"), x["code_description"].alias("description"), x["examples"].alias("examples"), x["sensitive"].alias("sensitive"))
+    nodes = F.transform("categories", lambda c: F.struct(F.concat(F.lit("g:"), c["name"]).alias("id"), c["name"].alias("name"), F.transform(c["codes"], leaf).alias("children")))
+    free = F.to_json(F.struct(F.array(F.struct(F.lit("root").alias("id"), F.col("p_mfgr").alias("name"), nodes.alias("children"))).alias("root_codes")))
+    books = both.select(F.col("p_brand").alias("book"), F.when(tree, free).otherwise(fixed).alias("value"))
+    n = S.framework_nodes(books)
+    return n.select("book", "node_id", "parent_id", "name", "level", "position", "description", F.array_join("examples", "|").alias("examples"), "sensitive", "feedback_type", "error")
+
+
 def a8_payloads(spark, d):
     o = view(spark, d, "orders")
     insights = view(spark, d, "customer").select(F.col("c_custkey").alias("insight_id"), F.concat(F.lit('Say "why" '), F.col("c_custkey").cast("string")).alias("prompt"))
     links = o.select(F.col("o_custkey").alias("insight_id"), F.col("o_orderkey").alias("feedback_id"))
-    feedback = o.select(F.col("o_orderkey").alias("feedback_id"), F.concat("o_orderpriority", F.lit("\n\\\r"), "o_orderstatus").alias("text"), F.col("o_orderdate").cast("string").alias("created_at"), F.lit("A").alias("coding_level_1"))
+    feedback = o.select(F.col("o_orderkey").alias("feedback_id"), F.concat("o_orderpriority", F.lit("\n\\\r"), "o_orderstatus").alias("text"), F.col("o_orderdate").cast("string").alias("created_at"), F.lit("A").alias("coding_level_1"), F.col("o_orderstatus").alias("coding_level_2"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("coding_level_3"))
     p = S.build_payloads(insights, links, feedback, 5)
-    ids = F.from_json("payload", "struct<prompt:string,feedback_records:array<struct<id:string,content:string>>>")
-    return p.select("insight_id", "n", F.array_join(F.transform(ids["feedback_records"], lambda x: x["id"]), ",").alias("ids"), ids["feedback_records"][0]["content"].alias("first"), ids["prompt"].alias("prompt"))
+    ids = F.from_json("payload", "struct<prompt:string,feedback_records:array<struct<id:string,content:string,metadata:struct<created:string,coding_level_1:string,coding_level_2:string,coding_level_3:string>>>>")
+    codes = lambda x: F.concat_ws(":", *[x["metadata"][k] for k in ("created", "coding_level_1", "coding_level_2", "coding_level_3")])
+    return p.select("insight_id", "n", F.array_join(F.transform(ids["feedback_records"], lambda x: x["id"]), ",").alias("ids"), ids["feedback_records"][0]["content"].alias("first"), ids["prompt"].alias("prompt"), F.array_join(F.transform(ids["feedback_records"], codes), ";").alias("codes"))
 
 
 def a9_pretty(spark, d):
@@ -247,8 +265,13 @@ SQL = {
     "a3_lines": "SELECT conv_id, turn, role, text FROM conversations",
     "a4_log": with_views("SELECT call_id, operation, call_duration_ms, model, cost_usd, status, error_class FROM calls WHERE ts >= '2024-01-05 06:00:00' AND ts < '2024-01-20' AND tenant_id = 'tenant_2'", "calls"),
     "a5_calls": with_views("SELECT id, operation, cost_usd FROM calls WHERE ts >= '2024-01-10' AND ts < '2024-01-12' AND tenant_id = 'tenant_1'", "calls"),
-    "a8_payloads": """WITH r AS (SELECT o_custkey AS insight_id, o_orderkey, o_orderpriority || ' ' || chr(92) || o_orderstatus AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS VARCHAR) DESC, o_orderkey) AS r FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY r <= 5)
-      SELECT insight_id, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY r) AS ids, min_by(t, r) AS first, 'Say "why" ' || insight_id AS prompt FROM r GROUP BY insight_id""",
+    "a6_codebook": """WITH part_ AS (SELECT *, 'all of ' || p_brand AS p_mfgr, CAST(p_size AS VARCHAR) AS p_container FROM part), p AS (SELECT p_brand AS book, p_mfgr, p_container AS g, p_partkey AS k, p_name, p_type, CAST(right(p_brand, 1) AS INT) % 2 = 0 AS tree, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_container) - 1 AS j, row_number() OVER (PARTITION BY p_brand, p_container ORDER BY p_partkey) - 1 AS i FROM part_),
+      q AS (SELECT *, CASE WHEN tree THEN 'root' ELSE 'type-0' END AS top, CASE WHEN tree THEN 'g:' || g ELSE 'category-0-' || j END AS mid FROM p)
+      SELECT DISTINCT book, top AS node_id, NULL::VARCHAR AS parent_id, p_mfgr AS name, 1 AS level, 0 AS position, '' AS description, '' AS examples, false AS sensitive, p_mfgr AS feedback_type, NULL::VARCHAR AS error FROM q
+      UNION ALL SELECT DISTINCT book, mid, top, g, 2, CAST(j AS INT), '', '', false, p_mfgr, NULL FROM q
+      UNION ALL SELECT book, 'c' || k, mid, p_name, 3, CAST(i AS INT), p_type, g || '|' || p_name, k % 7 = 0, p_mfgr, NULL FROM q""",
+    "a8_payloads": """WITH r AS (SELECT o_custkey AS insight_id, o_orderkey, o_orderpriority || ' ' || chr(92) || o_orderstatus AS t, concat_ws(':', CAST(o_orderdate AS VARCHAR), 'A', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END) AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS VARCHAR) DESC, o_orderkey) AS r FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY r <= 5)
+      SELECT insight_id, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY r) AS ids, min_by(t, r) AS first, 'Say "why" ' || insight_id AS prompt, string_agg(c, ';' ORDER BY r) AS codes FROM r GROUP BY insight_id""",
     "a9_pretty": "SELECT c_custkey AS insight_id, CASE WHEN c_custkey % 3 > 0 THEN 'a\"b ' || c_custkey END AS pretty_output FROM customer",
     "i1_leaf_counts": with_views(f"WITH {_CODES} SELECT code, count(*) AS n, code AS parent FROM codes GROUP BY 1", "records"),
     "i1_siblings": f"WITH {_PCODE} SELECT parent, count(*) AS n_siblings, string_agg(code, ',' ORDER BY code) AS codes FROM pc GROUP BY 1",

@@ -63,32 +63,84 @@ def read_calls(spark: SparkSession, path: str, tenant: str | None = None, from_=
     return (df if tenant is None else df.where(F.col("tenant_id") == tenant)).drop("call_date")
 
 
-_CODE = "array<struct<code_id:string,name:string,code_description:string>>"
-CODEBOOK = f"types array<struct<name:string,categories:array<struct<name:string,codes:{_CODE}>>>>"
+#: What a node without an id is called, by level; below the third level, node.
+LEVEL_NAMES = ("type", "category", "code")
+
+
+def framework_nodes(books: DataFrame, name: str = "book", col: str = "value") -> DataFrame:
+    """A row per node of codebooks, one JSON text each: name, node_id, parent_id, name of the node, level, position, description, examples, sensitive, feedback_type, error.
+
+    A book has `types` with `categories` with `codes`, or `root_codes` with `children` of any depth; both are read level by level, all books at
+    once, until no node has children. A node without an id is called after its place, as category-0-2. feedback_type is the name of
+    the node's root. A text that is no JSON, or has neither list, is one row with error. A null text is no JSON; an empty list has no nodes.
+    """
+    node = "array<variant>"
+    get = lambda c, key, kind: F.try_variant_get(F.col(c), f"$.{key}", kind)
+    parsed = books.select(F.col(name).alias("book"), F.try_parse_json(F.col(col)).alias("v"))
+    parsed = parsed.select("book", F.coalesce(get("v", "root_codes", node), get("v", "types", node)).alias("nodes"))
+    blank = F.array().cast("array<int>")
+    level = parsed.select("book", F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("feedback_type"), blank.alias("places"), "nodes")
+    out = parsed.where("nodes is null").select("book", F.lit("no codebook").alias("error"))
+    depth = 0
+    while True:
+        kind = LEVEL_NAMES[depth] if depth < len(LEVEL_NAMES) else "node"
+        rows = level.select("book", "parent_id", "feedback_type", "places", F.posexplode("nodes").alias("position", "v"))
+        places = F.concat("places", F.array("position"))
+        own = F.coalesce(get("v", "id", "string"), get("v", "code_id", "string"), F.concat(F.lit(f"{kind}-"), F.array_join(places.cast("array<string>"), "-")))
+        rows = rows.select("book", "parent_id", places.alias("places"), "position", own.alias("node_id"), "feedback_type", "v")
+        title = F.coalesce(get("v", "name", "string"), F.col("node_id"))
+        rows = rows.select("book", "node_id", "parent_id", title.alias("name"), F.lit(depth + 1).alias("level"), "position", F.coalesce("feedback_type", title).alias("feedback_type"), "places",
+            F.coalesce(get("v", "code_description", "string"), get("v", "description", "string"), F.lit("")).alias("description"),
+            F.coalesce(get("v", "examples", "array<string>"), F.array().cast("array<string>")).alias("examples"), F.coalesce(get("v", "sensitive", "boolean"), F.lit(False)).alias("sensitive"),
+            F.coalesce(*[get("v", k, node) for k in ("children", "categories", "codes")]).alias("nodes"))
+        below = rows.where(F.size("nodes") > 0)
+        out = out.unionByName(rows.drop("places", "nodes"), allowMissingColumns=True)
+        if below.isEmpty():
+            columns = ["node_id", "parent_id", "name", "level", "position", "description", "examples", "sensitive", "feedback_type", "error"]
+            return out.select(F.col("book").alias(name), *columns)
+        level = below.select("book", F.col("node_id").alias("parent_id"), "feedback_type", "places", "nodes")
+        depth += 1
 
 
 def read_framework(spark: SparkSession, path: str) -> DataFrame:
-    """Node rows (node_id, parent_id, name, level, position) of codebooks of three fixed levels; ids are made from positions where there are none."""
-    types = spark.read.schema(CODEBOOK).option("multiLine", True).json(path).select(F.posexplode("types").alias("i", "t"))
-    cats = types.select("i", F.posexplode("t.categories").alias("j", "c"))
-    codes = cats.select("i", "j", F.posexplode("c.codes").alias("k", "d"))
-    id1, id2 = F.format_string("type-%d", "i"), F.format_string("category-%d-%d", "i", "j")
-    none = F.lit(None).cast("string")
-    rows = types.select(id1.alias("node_id"), none.alias("parent_id"), F.col("t.name").alias("name"), F.lit(1).alias("level"), F.col("i").alias("position"))
-    rows = rows.unionByName(cats.select(id2.alias("node_id"), id1.alias("parent_id"), F.col("c.name").alias("name"), F.lit(2).alias("level"), F.col("j").alias("position")))
-    return rows.unionByName(codes.select(F.coalesce("d.code_id", F.format_string("code-%d-%d-%d", "i", "j", "k")).alias("node_id"), id2.alias("parent_id"), F.coalesce("d.name", "d.code_id").alias("name"), F.lit(3).alias("level"), F.col("k").alias("position")))
+    """Nodes of the codebooks in JSON files of either shape, see framework_nodes; book is the file."""
+    return framework_nodes(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("book"), "value"))
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PRICES).json(path)
+    """(model, input_per_token, output_per_token, max_tokens, error) of price lists, YAML (which JSON is too): `models` by name with costs per token, or lines of JSON with the columns.
+
+    A file is one task. A model without both costs, a list that cannot be read and one without models are rows with error.
+    """
+    if not path.endswith((".yaml", ".yml")):
+        return spark.read.schema(PRICES).json(path)
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for pdf in parts:
+            rows = []
+            for data in pdf["content"]:
+                try:
+                    models = (yaml.safe_load(bytes(data)) or {}).get("models") or {}
+                    if not models:
+                        rows.append((None, None, None, None, "no models"))
+                    for model, x in models.items():
+                        costs = [float(x[k]) if isinstance(x, dict) and x.get(k) is not None else None for k in ("input_cost_per_token", "output_cost_per_token")]
+                        rows.append((str(model), *costs, x.get("max_tokens") if isinstance(x, dict) else None, "no cost" if None in costs else None))
+                except Exception as e:  # noqa: BLE001  a bad list is a row
+                    rows.append((None, None, None, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["model", "input_per_token", "output_per_token", "max_tokens", "error"]).astype({"max_tokens": "Int64"})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, f"{PRICES}, max_tokens long, error string")
 
 
 def build_payloads(insights: DataFrame, links: DataFrame, feedback: DataFrame, limit: int = 9999) -> DataFrame:
-    """One JSON payload per insight: its linked feedback, the latest `limit` by created_at (ties by id), newlines cleaned."""
+    """One JSON payload per insight: its linked feedback, the latest `limit` by created_at (ties by id), newlines cleaned, with all three levels of codes (a null level is left out)."""
     rows = insights.select("insight_id", "prompt").join(links, "insight_id").join(feedback, "feedback_id")
     w = W.partitionBy("insight_id").orderBy(F.desc("created_at"), "feedback_id")
     rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
-    item = F.struct("_r", F.struct(F.col("feedback_id").cast("string").alias("id"), clean_newlines(F.col("text")).alias("content"), F.struct(F.col("created_at").cast("string").alias("created"), "coding_level_1").alias("metadata")).alias("x"))
+    item = F.struct("_r", F.struct(F.col("feedback_id").cast("string").alias("id"), clean_newlines(F.col("text")).alias("content"), F.struct(F.col("created_at").cast("string").alias("created"), "coding_level_1", "coding_level_2", "coding_level_3").alias("metadata")).alias("x"))
     body = rows.groupBy("insight_id", "prompt").agg(F.transform(F.array_sort(F.collect_list(item)), lambda y: y["x"]).alias("feedback_records"))
     return body.select("insight_id", F.size("feedback_records").cast("bigint").alias("n"), F.to_json(F.struct(F.col("prompt"), "feedback_records")).alias("payload"))
 
