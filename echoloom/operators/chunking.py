@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import date_sort_key
-from ..session import checkpointed
+from ..session import settled
 from .numbering import number_rows
 
 CHARS_PER_TOKEN = 4
@@ -122,14 +122,14 @@ def _large_part_counts(members: DataFrame, large: DataFrame, by: list[str], char
     dealt = placed.withColumn("_to", F.explode(F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0)))))).withColumn("_own", F.col("_to") == block)
     dealt = dealt.withColumn("_key", F.xxhash64(*by, "_to")).repartition("_key").sortWithinPartitions("_key", *by, "_to", "_k")
     kinds = ", ".join(f"`{c}` {members.schema[c].dataType.simpleString()}" for c in by)
-    runs = checkpointed(dealt.select(*by, "rn", "_upto", F.col("_own"), "_limit", "_chars", "_key").mapInArrow(_over_budget(by), f"{kinds}, first long, last long"))
+    runs = settled(dealt.select(*by, "rn", "_upto", F.col("_own"), "_limit", "_chars", "_key").mapInArrow(_over_budget(by), f"{kinds}, first long, last long"))
 
     length = F.col("last") - F.col("first") + 1
     few = runs.withColumns({"_len": length, "_bucket": F.pmod(F.xxhash64("first"), F.lit(256))})
     for part in ([*by, "_bucket"], by):
         few = few.withColumn("_r", F.row_number().over(W.partitionBy(*part).orderBy("_len", "first"))).where(F.col("_r") <= WITNESSES)
     few = few.groupBy(*by).agg(F.collect_list(F.struct("first", "last")).alias("_runs"), F.min("_len").alias("_least"))
-    groups = checkpointed(_meet(large.select(*by, "n", "total", "_p0"), few, by, "left"))
+    groups = settled(_meet(large.select(*by, "n", "total", "_p0"), few, by, "left"))
     sure = F.when(F.col("_least").isNull(), F.col("_p0")).when(F.col("_least") <= 1, F.col("n")).otherwise(F.least("n", F.ceil(F.col("n") / (F.col("_least") - 1)))).cast("bigint")
     groups = groups.withColumn("_sure", F.greatest(sure, F.col("_p0")))
     cut = lambda r, p: balanced_part(r["first"], F.col("n"), p) == balanced_part(r["last"], F.col("n"), p)
@@ -142,12 +142,12 @@ def _large_part_counts(members: DataFrame, large: DataFrame, by: list[str], char
     todo, done, at, size = groups.select(*by, "n", "total", "_sure"), None, 0, ROUND_CANDIDATES[0]
     while True:
         now = _meet(tried.where((F.col("_s") >= at) & (F.col("_s") < at + size)), todo.select(*by), by, "left_semi")
-        listed = checkpointed(now.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list("parts").alias("_all")))
+        listed = settled(now.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list("parts").alias("_all")))
         failed = F.filter("_all", lambda p: cut({"first": F.col("first"), "last": F.col("last")}, p))
         bad = _meet(runs, listed, by).select(*by, F.explode(failed).alias("parts")).distinct()
         good = _meet(now, bad, [*by, "parts"], "left_anti").groupBy(*by).agg(F.min("parts").alias("parts"))
         judged = _meet(_meet(todo, good, by, "left"), listed.select(*by, F.lit(True).alias("_more")), by, "left")
-        judged = checkpointed(judged.withColumn("parts", F.coalesce("parts", F.when(F.col("_more").isNull(), F.col("_sure")))).drop("_more"))
+        judged = settled(judged.withColumn("parts", F.coalesce("parts", F.when(F.col("_more").isNull(), F.col("_sure")))).drop("_more"))
         ended = judged.where("parts is not null").select(*by, "n", "total", "parts")
         done = ended if done is None else done.unionByName(ended)
         todo = judged.where("parts is null").drop("parts")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions.text import parse_score, parse_selected
-from ..session import checkpointed
+from ..session import checkpointed, settled
 from .complete import INJECTION, Complete, complete
 from .validate import injection
 
@@ -25,7 +25,7 @@ def framework_paths(nodes: DataFrame) -> DataFrame:
     in place of one: itself or an ancestor stands in a cycle, names a parent that is not there, has no id, or has an id that others have too
     (each such row is returned). A node all of whose leaves have errors has no depths of leaves. An empty table gives an empty result.
     """
-    n = checkpointed(nodes.select("node_id", "parent_id", "name", "position"))
+    n = settled(nodes.select("node_id", "parent_id", "name", "position"))
     ids = n.groupBy("node_id").agg(F.count("*").alias("_c"))
     parents = n.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.lit(True).alias("_inner"))
     known = ids.join(parents, "node_id", "left").select(F.col("node_id").alias("_id"), "_c", F.coalesce("_inner", F.lit(False)).alias("_inner"))
@@ -34,7 +34,7 @@ def framework_paths(nodes: DataFrame) -> DataFrame:
     own = own.join(above, own["parent_id"] == above["_p"], "left")
     error = F.when(F.col("node_id").isNull(), UNNAMED).when(F.col("_c") > 1, REPEATED).when(F.col("parent_id").isNotNull() & F.col("_p").isNull(), ORPHAN).when(F.col("_pc") > 1, REPEATED)
     state = own.select("node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("path"), F.array("name").alias("names"), F.array("position").alias("order"), (~F.col("_inner")).alias("is_leaf"), error.alias("error"))
-    state = checkpointed(state)
+    state = settled(state)
     ended = state.where("up is null or error is not null")
     open_ = state.where("up is not null and error is null")
     done = ended
@@ -47,8 +47,8 @@ def framework_paths(nodes: DataFrame) -> DataFrame:
         )
         # A path that meets a node twice has gone round.
         looped = F.when(F.size(F.array_distinct("path")) < F.size("path"), CYCLE)
-        state = checkpointed(longer.withColumn("error", F.coalesce("error", looped)))
-        done = checkpointed(done.unionByName(state.where("up is null or error is not null")))
+        state = settled(longer.withColumn("error", F.coalesce("error", looped)))
+        done = settled(done.unionByName(state.where("up is null or error is not null")))
         open_ = state.where("up is not null and error is null")
     whole = done.where("error is null").withColumn("depth", F.size("path"))
     below = whole.where("is_leaf").select(F.explode("path").alias("node_id"), F.col("depth").alias("_d")).groupBy("node_id").agg(F.min("_d").alias("min_leaf_depth"), F.max("_d").alias("max_leaf_depth"))

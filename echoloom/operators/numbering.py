@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import settled
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[str | Column], name: str = "rn", total: tuple[str, str] | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[str | Column], name: s
     marks = [f"_o{k}" for k in range(len(keys))]
     ranged = ranged.repartitionByRange(*marks).sortWithinPartitions(*marks)
     # The partition stands in the upper bits of the id and the place in the lower ones; both are data once written.
-    ranged = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()).drop(*marks))
+    ranged = settled(ranged.withColumn("_at", F.monotonically_increasing_id()).drop(*marks))
     ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
     sums = {"_before": F.count("*"), "_first": F.min("_at")} | ({"_sum": F.sum(total[0])} if total else {})
     parts = ranged.groupBy("_range", *by).agg(*[c.alias(n) for n, c in sums.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import settled
 from .numbering import number_rows
 from .substrings import values_in_texts
 from .validate import DISCLAIMER
@@ -101,7 +101,7 @@ def pseudonymise_records(df: DataFrame, by: str = "corpus_id", id_col: str = "id
         found = detect_entities(df, id_col, col, carry=(by,))
     else:
         found = spans.join(df.select(id_col, by), id_col)
-    keyed = checkpointed(resolve_spans(filter_entities(found), id_col))
+    keyed = settled(resolve_spans(filter_entities(found), id_col))
     mapping = number_placeholders(keyed, [by], [id_col, "start"])
     own = keyed.join(mapping, [by, "type", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
     out = df.join(own, id_col, "left").withColumn(col, F.when(F.col("_spans").isNull(), F.col(col)).otherwise(replace_spans(F.col(col), F.col("_spans"))))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import settled
 
 GRAM = 8
 #: Bits of the table of chosen grams: 2 MB, whatever the number of values.
@@ -89,10 +89,10 @@ def values_in_texts(texts: DataFrame, values: DataFrame, by: str, col: str, valu
     """
     kept = values.where(f"`{by}` is not null and `{value}` <> ''")
     distinct = kept.select(F.col(by).cast("string").alias("_by"), F.col(value).alias("_value")).distinct()
-    grams = checkpointed(distinct.mapInArrow(_value_grams, "_by string, _value string, _gram long, _size int"))
+    grams = settled(distinct.mapInArrow(_value_grams, "_by string, _value string, _gram long, _size int"))
     shared = grams.groupBy("_by", "_gram").agg(F.count("*").alias("_c"))
     rare = grams.join(shared, ["_by", "_gram"]).groupBy("_by", "_value").agg(F.min(F.struct("_c", "_gram")).alias("_m"), F.max("_size").alias("_size"))
-    chosen = checkpointed(rare.select("_by", "_value", F.col("_m._gram").alias("_gram"), "_size"))
+    chosen = settled(rare.select("_by", "_value", F.col("_m._gram").alias("_gram"), "_size"))
     sizes = sorted(r[0] for r in chosen.select("_size").distinct().collect())  # GRAM numbers at most
     row = F.xxhash64(F.col(by).cast("string"), F.col(col))
     once = texts.where(f"`{by}` is not null").select(F.col(by).cast("string").alias("_by"), row.alias("_row"), F.col(col).alias("_text"))

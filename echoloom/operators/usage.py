@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import settled
 
 METRICS = (("call_duration_ms", "duration"), ("input_tokens", "input"), ("output_tokens", "output"))
 STATS = ("avg", "min", "max", "total", "p5", "p95")
@@ -75,7 +75,7 @@ def _distributions(counts: DataFrame, by: list[str], place: Callable[[DataFrame]
     """
     ranks = {f"{name}_{end}": (q, f) for name, q in (("p5", 0.05), ("p95", 0.95)) for end, f in (("lo", F.floor), ("hi", F.ceil))}  # from 0, may lie between two rows
     own = [*by, "_m", "_bin"]
-    binned = place(checkpointed(counts)).withColumn("_bin", _bin(F.col("_v")))  # read twice: counts and sums by bin, then the bins that hold a rank
+    binned = place(settled(counts)).withColumn("_bin", _bin(F.col("_v")))  # read twice: counts and sums by bin, then the bins that hold a rank
     sums = {"_n": "_c", "_total": "_total", "_failed": "_failed", "_cost": "_cost"}
     bins = binned.groupBy(*own).agg(F.sum(F.col("_v") * F.col("_c")).alias("_sum"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *[F.sum(c).alias(k) for k, c in sums.items()])
     cell = W.partitionBy(*by, "_m")

@@ -39,9 +39,17 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def checkpointed(df):
-    """df, written to the shared folder as Parquet and read back: cut off from what made it, and computed once where a reader takes only some columns.
+    """df, written to the shared folder and cut off from what made it; its partitions and the order inside them stay."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
 
-    Dataset.checkpoint computes its last stage twice and stores whole rows. Files go when the session's process ends.
+
+def settled(df):
+    """df as a table, written to the shared folder as Parquet and read back: cut off from what made it, and computed once where a reader takes only some columns.
+
+    Cheaper than a checkpoint, which computes its last stage twice; but rows have no order, and partitions are others. Files go when the session's process ends.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "table")
     df.write.parquet(path)

@@ -53,8 +53,8 @@ def test_a_hundred_thousand_records(spark, monkeypatch):
     r = random.Random(6)
     sizes = [int(r.lognormvariate(4, 1)) for _ in range(100_000)]
     rounds = []
-    whole = C.checkpointed
-    monkeypatch.setattr(C, "checkpointed", lambda df: rounds.append(1) or whole(df))
+    whole = C.settled
+    monkeypatch.setattr(C, "settled", lambda df: rounds.append(1) or whole(df))
     began = time.time()
     got = counts(spark, {"g": sizes, "h": sizes[:10]}, 2000)
     print("seconds", time.time() - began, "jobs", len(rounds))
