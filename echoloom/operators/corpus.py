@@ -192,10 +192,10 @@ def pattern_summary(df: DataFrame, carriers: DataFrame) -> DataFrame:
 
 
 def sample_records(df: DataFrame, n: int, seed: int, id_col: str = "id", bins: int = 1 << 16) -> DataFrame:
-    """n records, all if there are no more: those whose digest (md5 of seed and id) is least, ties by id. The same ones every time.
+    """n records, all if there are no more: those whose digest (md5 of seed and id) is least, ties by id. The same ones every time, in the order of digests.
 
     Digests are counted by their first bits. All records of bins below the one where the counts reach n are taken where they lie,
-    and only that bin is sorted, so no task sees the sample. Records that repeat an id have one digest; which of them are taken is not stated. A null id counts as empty.
+    and only that bin is cut by a sort; the sample is then sorted in ranges, so no task sees all of it. Records that repeat an id have one digest; which of them are taken is not stated. A null id counts as empty.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     place = F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint") / ((1 << 32) // bins)).cast("int")
@@ -208,9 +208,9 @@ def sample_records(df: DataFrame, n: int, seed: int, id_col: str = "id", bins: i
             break
         upto += c
     if edge is None:
-        return df
+        return rows.orderBy("_digest", id_col).drop("_digest", "_place")
     last = rows.where(F.col("_place") == edge).orderBy("_digest", id_col).limit(n - upto)
-    return rows.where(F.col("_place") < edge).unionByName(last).drop("_digest", "_place")
+    return rows.where(F.col("_place") < edge).unionByName(last).orderBy("_digest", id_col).drop("_digest", "_place")
 
 
 def corpus_checks(df: DataFrame, framework: DataFrame, field: str = "codes") -> DataFrame:
