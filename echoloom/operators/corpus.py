@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import parent_path
+from .choices import choose, uniform
 from .trends import explode_codes
 
 # Patterns in order of priority, their months and shapes.
@@ -23,11 +24,6 @@ TIERS = ((5, 130), (25, 60), (70, 30))
 TAIL = 20
 
 
-def uniform(key: Column, seed: int | str) -> Column:
-    """A number in [0, 1) from the digest of seed and key."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
-
-
 def leaf_counts(df: DataFrame, fields: tuple[str, ...], id_col: str = "id") -> DataFrame:
     """(code, n, parent): records per leaf code."""
     rows = explode_codes(df.select(id_col, *fields), fields, [id_col]).distinct()
@@ -142,23 +138,60 @@ def allocate_volumes(leaves: DataFrame, total: int, seed: int, floor: int = 1, t
     return v.select("code", F.when(F.col("_d") >= 0, grown).otherwise(shrunk).cast("bigint").alias("n"))
 
 
-def weighted_choice(key: Column, seed: int | str, weights: dict[str, float]) -> Column:
-    """One of the names by its weight."""
-    u, total, upto = uniform(key, seed), sum(weights.values()), 0.0
-    out = None
-    for name, w in weights.items():
-        upto += w / total
-        out = F.when(u < upto, F.lit(name)) if out is None else out.when(u < upto, F.lit(name))
-    return out.otherwise(F.lit(list(weights)[-1]))
-
-
-SOURCES = {"hotline": 4.0, "visit": 3.0, "social": 2.0, "box": 1.0}
-
-
-def sample_metadata(df: DataFrame, seed: int, id_col: str = "id", flip: float = 0.05) -> DataFrame:
-    """Adds channel by weights, and sensitive, turned round for a share of the records."""
-    s = F.coalesce(F.col("sensitive"), F.lit(False)) if "sensitive" in df.columns else F.lit(False)
-    return df.withColumns({"channel": weighted_choice(F.col(id_col), f"{seed}:channel", SOURCES), "sensitive": s != (uniform(F.col(id_col), f"{seed}:flip") < flip)})
+# Shares of the ways in which feedback comes, of languages, and the countries with their regions, all alike.
+SOURCES = {
+    "hotline": 0.80,
+    "web form": 0.05,
+    "email": 0.05,
+    "outbound call": 0.05,
+    "survey": 0.025,
+    "focus group": 0.015,
+    "community feedback session": 0.005,
+    "volunteer report": 0.005,
+}
+LANGUAGES = {"en": 1.0}
+PLACES = {
+    "Sierra Leone": ("Western Area", "Bo District", "Kenema District", "Kambia District"),
+    "DRC": ("Nord-Kivu", "Sud-Kivu", "Ituri", "Tshopo"),
+    "Senegal": ("Dakar", "Thiès", "Saint-Louis", "Ziguinchor"),
+    "Liberia": ("Montserrado", "Bong", "Nimba", "Grand Bassa"),
+    "Burkina Faso": ("Centre", "Hauts-Bassins", "Boucle du Mouhoun", "Sahel"),
+    "Guinea": ("Conakry", "Kindia", "Nzérékoré", "Mamou"),
+    "Côte d'Ivoire": ("Abidjan", "Bouaké", "Daloa", "Korhogo"),
+}
+
+
+def default_places(spark: SparkSession) -> DataFrame:
+    """(country, region, weight) of PLACES."""
+    return spark.createDataFrame([(c, r, 1.0) for c, rs in PLACES.items() for r in rs], "country string, region string, weight double")
+
+
+def _shares(spark: SparkSession, name: str, shares: dict[str, float]) -> DataFrame:
+    return spark.createDataFrame(list(shares.items()), f"{name} string, weight double")
+
+
+def sample_metadata(
+    df: DataFrame, seed: int, id_col: str = "id", flip: float = 0.05, leaves: DataFrame | None = None, places: DataFrame | None = None, sources: DataFrame | None = None, languages: DataFrame | None = None
+) -> DataFrame:
+    """df with country, region, source, language, year, sensitive and, with leaves (code, feedback_type, sensitive), feedback_type.
+
+    Country goes by the sum of the weights of its regions in places (country, region, weight), region by its weight inside that country; source and
+    language by their tables (source, weight) and (language, weight). sensitive is the one of the row's code in leaves, or else the row's own,
+    null counting as false, turned round for the share flip. Every choice has its own seed, so one table does not move another's draws.
+    Codes that leaves lacks have a null feedback_type, and all is null that has no weights. A code that leaves repeats counts with its
+    least row. Columns of these names are replaced (sensitive is read first); rows that share an id share their draws.
+    """
+    spark = df.sparkSession
+    places = default_places(spark) if places is None else places
+    out = choose(df, places.groupBy("country").agg(F.sum("weight").alias("weight")), "country", f"{seed}:country", id_col)
+    out = choose(out, places, "region", f"{seed}:region", id_col, under="country")
+    out = choose(out, _shares(spark, "source", SOURCES) if sources is None else sources, "source", f"{seed}:source", id_col)
+    out = choose(out, _shares(spark, "language", LANGUAGES) if languages is None else languages, "language", f"{seed}:language", id_col)
+    if leaves is not None:
+        own = leaves.groupBy("code").agg(F.min(F.struct("feedback_type", "sensitive")).alias("_leaf"))
+        out = out.drop("feedback_type", "sensitive").join(own, "code", "left").withColumns({"feedback_type": F.col("_leaf.feedback_type"), "sensitive": F.col("_leaf.sensitive")}).drop("_leaf")
+    own = F.coalesce(F.col("sensitive"), F.lit(False)) if "sensitive" in out.columns else F.lit(False)
+    return out.withColumns({"sensitive": own != (uniform(F.col(id_col), f"{seed}:flip") < flip), "year": F.lit(int(START[:4]))})
 
 
 def gen_specs(leaves: DataFrame, total: int, seed: int) -> DataFrame:
@@ -214,16 +247,27 @@ def sample_records(df: DataFrame, n: int, seed: int, id_col: str = "id", bins: i
 
 
 def corpus_checks(df: DataFrame, framework: DataFrame, field: str = "codes") -> DataFrame:
-    """(id, problem): repeated ids, codes that the framework lacks, no code, blanks round commas, a sentence count outside 1..15."""
+    """(id, problem): repeated ids, codes that the framework lacks, no code, blanks round commas, a sentence count outside 1..15, and a feedback type other than that of a code.
+
+    The type is looked at where both tables have a column feedback_type: it must be that of every code of the record that the framework knows. A
+    record without a type agrees only with codes that have none.
+    """
     repeated = df.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("problem"))
-    codes = explode_codes(df.select("id", field), (field,), ["id"])
-    unknown = codes.join(framework.select(F.col("node_id").alias("code")), "code", "left_anti").select("id", F.lit("unknown code").alias("problem")).distinct()
+    typed = "feedback_type" in df.columns and "feedback_type" in framework.columns
+    codes = explode_codes(df.select("id", field, *(["feedback_type"] if typed else [])), (field,), ["id", *(["feedback_type"] if typed else [])])
+    known = framework.select(F.col("node_id").alias("code"), *([F.col("feedback_type").alias("_type")] if typed else [])).distinct().withColumn("_known", F.lit(True))
+    met = codes.join(known, "code", "left")
+    unknown = met.where("_known is null").select("id", F.lit("unknown code").alias("problem")).distinct()
     rules = F.array(
         F.when(F.trim(F.coalesce(F.col(field), F.lit(""))) == "", F.lit("no code")),
         F.when(F.col(field).rlike(r"\s,|,\s"), F.lit("blank at comma")),
         F.when(~F.col("sentence_count").between(1, 15), F.lit("sentence count")),
     )
-    return repeated.unionByName(unknown).unionByName(df.select("id", F.explode(F.array_compact(rules)).alias("problem")))
+    out = repeated.unionByName(unknown).unionByName(df.select("id", F.explode(F.array_compact(rules)).alias("problem")))
+    if typed:
+        other = met.where("_known and not (feedback_type <=> _type)").select("id", F.lit("feedback type").alias("problem")).distinct()
+        out = out.unionByName(other)
+    return out
 
 
 def corpus_profile(df: DataFrame, by: str, cap: int = 100_000, cpt: int = 4) -> DataFrame:

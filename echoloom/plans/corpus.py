@@ -158,7 +158,14 @@ def i8_shrunk(spark, d):
 
 
 def i9_metadata(spark, d):
-    return C.sample_metadata(_records(spark, d).select("id"), SEED)
+    """Metadata of specs whose codes are parts; the places are nations in their regions, weighted by their customers."""
+    leaves = _leaves(spark, d)
+    about = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("code"), F.col("p_type").alias("feedback_type"), (F.col("p_partkey") % 7 == 0).alias("sensitive"))
+    at = view(spark, d, "customer").join(view(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(view(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = at.groupBy(F.col("r_name").alias("country"), F.col("n_name").alias("region")).agg(F.count("*").alias("weight"))
+    languages = view(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("weight"))
+    m = C.sample_metadata(C.gen_specs(leaves, _total(leaves), SEED), SEED, leaves=about, places=places, languages=languages)
+    return m.select("id", "code", "country", "region", "source", "language", "feedback_type", "sensitive", "year")
 
 
 def i10_specs(spark, d):
@@ -184,8 +191,10 @@ def i13_summary(spark, d):
 
 
 def i15_checks(spark, d):
-    r = _records(spark, d).select("id", "pos", F.concat_ws(",", "coding_level_2", F.when(F.col("pos") % 6 == 0, " L9-9")).alias("codes"), (F.col("pos") % 17).alias("sentence_count"))
-    return C.corpus_checks(r.unionByName(r.where("pos % 25 = 0")), view(spark, d, "framework"))
+    f = view(spark, d, "framework").withColumn("feedback_type", F.concat(F.lit("type "), (F.col("position") % 3).cast("string")))
+    kind = F.when(F.col("pos") % 8 > 0, F.concat(F.lit("type "), (F.col("pos") % 11 % 3).cast("string")))
+    r = _records(spark, d).select("id", "pos", F.concat_ws(",", "coding_level_2", F.when(F.col("pos") % 6 == 0, " L9-9"), F.when(F.col("pos") % 10 == 0, "L1-4")).alias("codes"), (F.col("pos") % 17).alias("sentence_count"), kind.alias("feedback_type"))
+    return C.corpus_checks(r.unionByName(r.where("pos % 25 = 0")), f)
 
 
 def i16_profile(spark, d):
@@ -247,6 +256,14 @@ _I2 = f"""WITH {_PCODE}, el AS (SELECT *, row_number() OVER (PARTITION BY parent
 _VOL = f"""rk AS (SELECT code, row_number() OVER (ORDER BY {_u('code', f'{SEED}:volume')}, code) AS rank FROM (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS code FROM part)),
   v0 AS (SELECT *, CAST(CASE WHEN rank <= 5 THEN 130 WHEN rank <= 30 THEN 60 WHEN rank <= 100 THEN 30 ELSE 20 END AS BIGINT) AS n0, count(*) OVER () AS k FROM rk)"""
 _GROWN = f"{_VOL}, tot AS (SELECT 23 * max(k) + 7 - sum(n0) AS d FROM v0), vol AS (SELECT code, CAST(n0 + d // k + CASE WHEN rank <= d % k THEN 1 ELSE 0 END AS BIGINT) AS n FROM v0, tot)"
+_SPECS = f"""{_GROWN}, e AS (SELECT code, unnest(range(1, n + 1)) AS i FROM vol), o AS (SELECT code, i, {_u("code || '/' || i", f'{SEED}:order')} AS u FROM e),
+  specs AS (SELECT 'doc-' || lpad(CAST(row_number() OVER (ORDER BY u, code, i) AS VARCHAR), CAST(greatest(4, CASE WHEN count(*) OVER () > 9999 THEN len(CAST(count(*) OVER () AS VARCHAR)) ELSE 4 END) AS INT), '0') AS id, code FROM o)"""
+
+
+def _edges(name: str, table: str) -> str:
+    return f"{name} AS (SELECT name, up, (s - w) / max(s) OVER (PARTITION BY up) AS lo, s / max(s) OVER (PARTITION BY up) AS hi FROM (SELECT *, sum(CAST(w AS DOUBLE)) OVER (PARTITION BY up ORDER BY name) AS s FROM {table}))"
+
+
 def i14_sampled(spark, d):
     """A sample of fixed size, the same in every run."""
     return C.sample_records(_records(spark, d), 100, SEED).select("id", "corpus_id", "content")
@@ -282,18 +299,24 @@ SQL = {
     "i6_rumours": with_views(f"{_PLANT} SELECT id, created FROM planted WHERE pattern = 'rumour'", "records"),
     "i7_planted": with_views(f"{_PLANT} SELECT p.id, pattern, p.created, CAST(substr(p.created, 1, 4) AS BIGINT) AS year, r.coding_level_1 FROM planted p JOIN records r ON r.id = p.id", "records"),
     "i8_volumes": f"WITH {_GROWN} SELECT * FROM vol",
-    "i9_metadata": with_views(f"WITH x AS (SELECT id, {_u('id', f'{SEED}:channel')} AS u, {_u('id', f'{SEED}:flip')} AS f FROM records) SELECT id, CASE WHEN u < 0.4 THEN 'hotline' WHEN u < 0.7 THEN 'visit' WHEN u < 0.9 THEN 'social' ELSE 'box' END AS channel, f < 0.05 AS sensitive FROM x", "records"),
-    "i10_specs": f"""WITH {_GROWN}, e AS (SELECT code, unnest(range(1, n + 1)) AS i FROM vol), o AS (SELECT code, i, {_u("code || '/' || i", f'{SEED}:order')} AS u FROM e)
-      SELECT 'doc-' || lpad(CAST(row_number() OVER (ORDER BY u, code, i) AS VARCHAR), CAST(greatest(4, CASE WHEN count(*) OVER () > 9999 THEN len(CAST(count(*) OVER () AS VARCHAR)) ELSE 4 END) AS INT), '0') AS id, code FROM o""",
+    "i9_metadata": f"""WITH {_SPECS}, pl AS (SELECT r_name AS country, n_name AS region, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
+      src(name, w) AS (VALUES {", ".join(f"('{k}', {w}::DOUBLE)" for k, w in C.SOURCES.items())}), {_edges("ce", "(SELECT country AS name, '' AS up, sum(w) AS w FROM pl GROUP BY 1)")}, {_edges("re", "(SELECT region AS name, country AS up, w FROM pl)")}, {_edges("se", "(SELECT name, '' AS up, w FROM src)")},
+      {_edges("le", "(SELECT lang AS name, '' AS up, count(*) AS w FROM documents WHERE lang IS NOT NULL GROUP BY 1)")},
+      u AS (SELECT id, code, {_u('id', f'{SEED}:country')} AS uc, {_u('id', f'{SEED}:region')} AS ur, {_u('id', f'{SEED}:source')} AS us, {_u('id', f'{SEED}:language')} AS ul, {_u('id', f'{SEED}:flip')} AS uf FROM specs)
+      SELECT id, code, ce.name AS country, re.name AS region, se.name AS source, le.name AS language, p_type AS feedback_type, (p_partkey % 7 = 0) <> (uf < 0.05) AS sensitive, 2020 AS year
+      FROM u JOIN part ON CAST(p_partkey AS VARCHAR) = code JOIN ce ON uc >= ce.lo AND uc < ce.hi JOIN re ON re.up = ce.name AND ur >= re.lo AND ur < re.hi JOIN se ON us >= se.lo AND us < se.hi JOIN le ON ul >= le.lo AND ul < le.hi""",
+    "i10_specs": f"WITH {_SPECS} SELECT * FROM specs",
     "i11_merged": with_views(r"""WITH s AS (SELECT id, content, pos, CASE WHEN trim(content) = '' THEN 0 ELSE greatest(len(list_filter(string_split_regex(trim(content), '[.!?]+\s+|\n'), lambda x: trim(x) <> '')), 1) END AS k FROM records)
       SELECT id, CASE WHEN pos % 9 > 0 AND pos % 7 > 0 THEN 'merged' WHEN pos % 9 > 0 THEN 'missing' ELSE 'extra' END AS part, CASE WHEN pos % 9 > 0 AND pos % 7 > 0 THEN abs(k - pos % 8) > 1 END AS mismatch FROM s WHERE pos % 9 > 0 OR pos % 7 > 0""", "records"),
     "i12_series": with_views(f"{_PLANT} SELECT pattern, substr(created, 1, 7) AS month, count(DISTINCT id) AS n FROM planted GROUP BY 1, 2", "records"),
     "i13_summary": with_views(f"WITH {_PAT} SELECT pat.pattern, count(*) AS n, coalesce((SELECT string_agg(code, ', ' ORDER BY code) FROM carriers c WHERE c.pattern = pat.pattern), '') AS carriers FROM pat GROUP BY 1", "records"),
     "i14_sampled": with_views(f"SELECT id, corpus_id, content FROM records ORDER BY md5('{SEED}:' || id), id LIMIT 100", "records"),
     "i14_half": with_views(f"SELECT id, md5(content) AS digest FROM records WHERE corpus_id = 'src1' ORDER BY md5('{SEED}:' || id), id LIMIT (SELECT count(*) // 2 FROM records WHERE corpus_id = 'src1')", "records"),
-    "i15_checks": with_views("""WITH r AS (SELECT id, pos, concat_ws(',', coding_level_2, CASE WHEN pos % 6 = 0 THEN ' L9-9' END) AS codes FROM records), d AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE pos % 25 = 0)
+    "i15_checks": with_views("""WITH r AS (SELECT id, pos, concat_ws(',', coding_level_2, CASE WHEN pos % 6 = 0 THEN ' L9-9' END, CASE WHEN pos % 10 = 0 THEN 'L1-4' END) AS codes, CASE WHEN pos % 8 > 0 THEN 'type ' || pos % 11 % 3 END AS t FROM records), d AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE pos % 25 = 0),
+      c AS (SELECT id, t, unnest(list_transform(string_split(codes, ','), lambda x: trim(x))) AS code FROM r)
       SELECT id, 'repeated id' AS problem FROM r WHERE pos % 25 = 0 UNION ALL SELECT id, 'unknown code' FROM r WHERE pos % 6 = 0
-      UNION ALL SELECT id, 'no code' FROM d WHERE trim(codes) = '' UNION ALL SELECT id, 'blank at comma' FROM d WHERE regexp_matches(codes, '\\s,|,\\s') UNION ALL SELECT id, 'sentence count' FROM d WHERE pos % 17 NOT BETWEEN 1 AND 15""", "records"),
+      UNION ALL SELECT DISTINCT id, 'feedback type' FROM c JOIN framework ON node_id = code WHERE t IS DISTINCT FROM 'type ' || position % 3
+      UNION ALL SELECT id, 'no code' FROM d WHERE trim(codes) = '' UNION ALL SELECT id, 'blank at comma' FROM d WHERE regexp_matches(codes, '\\s,|,\\s') UNION ALL SELECT id, 'sentence count' FROM d WHERE pos % 17 NOT BETWEEN 1 AND 15""", "records", "framework"),
     "i16_profile": with_views("SELECT corpus_id, count(*) AS n, CAST(sum(length(content)) // 4 AS BIGINT) AS tokens, CAST(sum(length(content)) // 4 AS DOUBLE) / 10000 AS times_cap, count(DISTINCT language) AS n_languages, count(DISTINCT coding_level_1) AS n_themes FROM records GROUP BY 1", "records"),
     "j1_alerts": f"""WITH w AS (SELECT event_type AS metric, {_JB} AS start, sum(value) AS total, avg(value) AS mean FROM events GROUP BY 1, 2)
       SELECT metric, CAST(start AS VARCHAR) AS start, round(total, 4) AS total, round(mean, 4) AS mean, CASE metric WHEN 'error' THEN 'many' WHEN 'click' THEN 'low' ELSE 'high' END AS rule FROM w WHERE (metric = 'error' AND total > 100) OR (metric = 'click' AND mean < 20) OR (metric = 'view' AND mean > 80)""",
