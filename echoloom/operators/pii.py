@@ -100,7 +100,7 @@ def pseudonymise_records(df: DataFrame, by: str = "corpus_id", id_col: str = "id
     if spans is None:
         found = detect_entities(df, id_col, col, carry=(by,))
     else:
-        found = spans.join(df.select(id_col, by), id_col)
+        found = spans if by in spans.columns else spans.join(df.select(id_col, by), id_col)
     keyed = settled(resolve_spans(filter_entities(found), id_col))
     mapping = number_placeholders(keyed, [by], [id_col, "start"])
     own = keyed.join(mapping, [by, "type", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
