@@ -13,7 +13,8 @@ from ..functions import prompts as P
 from ..functions.text import parse_structured
 from ..session import checkpointed
 from . import chunking, pii, trends
-from .complete import MAX_TOKENS, Complete, complete
+from .call_log import CallLog, answered
+from .complete import MAX_TOKENS, Complete
 from .validate import DISCLAIMER, injection
 
 JUDGE = "struct<quality_score:double,uncertainty_explanation:string>"
@@ -29,10 +30,10 @@ def quality_score(faithfulness: Column, coverage: Column, clarity: Column) -> Co
     return 0.6 * faithfulness + 0.3 * coverage + 0.1 * clarity
 
 
-def judged(df: DataFrame, fn: Complete, source: str, prompt: str, analysis: str, **opts) -> DataFrame:
+def judged(df: DataFrame, fn: Complete, source: str, prompt: str, analysis: str, log: CallLog | None = None, **opts) -> DataFrame:
     """Adds score and why. A failed or unusable judge, or no analysis, gives a null score."""
     asked = df.withColumns({"system": P.system_message("judge"), "user": P.judge_message(F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(prompt), F.lit("")), F.coalesce(F.col(analysis), F.lit("")))})
-    some = complete(asked.where(F.col(analysis).isNotNull()), fn, out="_judge", **opts)
+    some = answered(asked.where(F.col(analysis).isNotNull()), fn, log, "_judge", **opts)
     rules = {"score_range": F.coalesce(~F.col("parsed.quality_score").between(0, 1), F.lit(True))}
     some = parse_structured(some.withColumn("_raw", F.col("_judge.content")), "_raw", JUDGE, rules)
     some = some.select(*df.columns, F.col("parsed.quality_score").alias("score"), F.coalesce("parsed.uncertainty_explanation", F.lit(NO_JUDGE)).alias("why"))
@@ -47,7 +48,7 @@ def record_blocks(records: DataFrame) -> DataFrame:
     return records.withColumn("block", P.record_envelope(F.col("content"), F.col("id"), meta))
 
 
-def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Complete, by: str = "corpus_id", retain: tuple[str, ...] = RETAIN, period: str | None = None) -> DataFrame:
+def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Complete, by: str = "corpus_id", retain: tuple[str, ...] = RETAIN, period: str | None = None, log: CallLog | None = None) -> DataFrame:
     """One row per request (by, prompt, language): analysis, quality_score, explanation, record_count, status, error_class, trends.
 
     One message holds all records of a corpus, so a corpus over the token limit is an error row, made from the
@@ -57,9 +58,9 @@ def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Comple
     clean, mapping = pii.pseudonymise_records(records, by)
     batch = P.records_envelope(record_blocks(clean), [by], "pos", "block", MAX_CHARS, "blocked")
     asked = requests.join(batch, by).withColumns({"system": P.system_message("analyze", F.col("language")), "user": P.analyze_message(F.col("prompt"), F.col("records"))})
-    got = checkpointed(complete(asked, fn, too_large="too_large", blocked="blocked"))
+    got = answered(asked, fn, log, too_large="too_large", blocked="blocked")
     got = got.withColumn("analysis", F.when(F.col("completion.status") == "ok", F.col("completion.content")))
-    scored = checkpointed(judged(got, judge, "records", "prompt", "analysis"))
+    scored = judged(got, judge, "records", "prompt", "analysis", log)
     back = pii.with_disclaimer(pii.restore(scored, mapping, by, "analysis", retain), "analysis")
     cells = trends.trends_as_struct(trends.coding_trends(records, by, period=period), trends.trend_periods(records, by, period))
     return back.join(cells, by, "left").select(
@@ -68,7 +69,7 @@ def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Comple
     )
 
 
-def map_chunks(members: DataFrame, records: DataFrame, requests: DataFrame, fn: Complete, by: str = "corpus_id", concurrency: int = 64) -> DataFrame:
+def map_chunks(members: DataFrame, records: DataFrame, requests: DataFrame, fn: Complete, by: str = "corpus_id", concurrency: int = 64, log: CallLog | None = None) -> DataFrame:
     """One row per chunk: by, chunk_id, n_records, source, partial (null if the call failed), completion.
 
     A chunk that is over the token limit, or holds a record that looks like an injection, is not sent.
@@ -76,7 +77,7 @@ def map_chunks(members: DataFrame, records: DataFrame, requests: DataFrame, fn:
     placed = record_blocks(records).join(members.select("id", "chunk_id", "rn"), "id")
     batch = P.records_envelope(placed, [by, "chunk_id"], "rn", "block", MAX_CHARS, "blocked").withColumnRenamed("records", "source")
     asked = batch.join(requests, by).withColumns({"system": P.system_message("map"), "user": P.analyze_message(F.col("prompt"), F.col("source"))})
-    got = complete(asked, fn, concurrency=concurrency, too_large="too_large", blocked="blocked")
+    got = answered(asked, fn, log, concurrency=concurrency, too_large="too_large", blocked="blocked")
     return got.withColumn("partial", F.when(F.col("completion.status") == "ok", F.col("completion.content"))).select(by, "chunk_id", "n_records", "source", "prompt", "language", "partial", "completion")
 
 
@@ -227,7 +228,7 @@ def pack_partials(df: DataFrame, by: str, size: str, order: str, room: Column |
     return entered.select(by, order, "_s", "_room", "_p", "_used", "_base", "_seen", "_n", "_last").mapInArrow(_numbered(to_arrow_schema(out)), out)
 
 
-def tree_reduce(partials: DataFrame, requests: DataFrame, fn: Complete, grids: DataFrame | None = None, by: str = "corpus_id", budget: int = MAX_TOKENS, cpt: int = CPT) -> DataFrame:
+def tree_reduce(partials: DataFrame, requests: DataFrame, fn: Complete, grids: DataFrame | None = None, by: str = "corpus_id", budget: int = MAX_TOKENS, cpt: int = CPT, log: CallLog | None = None) -> DataFrame:
     """(by, analysis, status, error_class, rounds): partials (by, ord, partial) joined into one answer for each corpus.
 
     In each round all corpora take part: one whose partials fit in a message (or that has one alone) is answered with its grid of
@@ -266,7 +267,7 @@ def tree_reduce(partials: DataFrame, requests: DataFrame, fn: Complete, grids: D
         lists = sums.join(texts, [by, "group"], "left")
         lists = lists.withColumns({"system": P.system_message("reduce", F.col("language")), "user": P.reduce_message(F.col("prompt"), F.coalesce("parts", F.array().cast("array<string>")), F.col("grid"))})
         lists = lists.select(by, "group", "last", "system", "user", "too_large", "blocked")
-        got = checkpointed(complete(lists, fn, max_tokens=budget, chars_per_token=cpt, too_large="too_large", blocked="blocked").select(by, "group", "last", "completion"))
+        got = answered(lists, fn, log, max_tokens=budget, chars_per_token=cpt, too_large="too_large", blocked="blocked").select(by, "group", "last", "completion")
         end = got.where("last").select(by, F.when(F.col("completion.status") == "ok", F.col("completion.content")).alias("analysis"), F.col("completion.status").alias("status"), F.col("completion.error_class").alias("error_class"), F.lit(rounds).alias("rounds"))
         done = end if done is None else done.unionByName(end)
         gone = got.where("not last and completion.status <> 'ok'").groupBy(by).agg(F.min_by(F.col("completion.error_class"), F.col("group")).alias("_e"))
@@ -291,12 +292,12 @@ def uncertainty_text(df: DataFrame) -> DataFrame:
     return df.withColumn("uncertainty", F.when(F.col("judged") == 0, F.format_string("No confidence: none of the %d chunk(s) could be judged.", "chunks")).otherwise(some))
 
 
-def judge_chunks(chunks: DataFrame, fn: Complete) -> DataFrame:
+def judge_chunks(chunks: DataFrame, fn: Complete, log: CallLog | None = None) -> DataFrame:
     """chunks (with source, prompt, partial) with the score of each partial against its own records."""
-    return judged(chunks, fn, "source", "prompt", "partial")
+    return judged(chunks, fn, "source", "prompt", "partial", log)
 
 
-def analyze_hierarchical(records: DataFrame, requests: DataFrame, labels: DataFrame, fn: Complete, judge: Complete, by: str = "corpus_id", target: int = chunking.TARGET_TOKENS, cap: int = chunking.CAP_TOKENS, budget: int = 100_000, period: str | None = None, retain: tuple[str, ...] = RETAIN) -> DataFrame:
+def analyze_hierarchical(records: DataFrame, requests: DataFrame, labels: DataFrame, fn: Complete, judge: Complete, by: str = "corpus_id", target: int = chunking.TARGET_TOKENS, cap: int = chunking.CAP_TOKENS, budget: int = 100_000, period: str | None = None, retain: tuple[str, ...] = RETAIN, log: CallLog | None = None) -> DataFrame:
     """One row per corpus: analysis, confidence, uncertainty, status and more. labels: (id, label) from clustering, -1 for noise.
 
     Redact, count trends, cut clusters into chunks, answer each chunk, join the answers, judge each answer against its chunk,
@@ -306,10 +307,10 @@ def analyze_hierarchical(records: DataFrame, requests: DataFrame, labels: DataFr
     clean = checkpointed(clean)
     members, _ = chunking.chunk_groups(clean.join(labels, "id").withColumn("n_chars", F.length("content").cast("bigint")), by, target=target, cap=cap)
     members = checkpointed(members)
-    chunks = checkpointed(map_chunks(members, clean, requests, fn, by))
+    chunks = map_chunks(members, clean, requests, fn, by, log=log)
     grids = trends.render_trends(trends.coding_trends(records, by, period=period), trends.trend_periods(records, by, period), by)
-    whole = tree_reduce(chunks.select(by, F.col("chunk_id").alias("ord"), "partial"), requests, fn, grids, by, budget)
-    scores = uncertainty_text(confidence(checkpointed(judge_chunks(chunks, judge)), [by]))
+    whole = tree_reduce(chunks.select(by, F.col("chunk_id").alias("ord"), "partial"), requests, fn, grids, by, budget, log=log)
+    scores = uncertainty_text(confidence(judge_chunks(chunks, judge, log), [by]))
     back = pii.restore(whole, mapping, by, "analysis", retain)
     out = back.join(scores, by, "left")
     return out.select(by, F.when(F.col("status") == "ok", F.concat(F.lit(DISCLAIMER), "analysis")).alias("analysis"), "status", "error_class", "rounds", "confidence", "uncertainty", "chunks", "judged")
@@ -318,27 +319,27 @@ def analyze_hierarchical(records: DataFrame, requests: DataFrame, labels: DataFr
 SUMMARY = "struct<title:string,summary:string,quality_score:double>"
 
 
-def _summaries(asked: DataFrame, fn: Complete, keep: list[str], **opts) -> DataFrame:
-    got = checkpointed(complete(asked, fn, **opts)).withColumn("_raw", F.col("completion.content"))
+def _summaries(asked: DataFrame, fn: Complete, keep: list[str], log: CallLog | None = None, **opts) -> DataFrame:
+    got = answered(asked, fn, log, **opts).withColumn("_raw", F.col("completion.content"))
     rules = {"score_range": F.coalesce(~F.col("parsed.quality_score").between(0, 1), F.lit(True)), "no_title": F.coalesce(F.col("parsed.title"), F.lit("")) == ""}
     got = parse_structured(got, "_raw", SUMMARY, rules)
     return got.select(*keep, "parsed.title", "parsed.summary", "parsed.quality_score", F.coalesce("completion.error_class", F.when(F.col("parsed_error").isNotNull(), "LLMResponseError")).alias("error_class"))
 
 
-def summarize(records: DataFrame, fn: Complete, language: Column | None = None) -> DataFrame:
+def summarize(records: DataFrame, fn: Complete, language: Column | None = None, log: CallLog | None = None) -> DataFrame:
     """One row per record: id, title, summary, quality_score, error_class. Empty records are not sent and get blanks with score 0; one that looks like an injection is an error row."""
     full = records.where(F.coalesce(F.length("content"), F.lit(0)) > 0)
     asked = full.withColumns({"system": P.system_message("summarize", language), "user": P.record_envelope(F.col("content"), F.col("id"))})
     blank = records.where(F.coalesce(F.length("content"), F.lit(0)) == 0).select("id", F.lit("").alias("title"), F.lit("").alias("summary"), F.lit(0.0).alias("quality_score"), F.lit(None).cast("string").alias("error_class"))
-    return _summaries(asked.select("id", "system", "user", injection(F.col("content")).isNotNull().alias("blocked")), fn, ["id"], blocked="blocked").unionByName(blank)
+    return _summaries(asked.select("id", "system", "user", injection(F.col("content")).isNotNull().alias("blocked")), fn, ["id"], log, blocked="blocked").unionByName(blank)
 
 
-def summarize_bulk(records: DataFrame, fn: Complete, by: str = "corpus_id", language: Column | None = None) -> DataFrame:
+def summarize_bulk(records: DataFrame, fn: Complete, by: str = "corpus_id", language: Column | None = None, log: CallLog | None = None) -> DataFrame:
     """One row per corpus: ids in input order, title, summary, quality_score, error_class."""
     batch = P.records_envelope(record_blocks(records), [by], "pos", "block", MAX_CHARS, "blocked")
     ids = records.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     asked = batch.withColumns({"system": P.system_message("aggregate", language), "user": F.col("records")})
-    return _summaries(asked.select(by, "system", "user", "too_large", "blocked"), fn, [by], too_large="too_large", blocked="blocked").join(ids, by)
+    return _summaries(asked.select(by, "system", "user", "too_large", "blocked"), fn, [by], log, too_large="too_large", blocked="blocked").join(ids, by)
 
 
 # The kinds of sensitive content.
@@ -355,13 +356,13 @@ SENSITIVITY_TYPES = (
 )
 
 
-def detect_sensitive(records: DataFrame, fn: Complete) -> DataFrame:
+def detect_sensitive(records: DataFrame, fn: Complete, log: CallLog | None = None) -> DataFrame:
     """One row per record: id, is_sensitive, sensitivity_types (known ones, each once), explanation, error_class."""
     from .validate import NO_SENSITIVE_CONTENT
 
     full = F.coalesce(F.length("content"), F.lit(0)) > 0
     asked = records.where(full).select("id", P.system_message("sensitivity").alias("system"), P.record_envelope(F.col("content")).alias("user"), injection(F.col("content")).isNotNull().alias("blocked"))
-    got = checkpointed(complete(asked, fn, blocked="blocked")).withColumn("_raw", F.col("completion.content"))
+    got = answered(asked, fn, log, blocked="blocked").withColumn("_raw", F.col("completion.content"))
     known = F.array(*[F.lit(t) for t in SENSITIVITY_TYPES])
     rules = {"unknown_type": F.size(F.array_except(F.coalesce("parsed.sensitivity_types", F.array().cast("array<string>")), known)) > 0}
     got = parse_structured(got, "_raw", "struct<sensitivity_types:array<string>,explanation:string>", rules)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..functions.text import parse_score, parse_selected
 from ..session import checkpointed, settled
-from .complete import INJECTION, Complete, complete
+from .call_log import CallLog, answered
+from .complete import INJECTION, Complete
 from .validate import injection
 
 
@@ -92,7 +93,7 @@ def path_columns(df: DataFrame, path: str = "path", names: str = "names", scores
     return df.withColumns({f"code_{k + 1}_{c}": F.get(src, F.lit(k)) for k in range(3) for c, src in (("id", path), ("name", names), ("confidence", scores))})
 
 
-def assign_codes(records: DataFrame, nodes: DataFrame, pick: Complete, judge: Complete, max_codes: int = 10, threshold: float | None = None, id_col: str = "id") -> DataFrame:
+def assign_codes(records: DataFrame, nodes: DataFrame, pick: Complete, judge: Complete, max_codes: int = 10, threshold: float | None = None, id_col: str = "id", log: CallLog | None = None) -> DataFrame:
     """Rows (id, rank, code columns of three levels, confidence, explanation, error_class) of each record.
 
     For each level of the framework: all records at all open nodes are asked to choose among its children, each choice is
@@ -110,13 +111,13 @@ def assign_codes(records: DataFrame, nodes: DataFrame, pick: Complete, judge: Co
     while True:
         asked = front.join(options, "at").join(text, id_col)
         asked = asked.withColumns({"system": P.system_message("pick"), "user": P.pick_message(F.col("content"), F.col("names"), F.transform("options", lambda o: o["name"]))})
-        got = checkpointed(complete(asked.drop("content"), pick, blocked="blocked").select(id_col, *state, "options", "completion"))
+        got = answered(asked.drop("content", "at"), pick, log, blocked="blocked").select(id_col, *state, "options", "completion")
         bad = got.where("completion.status <> 'ok'").select(id_col, error)
         chosen = F.transform(parse_selected(F.col("completion.content"), F.size("options")), lambda i: F.struct(i.alias("i"), F.get("options", i).alias("o")))
         got = got.where("completion.status = 'ok'").select(id_col, *state, F.explode(chosen).alias("c"))
         got = got.select(id_col, F.concat("path", F.array("c.o.node_id")).alias("path"), F.concat("names", F.array("c.o.name")).alias("names"), "scores", "whys", F.concat("seq", F.array("c.i")).alias("seq"))
         asked = got.join(text.select(id_col, "content"), id_col).withColumns({"system": P.system_message("code_judge"), "user": P.code_judge_message(F.col("content"), F.col("names"))})
-        scored = checkpointed(complete(asked.drop("content"), judge).select(id_col, *state, "completion", parse_score(F.col("completion.content")).alias("s")))
+        scored = answered(asked.drop("content"), judge, log).select(id_col, *state, "completion", parse_score(F.col("completion.content")).alias("s"))
         bad = bad.unionByName(scored.where("s.score is null").select(id_col, F.coalesce(error, F.lit(INJECTION)).alias("error_class")))
         failed = bad if failed is None else failed.unionByName(bad)
         good = scored.where("s.score is not null" if threshold is None else F.col("s.score") >= threshold)

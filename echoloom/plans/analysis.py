@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_score
 from ..operators import analyze as A
 from ..operators import coding as G
+from ..operators.call_log import CallLog
 from ..operators.complete import complete, stub_complete
 from ..functions import prompts as P
 from ..operators.complete import KEYWORDS
 from ..operators.validate import DISCLAIMER
+from ..session import scratch_path
+from ..sources.records import read_calls
 from ..views import view, with_views
 from . import pii, screening, trends
 
@@ -71,6 +74,15 @@ def g11_bulk_summaries(spark, d):
     return A.summarize_bulk(_records(spark, d), stub_complete("summary")).select("corpus_id", "title", "summary", "quality_score", F.size("ids").cast("bigint").alias("n_ids"))
 
 
+def h14_analysis_log(spark, d):
+    """The log that summaries and screens of all records leave, one call in ten failing."""
+    r, path = _records(spark, d), scratch_path(spark, "log")
+    who = r.select("id", F.concat(F.lit("tenant_"), (F.col("pos") % 7).cast("string")).alias("tenant_id"), F.concat(F.lit("call-"), "corpus_id").alias("call_id"))
+    A.summarize(r, stub_complete("summary", 0.1), log=CallLog(path, "summarize", who, "id"))
+    A.detect_sensitive(r, stub_complete("sensitive", 0.1), log=CallLog(path, "detect_sensitive", who.where("tenant_id <> 'tenant_3'"), "id"))
+    return read_calls(spark, path).select("tenant_id", "operation", "call_id", "model", "input_tokens", "output_tokens", "cost_usd", "status", "error_class")
+
+
 def g12_quality_score(spark, d):
     e = F.col("event_id")
     return view(spark, d, "events").select("event_id", F.round(A.quality_score(e % 11 / 10, e % 7 / 10, e % 3 / 10), 6).alias("score"))
@@ -169,6 +181,15 @@ _G13 = f"""WITH b AS (SELECT id, content, {screening._PLAIN} AS v FROM records),
   t AS (SELECT *, CASE WHEN NOT filled THEN '' WHEN NOT large THEN concat_ws(',', {_KINDS}) END AS types FROM l)
   SELECT id, types <> '' AS is_sensitive, types, CASE WHEN filled AND large THEN 'DocumentsTooLargeError' END AS error_class FROM t"""
 
+_CALLED = lambda operation, system, answer, frm: f"""SELECT id, pos, '{operation}' AS operation, {_UNIT("u")} AS x, ({len(P.SYSTEM[system])} + length(u)) // 4 AS sent, length({answer}) // 4 AS got FROM {frm} WHERE NOT {_LONG(_n(P.SYSTEM[system]), "u")}"""
+_ROUNDED = f"""'{{"title": "Title abcd", "summary": "Summary abcdefabcdef", "quality_score": ' || CAST(round({_UNIT("u")}, 2) AS VARCHAR) || '}}'"""
+_LOG = f"""WITH b AS (SELECT id, pos, {_OWN_BLOCK} || '  </feedback_record>' AS u FROM records WHERE content <> ''), v AS (SELECT id, pos, {screening._PLAIN} AS v FROM records WHERE content <> ''),
+  k AS (SELECT id, pos, v[:-2] AS u, lower(v) AS l FROM v), t AS (SELECT id, pos, u, list_filter([{_KINDS}], lambda x: x IS NOT NULL) AS t FROM k),
+  c AS ({_CALLED("summarize", "summarize", _ROUNDED, "b")} UNION ALL {_CALLED("detect_sensitive", "sensitivity", """'{"sensitivity_types": [' || array_to_string(list_transform(t, lambda x: '"' || x || '"'), ', ') || '], "explanation": "' || array_to_string(t, ', ') || '"}'""", "t")})
+  SELECT CASE WHEN known THEN 'tenant_' || c.pos % 7 END AS tenant_id, operation, CASE WHEN known THEN 'call-' || corpus_id END AS call_id, CASE WHEN x < 0.1 THEN '' ELSE 'stub' END AS model, CASE WHEN x < 0.1 THEN 0 ELSE sent END AS input_tokens, CASE WHEN x < 0.1 THEN 0 ELSE got END AS output_tokens,
+    CAST(0 AS DECIMAL(12,6)) AS cost_usd, CASE WHEN x < 0.1 THEN 'error' ELSE 'ok' END AS status, CASE WHEN x < 0.05 THEN 'LLMContentPolicyError' WHEN x < 0.1 THEN 'LLMBadRequestError' END AS error_class
+  FROM (SELECT *, operation = 'summarize' OR pos % 7 <> 3 AS known FROM c) c JOIN records r ON r.id = c.id"""
+
 
 def _tree_sql(budget: int, rounds: int) -> str:
     """tree_reduce round by round, as far as the given tables need."""
@@ -215,12 +236,13 @@ def _codes_sql(levels: int, max_codes: int, threshold: float) -> str:
 _EV = "CAST(round(((event_id * {k}) % 101) / 100, 2) AS DOUBLE)"
 _S = [_EV.format(k=k) for k in (3, 4, 5)]
 _P = f"p AS (SELECT event_id, user_id, event_type, [{', '.join(_S)}] AS s FROM events)"
-QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "gk" and k[1].isdigit() and callable(f)}
+QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "ghk" and k[1].isdigit() and callable(f)}
 SQL = {
     "k1_completions": with_views("""WITH r AS (SELECT id, CASE WHEN pos % 9 = 0 THEN 'AnalysisError' WHEN (length(content) + 5) // 4 > 2000 THEN 'DocumentsTooLargeError' END AS e, 'analysis ' || substr(md5(content), 1, 12) AS c FROM records)
       SELECT id, CASE WHEN e IS NULL THEN c END AS content, CASE WHEN e IS NULL THEN 'ok' ELSE 'error' END AS status, e AS error_class, CASE WHEN e IS NULL THEN CAST(length(c) // 4 AS BIGINT) ELSE 0 END AS output_tokens FROM r""", "records"),
     "g1_single_pass": with_views(_G1, "records"),
     "g4_tree": with_views(_tree_sql(20_000, 4), "records"),
+    "h14_analysis_log": with_views(_LOG, "records"),
     "g10_summaries": with_views(_G10, "records"),
     "g11_bulk_summaries": with_views(_G11, "records"),
     "g13_sensitive": with_views(_G13, "records"),
