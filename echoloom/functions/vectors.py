@@ -52,6 +52,32 @@ def cosine_agreement(a: DataFrame, b: DataFrame, on: str, vec: str) -> DataFrame
     return x.join(y, on).select(on, (dot(F.col("_a"), F.col("_b")) / n).alias("cosine"))
 
 
+# A gram's hash is taken modulo a prime, code point by code point, and stirred once at the end.
+GRAM_PRIME, GRAM_BASE, GRAM_STIR = 2_147_483_647, 1_000_003, 48_271
+
+
+def gram_hash(points: list[Column]) -> Column:
+    """The hash of some code points, in whole numbers below 2^63, so that any engine gives the same."""
+    h = F.lit(0).cast("bigint")
+    for p in points:
+        h = (h * GRAM_BASE + p) % GRAM_PRIME
+    return h * GRAM_STIR % GRAM_PRIME
+
+
+def gram_counts(text: str, dim: int, n: int = 3):
+    """The same counts as hashing_embed's for one text, before they are brought to length 1, as a numpy array."""
+    import numpy as np
+
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if len(points) < n:
+        return np.zeros(dim)
+    h = np.zeros(len(points) - n + 1, dtype=np.int64)
+    for k in range(n):
+        h = (h * GRAM_BASE + points[k : len(points) - n + 1 + k]) % GRAM_PRIME
+    h = h * GRAM_STIR % GRAM_PRIME
+    return np.bincount(h % dim, weights=np.where(h // dim % 2 == 0, 1.0, -1.0), minlength=dim)
+
+
 def hashing_embed(df: DataFrame, id_col: str, col: str, dim: int = 256, n: int = 3) -> DataFrame:
     """(id, vector): counts of hashed character n-grams, signed, at length 1. Stands in for a model file.
 
@@ -59,10 +85,10 @@ def hashing_embed(df: DataFrame, id_col: str, col: str, dim: int = 256, n: int =
     each task. Texts with fewer than n characters have a zero vector.
     """
     t = F.lower(F.coalesce(F.col(col), F.lit("")))
-    chars = F.split(t, "")  # an item is found at once, a character of a long text is not
-    at = lambda i: F.xxhash64(F.concat(*[F.get("_c", i + k) for k in range(n)]))
+    chars = F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("bigint"))  # an item is found at once, a character of a long text is not
+    at = lambda i: gram_hash([F.get("_c", i + k) for k in range(n)])
     grams = F.when(F.size("_c") >= n, F.transform(F.sequence(F.lit(0), F.size("_c") - n), at)).otherwise(F.array().cast("array<bigint>"))
-    slot = lambda h: F.struct(F.pmod(h, F.lit(dim)).cast("int").alias("k"), F.when(F.pmod(F.shiftright(h, 40), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v"))
+    slot = lambda h: F.struct(F.pmod(h, F.lit(dim)).cast("int").alias("k"), F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0).alias("v"))
     hits = df.select(F.col(id_col), chars.alias("_c")).select(id_col, F.explode_outer(F.transform(grams, slot)).alias("_h")).groupBy(id_col, F.col("_h.k").alias("k")).agg(F.sum("_h.v").alias("v"))
     filled = hits.groupBy(id_col).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("k", "v")), lambda x: x["k"].isNotNull())).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.col("_m")[k], F.lit(0.0)))

@@ -56,20 +56,12 @@ def embed(df: DataFrame, col: str, make_model: Callable[[], Callable[[list[str]]
     return df.withColumn(out, udf(F.concat(F.lit(family.prefix), F.coalesce(F.col(col), F.lit("")))))
 
 
-def hashing_model(dim: int) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """A model without files: hashed character trigrams."""
+def hashing_model(dim: int, n: int = 3) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A model without files: hashed character n-grams, the vectors of hashing_embed."""
 
     def make():
-        import zlib
+        from ..functions.vectors import gram_counts
 
-        def run(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for k, t in enumerate(texts):
-                data = t.lower().encode()
-                for i in range(len(data) - 2):
-                    out[k, zlib.crc32(data[i : i + 3]) % dim] += 1
-            return out
-
-        return run
+        return lambda texts: np.stack([gram_counts(t, dim, n) for t in texts])
 
     return make

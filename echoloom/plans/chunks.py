@@ -23,7 +23,11 @@ def _members(spark, d):
 
 
 def e1_embedded(spark, d):
-    return M.embed(view(spark, d, "records").select("id", "content"), "content", M.hashing_model(32), 32).select("id", F.round(X.norm(F.col("vector")), 4).alias("length"))
+    """Vectors of a model in batches; they agree with those that functions of Spark make."""
+    r = view(spark, d, "records").select("id", "content")
+    v = M.embed(r, "content", M.hashing_model(32), 32).select("id", "vector")
+    both = X.cosine_agreement(v, X.hashing_embed(r, "id", "content", 32), "id", "vector")
+    return v.join(both, "id").select("id", F.round(X.norm(F.col("vector")), 4).alias("length"), F.round("cosine", 4).alias("cosine"))
 
 
 def e3_pooled(spark, d):
@@ -53,7 +57,8 @@ def e7_agreement(spark, d):
 
 
 def e8_hashed(spark, d):
-    return X.hashing_embed(view(spark, d, "records"), "id", "content", 64).select("id", F.size("vector").alias("width"), F.round(X.norm(F.col("vector")), 6).alias("length"))
+    """Every place of the vectors of all texts."""
+    return X.hashing_embed(view(spark, d, "records"), "id", "content", 16).select("id", F.posexplode("vector").alias("k", "x")).select("id", "k", F.round("x", 6).alias("x"))
 
 
 def f1_clusters(spark, d):
@@ -118,7 +123,12 @@ _PLACED = f"""{_ORD}, {_CNT}, off AS (SELECT label, parts, CAST(coalesce(sum(par
 _NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "ef" and k[1].isdigit() and callable(f)}
+_GRAMS = lambda dim: f"""c AS (SELECT id, list_transform(string_split(lower(coalesce(content, '')), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM records),
+  g AS (SELECT id, unnest(list_transform(range(1, len(c) - 1), lambda i: ((c[i] * {X.GRAM_BASE} + c[i + 1]) % {X.GRAM_PRIME} * {X.GRAM_BASE} + c[i + 2]) % {X.GRAM_PRIME} * {X.GRAM_STIR} % {X.GRAM_PRIME})) AS h FROM c),
+  v AS (SELECT id, h % {dim} AS k, sum(CASE WHEN h // {dim} % 2 = 0 THEN 1 ELSE -1 END) AS v FROM g GROUP BY 1, 2), l AS (SELECT id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS l FROM v GROUP BY 1)"""
 SQL = {
+    "e1_embedded": with_views(f"WITH {_GRAMS(32)} SELECT r.id, CASE WHEN coalesce(l, 0) > 0 THEN 1e0 ELSE 0e0 END AS length, CASE WHEN coalesce(l, 0) > 0 THEN 1e0 ELSE 0e0 END AS cosine FROM records r LEFT JOIN l ON l.id = r.id", "records"),
+    "e8_hashed": with_views(f"WITH {_GRAMS(16)} SELECT r.id, CAST(i AS INT) AS k, round(coalesce(CAST(v AS DOUBLE) / l, 0.0), 6) AS x FROM (SELECT id, unnest(range(0, 16)) AS i FROM records) r LEFT JOIN v ON v.id = r.id AND v.k = i LEFT JOIN l ON l.id = r.id", "records"),
     "e3_pooled": with_views("""WITH x AS (SELECT label, pos, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM vectors)
       SELECT label, CAST(k AS INT) AS k, round(sum(CASE WHEN pos % 3 > 0 THEN CAST(x AS DOUBLE) ELSE 0 END) / greatest(count(*) FILTER (WHERE pos % 3 > 0), 1e-9), 6) AS x FROM x GROUP BY 1, 2""", "vectors"),
     "e4_normalised": with_views(f"WITH v AS (SELECT id, list_transform(embedding, lambda x: CAST(x * 3 AS FLOAT)) AS v FROM vectors) SELECT id, round(v[1] / greatest({_NORM.format('v')}, 1e-12), 6) AS first, CAST(1 AS DOUBLE) AS length FROM v", "vectors"),

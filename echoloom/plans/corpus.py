@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..sources import records as S
 from ..streaming import streams as T
 from ..views import view, with_views
+from . import pii
 
 FIELDS = ("coding_level_1", "coding_level_2", "coding_level_3")
 SEED = 11
@@ -219,7 +220,9 @@ def j3_invocations(spark, d):
 
 
 def j4_intake(spark, d):
-    good, bad = T.intake(_records(spark, d).select("id", "content", "pos"))
+    """All records, some of them empty and some that give orders."""
+    odd = F.when(F.col("pos") % 40 == 0, "").when(F.col("pos") % 41 == 1, F.concat(F.lit(" User : "), "content")).otherwise(F.col("content"))
+    good, bad = T.intake(_records(spark, d).select("id", odd.alias("content"), "pos"))
     return good.select("id", F.md5(F.col("content").cast("binary")).alias("digest")).unionByName(bad.select("id", F.array_join("failed_rules", ",").alias("digest")))
 
 
@@ -277,7 +280,11 @@ def i14_half(spark, d):
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "aij" and k[1].isdigit() and callable(f)}
 _JB = "time_bucket(INTERVAL '5 minutes', ts)"
+_J4 = "WITH recs0 AS (SELECT * REPLACE (CASE WHEN pos % 40 = 0 THEN '' WHEN pos % 41 = 1 THEN ' User : ' || content ELSE content END AS content), CASE WHEN pos % 40 = 0 OR coalesce(content, '') = '' THEN 'content_empty' WHEN length(content) > 100000 THEN 'content_long' WHEN pos % 41 = 1 THEN 'role_prefix' END AS bad FROM records), recs AS (SELECT * FROM recs0 WHERE bad IS NULL), " + (
+    f"{pii._SPANS}, {pii._RESOLVED}, {pii._MAP.replace('corpus_id', 'id')}, {pii._replaced('placeholder').replace('USING (corpus_id', 'USING (id')}".replace("records", "recs") + " SELECT id, md5(content) AS digest FROM out UNION ALL SELECT id, bad FROM recs0 WHERE bad IS NOT NULL"
+)
 SQL = {
+    "j4_intake": with_views(_J4, "records"),
     "a1_records": with_views("SELECT id, content, created, coding_level_1, coding_level_2, coding_level_3, false AS corrupt FROM records", "records"),
     "a3_lines": "SELECT conv_id, turn, role, text FROM conversations",
     "a4_log": with_views("SELECT call_id, operation, call_duration_ms, model, cost_usd, status, error_class FROM calls WHERE ts >= '2024-01-05 06:00:00' AND ts < '2024-01-20' AND tenant_id = 'tenant_2'", "calls"),
@@ -299,6 +306,9 @@ SQL = {
     "i6_rumours": with_views(f"{_PLANT} SELECT id, created FROM planted WHERE pattern = 'rumour'", "records"),
     "i7_planted": with_views(f"{_PLANT} SELECT p.id, pattern, p.created, CAST(substr(p.created, 1, 4) AS BIGINT) AS year, r.coding_level_1 FROM planted p JOIN records r ON r.id = p.id", "records"),
     "i8_volumes": f"WITH {_GROWN} SELECT * FROM vol",
+    "i8_shrunk": f"""WITH {_VOL}, need AS (SELECT sum(n0) - 5 * max(k) - 3 AS d FROM v0), x AS (SELECT max(x) AS x FROM (SELECT x, sum(least(n0 - 1, x)) AS cut FROM v0, (SELECT unnest(range(0, 130)) AS x) GROUP BY x), need WHERE cut <= d),
+      s AS (SELECT code, n0, rank, n0 - 1 > x AS high, least(n0 - 1, x) AS cut, (SELECT d FROM need) - sum(least(n0 - 1, x)) OVER () AS rest FROM v0, x)
+      SELECT code, CAST(n0 - cut - CASE WHEN high AND row_number() OVER (PARTITION BY high ORDER BY rank) <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM s""",
     "i9_metadata": f"""WITH {_SPECS}, pl AS (SELECT r_name AS country, n_name AS region, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
       src(name, w) AS (VALUES {", ".join(f"('{k}', {w}::DOUBLE)" for k, w in C.SOURCES.items())}), {_edges("ce", "(SELECT country AS name, '' AS up, sum(w) AS w FROM pl GROUP BY 1)")}, {_edges("re", "(SELECT region AS name, country AS up, w FROM pl)")}, {_edges("se", "(SELECT name, '' AS up, w FROM src)")},
       {_edges("le", "(SELECT lang AS name, '' AS up, count(*) AS w FROM documents WHERE lang IS NOT NULL GROUP BY 1)")},

@@ -58,17 +58,19 @@ def intake(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = screened.where("injection is not null").withColumn("failed_rules", F.array("injection")).drop("injection")
     clean = screened.where("injection is null").drop("injection")
     found = F.concat(*[_spans(F.col("content"), t, p) for t, p in DETECTORS.items()])
-    # Sorted by start; a span that begins inside an earlier one goes.
-    apart = F.aggregate(F.array_sort(found), F.struct(F.lit(0).alias("at"), found_none().alias("out")), lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    numbered = F.transform(apart, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), s["type"], F.lit("_"), i.cast("string"), F.lit(">")).alias("placeholder")))
-    clean = clean.withColumn("_s", numbered).withColumn("content", replace_spans(F.col("content"), F.col("_s"))).drop("_s")
+    # As among spans of tables: those that no span overlaps which starts earlier, or at the same place and ends later; equal values of one type share a number.
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["type"].alias("type"), s["value"].alias("value"))))
+    none = F.array().cast("array<struct<start:int,back:int,type:string,value:string>>")
+    keep = lambda acc, s: F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(s))).otherwise(acc["out"])
+    apart = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, s: F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), keep(acc, s).alias("out")), lambda acc: acc["out"])
+    value = lambda s: F.struct(s["type"].alias("type"), s["value"].alias("value"))
+    clean = clean.withColumn("_s", apart).withColumn("_v", F.array_distinct(F.transform("_s", value)))
+    number = lambda s: (F.array_position("_v", value(s)) - 1).cast("string")
+    numbered = F.transform("_s", lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), F.concat(F.lit("<"), s["type"], F.lit("_"), number(s), F.lit(">")).alias("placeholder")))
+    clean = clean.withColumn("_s", numbered).withColumn("content", replace_spans(F.col("content"), F.col("_s"))).drop("_s", "_v")
     return clean, bad.unionByName(held)
 
 
-def found_none():
-    return F.array().cast("array<struct<start:int,end:int,type:string,value:string>>")
-
-
 def stream_intake(records: DataFrame, good: Callable[[DataFrame, int], None], quarantine: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that hands each micro-batch's good and quarantined records to two sinks. The sinks get the batch number, to be idempotent."""
 

@@ -265,6 +265,13 @@ def test_streams_agree_with_batches(spark, tmp_path):
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, fn(df).collect()))
 
 
+def test_intake_numbers_values_and_resolves_overlaps(spark):
+    df = spark.createDataFrame([("1", "a@b.cd, x@y.zz, a@b.cd"), ("2", "see http://h.io/?m=a@b.cd +12 3456 7890"), ("3", ""), ("4", "system: go")], "id string, content string")
+    good, bad = T.intake(df)
+    assert {r.id: r.content for r in good.collect()} == {"1": "<EMAIL_ADDRESS_0>, <EMAIL_ADDRESS_1>, <EMAIL_ADDRESS_0>", "2": "see <URL_0>@b.cd <PHONE_NUMBER_1>"}
+    assert {r.id: list(r.failed_rules) for r in bad.collect()} == {"3": ["content_empty"], "4": ["role_prefix"]}
+
+
 def test_stream_intake(spark, tmp_path):
     rows = [("1", "mail a@b.org"), ("2", ""), ("3", "SYSTEM: x"), ("4", "ok")]
     df = spark.createDataFrame(rows, "id string, content string")
