@@ -14,7 +14,7 @@ from ..functions.text import parse_structured
 from ..session import checkpointed
 from . import chunking, pii, trends
 from .call_log import CallLog, answered
-from .complete import MAX_TOKENS, Complete
+from .complete import MAX_TOKENS, TOO_LARGE, Complete
 from .validate import DISCLAIMER, injection
 
 JUDGE = "struct<quality_score:double,uncertainty_explanation:string>"
@@ -319,7 +319,7 @@ def analyze_hierarchical(records: DataFrame, requests: DataFrame, labels: DataFr
 SUMMARY = "struct<title:string,summary:string,quality_score:double>"
 
 
-def _summaries(asked: DataFrame, fn: Complete, keep: list[str], log: CallLog | None = None, **opts) -> DataFrame:
+def _summaries(asked: DataFrame, fn: Complete, keep: list[str | Column], log: CallLog | None = None, **opts) -> DataFrame:
     got = answered(asked, fn, log, **opts).withColumn("_raw", F.col("completion.content"))
     rules = {"score_range": F.coalesce(~F.col("parsed.quality_score").between(0, 1), F.lit(True)), "no_title": F.coalesce(F.col("parsed.title"), F.lit("")) == ""}
     got = parse_structured(got, "_raw", SUMMARY, rules)
@@ -335,11 +335,17 @@ def summarize(records: DataFrame, fn: Complete, language: Column | None = None,
 
 
 def summarize_bulk(records: DataFrame, fn: Complete, by: str = "corpus_id", language: Column | None = None, log: CallLog | None = None) -> DataFrame:
-    """One row per corpus: ids in input order, title, summary, quality_score, error_class."""
+    """One row per corpus: title, summary, quality_score, error_class, ids in input order, record_count.
+
+    ids are gathered only where the corpus was not too large to be sent: such a corpus has a few thousand records at most. An error row of a larger one has none.
+    """
     batch = P.records_envelope(record_blocks(records), [by], "pos", "block", MAX_CHARS, "blocked")
-    ids = records.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     asked = batch.withColumns({"system": P.system_message("aggregate", language), "user": F.col("records")})
-    return _summaries(asked.select(by, "system", "user", "too_large", "blocked"), fn, [by], log, too_large="too_large", blocked="blocked").join(ids, by)
+    out = _summaries(asked.select(by, "n_records", "system", "user", "too_large", "blocked"), fn, [by, F.col("n_records").alias("record_count")], log, too_large="too_large", blocked="blocked")
+    sent = out.where(F.coalesce(F.col("error_class") != TOO_LARGE, F.lit(True))).select(F.col(by).alias("_sent"))
+    ids = records.join(sent, F.col(by).eqNullSafe(F.col("_sent")), "left_semi").groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    ids = ids.withColumnRenamed(by, "_of")
+    return out.join(ids, out[by].eqNullSafe(ids["_of"]), "left").drop("_of")
 
 
 # The kinds of sensitive content.

@@ -164,6 +164,13 @@ def stub_complete(kind: str, fail_below: float = 0.0) -> Complete:
     return lambda messages: [one(s, u) for s, u in messages]
 
 
+def stub_failures() -> Complete:
+    """A completion function that fails in every way that has a class, and answers in every way that is none, by the tenth that a message's digest falls in; one tenth is right."""
+    usage = {"model": "stub", "input_tokens": 3, "output_tokens": 2}
+    outcomes = (TimeoutError(), RateLimitError(), ContentPolicyError(), ValueError(), RuntimeError(), None, usage | {"content": None}, {"content": "no usage"}, usage | {"content": 5}, usage | {"content": "right", "cost": None})
+    return lambda messages: [outcomes[int(_unit(user) * 10)] for _, user in messages]
+
+
 # Words that stand for kinds of sensitive content in the offline screen.
 KEYWORDS = {
     "CORRUPTION": ("bribe", "corrupt"),

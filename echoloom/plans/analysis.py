@@ -8,7 +8,7 @@ from ..functions.text import parse_score
 from ..operators import analyze as A
 from ..operators import coding as G
 from ..operators.call_log import CallLog
-from ..operators.complete import complete, stub_complete
+from ..operators.complete import complete, stub_complete, stub_failures
 from ..functions import prompts as P
 from ..operators.complete import KEYWORDS
 from ..operators.validate import DISCLAIMER
@@ -37,6 +37,29 @@ def k1_completions(spark, d):
     return out.select("id", "completion.content", "completion.status", "completion.error_class", "completion.output_tokens")
 
 
+def k4_error_classes(spark, d):
+    """Every way to fail and every unusable answer, over all records."""
+    r = _records(spark, d).select("id", F.lit("Read.").alias("system"), F.col("content").alias("user"))
+    out = complete(r, stub_failures(), timeout=0.1)
+    return out.select("id", "completion.content", "completion.status", "completion.error_class", "completion.model", "completion.input_tokens", "completion.output_tokens", "completion.cost")
+
+
+def g2_partials(spark, d):
+    """A partial for each chunk of records, one call in ten failing, and the chunks that are too long."""
+    r = _records(spark, d)
+    members = r.select("id", F.concat("language", F.lit("-"), (F.col("pos") % 3).cast("string")).alias("chunk_id"), F.col("pos").alias("rn"))
+    out = A.map_chunks(members, r, _requests(spark, d), stub_complete("text", 0.1))
+    return out.select("corpus_id", "chunk_id", "n_records", "partial", "completion.status", "completion.error_class")
+
+
+def g5_judged_chunks(spark, d):
+    """The score of each partial against its own records; a failed call or judge has none."""
+    r = _records(spark, d)
+    members = r.select("id", F.concat("language", F.lit("-"), (F.col("pos") % 3).cast("string")).alias("chunk_id"), F.col("pos").alias("rn"))
+    chunks = A.map_chunks(members, r, _requests(spark, d), stub_complete("text", 0.1))
+    return A.judge_chunks(chunks, stub_complete("judge", 0.2)).select("corpus_id", "chunk_id", "score", (F.col("why") == A.NO_JUDGE).alias("unjudged"))
+
+
 def g1_single_pass(spark, d):
     out = A.analyze(_records(spark, d), _requests(spark, d), stub_complete("text"), stub_complete("judge"))
     return out.select("corpus_id", "analysis", "quality_score", "record_count", "status", "error_class", F.size("periods").cast("bigint").alias("n_periods"))
@@ -71,7 +94,7 @@ def g10_summaries(spark, d):
 
 
 def g11_bulk_summaries(spark, d):
-    return A.summarize_bulk(_records(spark, d), stub_complete("summary")).select("corpus_id", "title", "summary", "quality_score", F.size("ids").cast("bigint").alias("n_ids"))
+    return A.summarize_bulk(_records(spark, d), stub_complete("summary")).select("corpus_id", "title", "summary", "quality_score", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join("ids", ",").cast("binary")).alias("ids"), "record_count", "error_class")
 
 
 def h14_analysis_log(spark, d):
@@ -175,7 +198,18 @@ _SUMMARY = lambda keep, frm, system: f"""SELECT {keep}, CASE WHEN NOT large THEN
     CASE WHEN NOT large THEN round({_UNIT("u")}, 2) END AS quality_score FROM (SELECT *, {_LONG(_n(P.SYSTEM[system]), "u")} AS large FROM {frm})"""
 _G10 = f"""WITH b AS (SELECT id, {_OWN_BLOCK} || '  </feedback_record>' AS u FROM records WHERE content <> ''), g AS ({_SUMMARY("id, CASE WHEN large THEN 'DocumentsTooLargeError' END AS error_class", "b", "summarize")})
   SELECT * FROM g UNION ALL BY NAME SELECT id, '' AS title, '' AS summary, 0.0 AS quality_score, NULL AS error_class FROM records WHERE coalesce(content, '') = ''"""
-_G11 = f"WITH {_batches('records')}, b AS (SELECT corpus_id, n_records AS n_ids, records AS u FROM batch) {_SUMMARY('corpus_id, n_ids', 'b', 'aggregate')}"
+_G11_KEEP = "corpus_id, record_count, CASE WHEN NOT large THEN record_count END AS n_ids, CASE WHEN NOT large THEN ids END AS ids, CASE WHEN large THEN 'DocumentsTooLargeError' END AS error_class"
+_G11 = f"WITH {_batches('records')}, b AS (SELECT corpus_id, n_records AS record_count, records AS u, (SELECT md5(string_agg(id, ',' ORDER BY pos)) FROM records r WHERE r.corpus_id = batch.corpus_id) AS ids FROM batch) {_SUMMARY(_G11_KEEP, 'b', 'aggregate')}"
+_CHUNKED = f"""{_batches("(SELECT * REPLACE (corpus_id || '|' || language || '-' || pos % 3 AS corpus_id) FROM records)")}, u AS (SELECT split_part(corpus_id, '|', 1) AS corpus_id, split_part(corpus_id, '|', 2) AS chunk_id, n_records, records, {_n(_HEAD)} || records AS u FROM batch),
+  a AS (SELECT *, {_LONG(_n(P.SYSTEM["map"]), "u")} AS large, {_UNIT("u")} AS x FROM u),
+  m AS (SELECT corpus_id, chunk_id, n_records, records, CASE WHEN NOT large AND x >= 0.1 THEN 'analysis ' || {_TAG("u")} END AS partial, CASE WHEN large THEN 'DocumentsTooLargeError' WHEN x < 0.05 THEN 'LLMContentPolicyError' WHEN x < 0.1 THEN 'LLMBadRequestError' END AS error_class FROM a)"""
+_G2 = f"WITH {_CHUNKED} SELECT corpus_id, chunk_id, n_records, partial, CASE WHEN error_class IS NULL THEN 'ok' ELSE 'error' END AS status, error_class FROM m"
+_G5 = f"""WITH {_CHUNKED}, j AS (SELECT *, '<source_text>' || chr(10) || records || {_n(chr(10) + "</source_text>" + chr(10) * 2 + "<analyst_prompt>" + chr(10) + _ASK + chr(10) + "</analyst_prompt>" + chr(10) * 2 + "<analysis_to_score>" + chr(10))} || partial || {_n(chr(10) + "</analysis_to_score>")} AS ju FROM m),
+  k AS (SELECT *, partial IS NOT NULL AND {_UNIT("ju")} >= 0.2 AND NOT {_LONG(_n(P.SYSTEM["judge"]), "ju")} AS good FROM j) SELECT corpus_id, chunk_id, CASE WHEN good THEN round({_UNIT("ju")}, 2) END AS score, NOT good AS unjudged FROM k"""
+_K4 = f"""WITH r AS (SELECT id, CAST(floor({_UNIT("content")} * 10) AS INT) AS k, (length(content) + 5) // 4 > 100000 AS large FROM records)
+  SELECT id, CASE WHEN NOT large AND k = 9 THEN 'right' END AS content, CASE WHEN NOT large AND k = 9 THEN 'ok' ELSE 'error' END AS status,
+    CASE WHEN large THEN 'DocumentsTooLargeError' WHEN k < 9 THEN ['LLMTimeoutError', 'LLMRateLimitError', 'LLMContentPolicyError', 'LLMBadRequestError', 'LLMError', 'LLMResponseError', 'LLMResponseError', 'LLMResponseError', 'LLMResponseError'][k + 1] END AS error_class,
+    CASE WHEN NOT large AND k = 9 THEN 'stub' ELSE '' END AS model, CASE WHEN NOT large AND k = 9 THEN 3 ELSE 0 END AS input_tokens, CASE WHEN NOT large AND k = 9 THEN 2 ELSE 0 END AS output_tokens, 0e0 AS cost FROM r"""
 _KINDS = ", ".join("CASE WHEN " + " OR ".join(f"contains(l, '{k}')" for k in keys) + f" THEN '{t}' END" for t, keys in KEYWORDS.items())
 _G13 = f"""WITH b AS (SELECT id, content, {screening._PLAIN} AS v FROM records), l AS (SELECT id, coalesce(content, '') <> '' AS filled, {_LONG(_n(P.SYSTEM["sensitivity"]), "v[:-2]")} AS large, lower(v) AS l FROM b),
   t AS (SELECT *, CASE WHEN NOT filled THEN '' WHEN NOT large THEN concat_ws(',', {_KINDS}) END AS types FROM l)
@@ -242,6 +276,9 @@ SQL = {
       SELECT id, CASE WHEN e IS NULL THEN c END AS content, CASE WHEN e IS NULL THEN 'ok' ELSE 'error' END AS status, e AS error_class, CASE WHEN e IS NULL THEN CAST(length(c) // 4 AS BIGINT) ELSE 0 END AS output_tokens FROM r""", "records"),
     "g1_single_pass": with_views(_G1, "records"),
     "g4_tree": with_views(_tree_sql(20_000, 4), "records"),
+    "g2_partials": with_views(_G2, "records"),
+    "g5_judged_chunks": with_views(_G5, "records"),
+    "k4_error_classes": with_views(_K4, "records"),
     "h14_analysis_log": with_views(_LOG, "records"),
     "g10_summaries": with_views(_G10, "records"),
     "g11_bulk_summaries": with_views(_G11, "records"),
