@@ -57,11 +57,11 @@ GRAM_PRIME, GRAM_BASE, GRAM_STIR = 2_147_483_647, 1_000_003, 48_271
 
 
 def gram_hash(points: list[Column]) -> Column:
-    """The hash of some code points, in whole numbers below 2^63, so that any engine gives the same."""
-    h = F.lit(0).cast("bigint")
-    for p in points:
+    """The hash of some code points, in whole numbers below 2^63, so that any engine gives the same; not yet stirred."""
+    h = points[0]
+    for p in points[1:]:
         h = (h * GRAM_BASE + p) % GRAM_PRIME
-    return h * GRAM_STIR % GRAM_PRIME
+    return h
 
 
 def gram_counts(text: str, dim: int, n: int = 3):
@@ -88,8 +88,12 @@ def hashing_embed(df: DataFrame, id_col: str, col: str, dim: int = 256, n: int =
     chars = F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("bigint"))  # an item is found at once, a character of a long text is not
     at = lambda i: gram_hash([F.get("_c", i + k) for k in range(n)])
     grams = F.when(F.size("_c") >= n, F.transform(F.sequence(F.lit(0), F.size("_c") - n), at)).otherwise(F.array().cast("array<bigint>"))
-    slot = lambda h: F.struct(F.pmod(h, F.lit(dim)).cast("int").alias("k"), F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0).alias("v"))
-    hits = df.select(F.col(id_col), chars.alias("_c")).select(id_col, F.explode_outer(F.transform(grams, slot)).alias("_h")).groupBy(id_col, F.col("_h.k").alias("k")).agg(F.sum("_h.v").alias("v"))
+    each = df.select(F.col(id_col), chars.alias("_c")).select(id_col, F.explode_outer(grams).alias("_h"))
+    # Beyond the arrays, where expressions are compiled.
+    h = F.col("_h") * GRAM_STIR % GRAM_PRIME
+    sign = F.when(F.col("_q") % 2 == 0, 1.0).when(F.col("_q").isNotNull(), -1.0)
+    each = each.withColumn("_h", h).select(id_col, (F.col("_h") % dim).cast("int").alias("k"), F.floor(F.col("_h") / dim).alias("_q"))
+    hits = each.groupBy(id_col, "k").agg(F.sum(sign).alias("v"))
     filled = hits.groupBy(id_col).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("k", "v")), lambda x: x["k"].isNotNull())).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.col("_m")[k], F.lit(0.0)))
     return filled.select(id_col, l2_normalise(dense).alias("vector"))
