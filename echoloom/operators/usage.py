@@ -90,7 +90,8 @@ def _distributions(counts: DataFrame, by: list[str], place: Callable[[DataFrame]
     cells = bins.groupBy(*by, "_m").agg(*[c.alias(k) for k, c in figures.items()], holds.alias("_holds"))
     cells = cells.select("*", F.explode_outer("_holds").alias("_h")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_m"])], *figures, "_h.*").withColumnRenamed("_bin", f"_k{len(by) + 1}")
     keys = [f"_k{i}" for i in range(len(own))]
-    met = cells.join(binned.select(*own, "_v", "_c"), [F.col(c).eqNullSafe(F.col(k)) for k, c in zip(keys, own, strict=True)], "left")
+    # Counts of values are small as written, but not as the rows of four cells each that a broadcast would make of them.
+    met = cells.join(binned.select(*own, "_v", "_c").hint("merge"), [F.col(c).eqNullSafe(F.col(k)) for k, c in zip(keys, own, strict=True)], "left")
     met = met.withColumn("_in", F.sum("_c").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
     found = [F.min(F.when(F.col("_in") > F.col(k), F.col("_v"))).alias(k) for k in ranks]
     one = met.groupBy(*keys[:-1]).agg(*[F.first(k).alias(k) for k in figures], *found).withColumnsRenamed(dict(zip(keys[:-1], [*by, "_m"], strict=True)))
