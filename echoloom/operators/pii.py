@@ -108,15 +108,24 @@ def pseudonymise_records(df: DataFrame, by: str = "corpus_id", id_col: str = "id
     return out.select(*df.columns), mapping
 
 
-def restore(df: DataFrame, mapping: DataFrame, by: str, col: str, retain: tuple[str, ...] = ()) -> DataFrame:
-    """col with placeholders turned back, except those of types in retain. Only placeholders that stand in a text are looked up."""
+def restore(df: DataFrame, mapping: DataFrame, by: str, col: str, retain: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
+    """col with placeholders turned back, except those of types in retain. Only placeholders that stand in a text are looked up.
+
+    id_col names a column that says by which rows are dealt already; what is looked up then comes to the texts, which are not dealt anew. Rows may share an id; one without an id stays as it is, as it was never redacted.
+    """
     marks = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit("<[A-Z_]+_[0-9]+>"), F.lit(0)))
-    keyed = df.withColumn("_row", F.xxhash64(by, col)).withColumn("_m", marks)
-    used = keyed.select("_row", by, F.explode("_m").alias("placeholder")).distinct()
+    own = [id_col] if id_col else []
+    keyed = df.withColumn("_row", F.xxhash64(by, col))
+    used = keyed.select("_row", *own, by, F.explode(marks).alias("placeholder")).distinct()
     kept = mapping.where(~F.col("type").isin(*retain)) if retain else mapping
-    found = used.join(kept, [by, "placeholder"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("_map"))
+    found = used.join(kept, [by, "placeholder"]).groupBy("_row", *own).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("_map"))
+    if own:  # one row of maps for each id, so that the join is by the id alone
+        found = found.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_row", "_map"))).alias("_maps"))
+        met = keyed.join(found, id_col, "left").withColumn("_map", F.col("_maps")[F.col("_row")])
+    else:
+        met = keyed.join(found, "_row", "left")
     pieces = F.transform(F.split(F.col(col), "(?=<[A-Z_]+_[0-9]+>)|(?<=>)"), lambda x: F.coalesce(F.col("_map")[x], x))
-    return keyed.join(found, "_row", "left").withColumn(col, F.when(F.col("_map").isNull(), F.col(col)).otherwise(F.array_join(pieces, ""))).select(*df.columns)
+    return met.withColumn(col, F.when(F.col("_map").isNull(), F.col(col)).otherwise(F.array_join(pieces, ""))).select(*df.columns)
 
 
 def with_disclaimer(df: DataFrame, col: str) -> DataFrame:

@@ -57,12 +57,12 @@ def c7_mapping(spark, d):
 
 def c8_restored(spark, d):
     out, mapping = P.pseudonymise_records(_records(spark, d))
-    return P.restore(out, mapping, "corpus_id", "content").select("id", F.md5(F.col("content").cast("binary")).alias("digest"))
+    return P.restore(out, mapping, "corpus_id", "content", id_col="id").select("id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 def c9_retained(spark, d):
     out, mapping = P.pseudonymise_records(_records(spark, d))
-    return P.restore(out, mapping, "corpus_id", "content", retain=("EMAIL_ADDRESS",)).select("id", F.md5(F.col("content").cast("binary")).alias("digest"))
+    return P.restore(out, mapping, "corpus_id", "content", retain=("EMAIL_ADDRESS",), id_col="id").select("id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 def c10_disclaimed(spark, d):

@@ -17,3 +17,30 @@ def test_value_counts_are_not_broadcast(spark):
         df = make(_calls(spark))
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert df.count() == 8  # three tenants, one operation, four groupings
+
+
+def test_texts_of_records_are_dealt_once_by_id(spark, tmp_path):
+    """The dates of the records view and what is joined by id meet the texts in one shuffle of theirs."""
+    from echoloom import views
+
+    spark.createDataFrame([(k, f"text {k}", "en", "src1") for k in (1, 2, 3, 3)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ts = datetime.datetime(2024, 1, 2, 12)
+    spark.createDataFrame([(10, ts), (10, ts), (11, ts), (30, ts)], "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = views.view(spark, str(tmp_path), "records")
+        got = r.join(spark.createDataFrame([("doc-1", 5)], "id string, x int"), "id", "left")
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert sorted((x.id, x.created) for x in r.collect()) == [("doc-1", "2024-01-02")] * 2 + [("doc-2", ""), ("doc-3", "2024-01-02"), ("doc-3", "2024-01-02")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_restore_by_id(spark):
+    from echoloom.operators import pii as P
+
+    df = spark.createDataFrame([("a", "c", "x <P_1> y"), ("a", "c", "<P_2><P_1>"), ("b", "c", None), ("d", "e", "<P_1> <Q_7>"), (None, "c", "<P_1>")], "id string, corpus_id string, content string")
+    m = spark.createDataFrame([("c", "<P_1>", "P", "one"), ("c", "<P_2>", "P", "two"), ("e", "<P_1>", "P", "eins")], "corpus_id string, placeholder string, type string, value string")
+    got = P.restore(df, m, "corpus_id", "content", id_col="id").collect()
+    assert sorted(((r.id or "-", r.content or "-") for r in got)) == [("-", "<P_1>"), ("a", "twoone"), ("a", "x one y"), ("b", "-"), ("d", "eins <Q_7>")]
