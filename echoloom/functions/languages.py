@@ -1,4 +1,4 @@
-"""The language of a text from character trigrams: profiles are counted from short samples, texts meet them in one broadcast join."""
+"""The language of a text from character trigrams: profiles are counted from short samples, texts meet them in batches."""
 
 from __future__ import annotations
 
@@ -50,27 +50,66 @@ def profiles() -> list[tuple[str, str, int]]:
     return out
 
 
-def trigrams(text: Column) -> Column:
-    """All runs of three characters of a text's lower-cased letters; anything else between two words counts as one blank, as do both ends."""
-    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")
-    # Each place is a match of nothing that looks ahead three characters.
-    return F.regexp_extract_all(F.concat(F.lit(" "), F.trim(letters), F.lit(" ")), F.lit("(?=(...))"), F.lit(1))
+def letters(text: Column) -> Column:
+    """A text's lower-cased letters; anything else between two words counts as one blank, as do both ends."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")
+    return F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
+
+
+def _tables():
+    """Languages; classes of code points (0: in no profile); the profiles' row of three classes (0: none); weights by row and language."""
+    import numpy as np
+
+    rows = profiles()
+    langs = sorted({lang for lang, _, _ in rows})
+    points = sorted({ord(c) for _, g, _ in rows for c in g})
+    classes = np.zeros(0x110000, dtype=np.int32)
+    classes[points] = np.arange(1, len(points) + 1)
+    size = len(points) + 1
+    grams = {g: k for k, g in enumerate(sorted({g for _, g, _ in rows}), 1)}
+    at = np.zeros(size**3, dtype=np.int16)
+    weights = np.zeros((len(grams) + 1, len(langs)), dtype=np.int64)
+    for g, k in grams.items():
+        a, b, c = (int(classes[ord(x)]) for x in g)
+        at[(a * size + b) * size + c] = k
+    for lang, g, w in rows:
+        weights[grams[g], langs.index(lang)] = w
+    return langs, classes, size, at, weights
+
+
+def _best(text: str, langs, classes, size, at, weights) -> tuple[str | None, int, int]:
+    """The language of most weight (ties by code), the trigrams of its profile that the text holds, and all of its trigrams."""
+    import numpy as np
+
+    c = classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    n = max(len(c) - 2, 0)
+    held = np.bincount(at[(c[:n] * size + c[1 : n + 1]) * size + c[2 : n + 2]], minlength=len(weights))
+    held[0] = 0
+    met = held @ (weights > 0)
+    if not met.any():
+        return None, 0, n
+    k = int(np.argmax(np.where(met > 0, held @ weights, -1)))
+    return langs[k], int(met[k]), n
 
 
 def detect_language(df: DataFrame, id_col: str, col: str, least_share: int = LEAST_SHARE, supported: tuple[str, ...] = SUPPORTED) -> DataFrame:
     """(id, detected, language) of each row: the language whose profile gives the text's trigrams the largest sum of weights, ties by
     code, xx if less than least_share of a hundred of them are in it; and the same with xx for languages that are not supported.
 
-    The profiles are about 3,000 rows of a fixed table. Trigrams are counted by row and language before they are shuffled. A null or
+    The profiles are about 3,000 rows of a fixed table. Trigrams are counted where a text lies, so nothing is shuffled. A null or
     empty text, or one without letters, is xx. Rows that repeat an id are detected each for itself.
     """
-    spark = df.sparkSession
-    weights = spark.createDataFrame(profiles(), "lang string, gram string, weight int").groupBy("gram").agg(F.collect_list(F.struct("lang", "weight")).alias("_w"))
-    rows = df.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), trigrams(F.col(col)).alias("_grams"))
-    grams = rows.select(id_col, "_row", F.size("_grams").alias("_n"), F.explode_outer("_grams").alias("gram"))
-    met = grams.join(F.broadcast(weights), "gram", "left").select(id_col, "_row", "_n", F.explode_outer("_w").alias("_w"))
-    sums = met.groupBy(id_col, "_row", "_w.lang").agg(F.max("_n").alias("_n"), F.sum("_w.weight").alias("_s"), F.count("_w").alias("_hits"))
-    best = F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("_s")).alias("s"), F.col("lang").alias("lang"), "_hits")))
-    found = sums.groupBy(id_col, "_row").agg(F.max("_n").alias("_n"), best.alias("_b"))
-    detected = F.when(F.col("_b._hits") * 100 >= F.col("_n") * least_share, F.col("_b.lang")).otherwise(UNKNOWN)
-    return found.select(id_col, detected.alias("detected")).withColumn("language", F.when(F.col("detected").isin(*supported), F.col("detected")).otherwise(UNKNOWN))
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def run(batches):
+        import pyarrow as pa
+
+        tables = _tables()
+        for b in batches:
+            found = [_best(t.as_py(), *tables) for t in b.column(1)]
+            names = [lang if lang and hits * 100 >= n * least_share else UNKNOWN for lang, hits, n in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string())], names=[id_col, "detected"])
+
+    rows = df.select(F.col(id_col), letters(F.col(col)).alias("_t"))
+    found = rows.mapInArrow(run, StructType([rows.schema[id_col], StructField("detected", StringType())]))
+    return found.withColumn("language", F.when(F.col("detected").isin(*supported), F.col("detected")).otherwise(UNKNOWN))
