@@ -52,23 +52,15 @@ def cosine_agreement(a: DataFrame, b: DataFrame, on: str, vec: str) -> DataFrame
     return x.join(y, on).select(on, (dot(F.col("_a"), F.col("_b")) / n).alias("cosine"))
 
 
-# A gram's hash is taken modulo a prime, code point by code point, and stirred once at the end.
+# A gram's hash is taken modulo a prime, code point by code point, and stirred once at the end; in whole numbers below 2^63, so that any engine gives the same.
 GRAM_PRIME, GRAM_BASE, GRAM_STIR = 2_147_483_647, 1_000_003, 48_271
 
 
-def gram_hash(points: list[Column]) -> Column:
-    """The hash of some code points, in whole numbers below 2^63, so that any engine gives the same; not yet stirred."""
-    h = points[0]
-    for p in points[1:]:
-        h = (h * GRAM_BASE + p) % GRAM_PRIME
-    return h
-
-
-def gram_counts(text: str, dim: int, n: int = 3):
-    """The same counts as hashing_embed's for one text, before they are brought to length 1, as a numpy array."""
+def gram_counts(text: str, dim: int, n: int = 3, lowered: bool = False):
+    """The counts of one text's n-grams, before they are brought to length 1, as a numpy array."""
     import numpy as np
 
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    points = np.frombuffer((text if lowered else text.lower()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     if len(points) < n:
         return np.zeros(dim)
     h = np.zeros(len(points) - n + 1, dtype=np.int64)
@@ -81,19 +73,23 @@ def gram_counts(text: str, dim: int, n: int = 3):
 def hashing_embed(df: DataFrame, id_col: str, col: str, dim: int = 256, n: int = 3) -> DataFrame:
     """(id, vector): counts of hashed character n-grams, signed, at length 1. Stands in for a model file.
 
-    N-grams are summed by (id, slot), before and after the shuffle, so a text of any length sends at most dim rows from
-    each task. Texts with fewer than n characters have a zero vector.
+    Texts are counted where they lie, some of a batch at a time, and only the counts, whole numbers, go on. Texts with fewer than n
+    characters have a zero vector. Rows that repeat an id are one text's as far as counts go: they are added up.
     """
-    t = F.lower(F.coalesce(F.col(col), F.lit("")))
-    chars = F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("bigint"))  # an item is found at once, a character of a long text is not
-    at = lambda i: gram_hash([F.get("_c", i + k) for k in range(n)])
-    grams = F.when(F.size("_c") >= n, F.transform(F.sequence(F.lit(0), F.size("_c") - n), at)).otherwise(F.array().cast("array<bigint>"))
-    each = df.select(F.col(id_col), chars.alias("_c")).select(id_col, F.explode_outer(grams).alias("_h"))
-    # Beyond the arrays, where expressions are compiled.
-    h = F.col("_h") * GRAM_STIR % GRAM_PRIME
-    sign = F.when(F.col("_q") % 2 == 0, 1.0).when(F.col("_q").isNotNull(), -1.0)
-    each = each.withColumn("_h", h).select(id_col, (F.col("_h") % dim).cast("int").alias("k"), F.floor(F.col("_h") / dim).alias("_q"))
-    hits = each.groupBy(id_col, "k").agg(F.sum(sign).alias("v"))
-    filled = hits.groupBy(id_col).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("k", "v")), lambda x: x["k"].isNotNull())).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.col("_m")[k], F.lit(0.0)))
-    return filled.select(id_col, l2_normalise(dense).alias("vector"))
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            counts = np.zeros((b.num_rows, dim), dtype=np.int64)
+            for k, t in enumerate(b.column(1)):
+                counts[k] = gram_counts(t.as_py(), dim, n, lowered=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, dim), pa.int32()), pa.array(counts.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_col, "_c"])
+
+    rows = df.select(F.col(id_col), F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_t"))
+    counted = rows.mapInArrow(run, StructType([rows.schema[id_col], StructField("_c", ArrayType(LongType()))]))
+    sums = counted.groupBy(id_col).agg(F.array(*[F.sum(F.get("_c", F.lit(k))).cast("double") for k in range(dim)]).alias("_v"))
+    return sums.select(id_col, l2_normalise(F.col("_v")).alias("vector"))

@@ -44,3 +44,19 @@ def test_restore_by_id(spark):
     m = spark.createDataFrame([("c", "<P_1>", "P", "one"), ("c", "<P_2>", "P", "two"), ("e", "<P_1>", "P", "eins")], "corpus_id string, placeholder string, type string, value string")
     got = P.restore(df, m, "corpus_id", "content", id_col="id").collect()
     assert sorted(((r.id or "-", r.content or "-") for r in got)) == [("-", "<P_1>"), ("a", "twoone"), ("a", "x one y"), ("b", "-"), ("d", "eins <Q_7>")]
+
+
+def test_volumes_are_not_made_in_one_task(spark):
+    from echoloom.operators import corpus as B
+
+    leaves = spark.range(300).selectExpr("cast(id as string) AS code")
+    plan = B.allocate_volumes(leaves, 9000, 3)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and "code#" in x]
+
+
+def test_rounding_of_halves(spark):
+    from echoloom.plans import chunks
+
+    got = spark.createDataFrame([(41 / 640,), (-41 / 640,), (0.0640624,)], "x double").select(chunks._six("x")).collect()
+    assert [r.x for r in got] == [0.064063, -0.064063, 0.064062]
+    assert "DECIMAL(18,15)" in chunks.SQL["e8_hashed"]
