@@ -1,7 +1,7 @@
 """Density clustering of vectors, per corpus, without a number of clusters: mutual reachability, minimum spanning tree, condensed tree.
 
-Distances are computed in blocks of vectors and reduced at once to the few smallest of a point or the smallest of a
-component, so no matrix is stored. The tree grows by rounds (each component takes its cheapest edge out), and only its n - 1
+Distances are computed for pairs of blocks of vectors, each pair in a group of its own and both ways round at once, and reduced there to the few
+smallest of a point or the smallest of a component, so no matrix is stored. Products of matrices say which distances may count; only those are computed in full. The tree grows by rounds (each component takes its cheapest edge out), and only its n - 1
 edges come together, one corpus in a task, about 24 bytes a record.
 """
 
@@ -10,76 +10,115 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-BLOCK = 256
+#: Vectors of a block, about; a pair of blocks takes some matrices of its square.
+BLOCK = 2048
+#: Distances that are computed in full at one time.
+FULL = 1 << 18
 
 
-def _packed(points: DataFrame, by: str, extra: list[str]) -> DataFrame:
+def _cells(points: DataFrame, by: str) -> GroupedData:
+    """The points of each pair of blocks of a corpus together, a block paired with itself as well; _blk says which one a point is of."""
     sizes = points.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_nb"))
-    placed = points.join(sizes, by).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")))
-    lists = placed.groupBy(by, "_blk").agg(F.array_sort(F.collect_list(F.struct("id", *extra, "vec"))).alias("l"))
-    return lists.select(by, "_blk", *[F.col(f"l.{c}").alias(c) for c in ("id", *extra, "vec")])
+    placed = points.join(sizes, by).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
+    sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return sent.withColumns({"_p": F.least("_blk", "_other"), "_q": F.greatest("_blk", "_other")}).drop("_nb", "_other").groupBy(by, "_p", "_q")
 
 
-def _pairs(packed: DataFrame, by: str) -> DataFrame:
-    """Blocks of a corpus beside each other, both ways round."""
-    other = packed.select(*[F.col(c).alias(c if c == by else f"{c}2") for c in packed.columns])
-    return packed.join(other, by)
+def _sides(table: pa.Table, columns: list[str]) -> list[dict]:
+    """The columns of both blocks of a pair, or of one that is paired with itself; vec as an array (n, width)."""
+    blk = table["_blk"].to_numpy()
+    x = {c: table[c].to_numpy() for c in columns}
+    vec = table["vec"].combine_chunks()
+    x["vec"] = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+    return [{c: v[blk == k] for c, v in x.items()} for k in np.unique(blk)]
 
 
-def _distances(a: list, b: list) -> np.ndarray:
-    x, y = np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)
-    return np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0.0))
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by products of matrices, and more than they can be wrong by."""
+    a, b = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    d = x @ y.T
+    d *= -2.0
+    d += a[:, None]
+    d += b[None, :]
+    return d, 1e-11 * float(a.max(initial=0.0) + b.max(initial=0.0))
+
+
+def _full(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of pairs of rows."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), FULL):
+        out[k : k + FULL] = np.sqrt(((x[i[k : k + FULL]] - y[j[k : k + FULL]]) ** 2).sum(axis=1))
+    return out
 
 
 def core_distances(points: DataFrame, by: str, m: int) -> DataFrame:
     """(by, id, core): the distance to the m-th nearest point, the point itself counted."""
 
-    def nearest(batches):
-        for b in batches:
-            cols: list[list] = [[], [], []]
-            for corpus, ids, vec, vec2 in zip(*(b.column(c).to_pylist() for c in (by, "id", "vec", "vec2")), strict=True):
-                d = np.sort(_distances(vec, vec2), axis=1)[:, :m]
-                cols[0] += [corpus] * d.size
-                cols[1] += np.repeat(ids, d.shape[1]).tolist()
-                cols[2] += d.reshape(-1).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=[by, "id", "d"])
-
-    near = _pairs(_packed(points, by, []), by).mapInArrow(nearest, f"`{by}` string, id long, d double")
+    def nearest(table):
+        sides = _sides(table, ["id"])
+        ids, far = [], []
+        x, y = sides[0], sides[-1]
+        two = int(table["_p"][0].as_py()) != int(table["_q"][0].as_py())
+        if two == (len(sides) == 2):  # else one of the blocks has no point, and the other is paired with itself elsewhere
+            d, slack = _squares(x["vec"], y["vec"])
+            for one, other, w in [(x, y, d), (y, x, d.T)][: len(sides)]:
+                k = min(m, w.shape[1])
+                at, to = np.nonzero(w <= np.partition(w, k - 1, axis=1)[:, k - 1 : k] + 2 * slack)
+                full = _full(one["vec"], other["vec"], at, to)
+                order = np.lexsort((full, at))
+                at, full = at[order], full[order]
+                first = np.searchsorted(at, at)
+                keep = np.arange(len(at)) - first < m
+                ids.append(one["id"][at[keep]])
+                far.append(full[keep])
+        n = sum(map(len, ids))
+        cols = [pa.array([table[by][0].as_py()] * n, pa.string()), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*far, np.zeros(0)]))]
+        return pa.table(cols, names=[by, "id", "d"])
+
+    near = _cells(points, by).applyInArrow(nearest, f"`{by}` string, id long, d double")
     return near.groupBy(by, "id").agg(F.get(F.array_sort(F.collect_list("d")), F.lit(m - 1)).alias("core"))  # m values from each block
 
 
 def spanning_tree(points: DataFrame, core: DataFrame, by: str) -> DataFrame:
     """(by, w, i, j): the minimum spanning tree of mutual reachability; ties by (w, i, j), so it is one tree."""
 
-    def cheapest(batches):
-        names = [by, "comp", "w", "i", "j", "to"]
-        for b in batches:
-            best: dict[tuple, tuple] = {}
-            for corpus, *x in zip(*(b.column(c).to_pylist() for c in (by, "id", "comp", "core", "vec", "id2", "comp2", "core2", "vec2")), strict=True):
-                ids, comp, core_a, vec, ids2, comp2, core_b, vec2 = x
-                w = np.maximum(np.maximum(_distances(vec, vec2), np.array(core_a)[:, None]), np.array(core_b)[None, :])
-                w[np.array(comp)[:, None] == np.array(comp2)[None, :]] = np.inf
-                low = w.min(axis=1)
-                for k in np.flatnonzero(np.isfinite(low)).tolist():
-                    for n in np.flatnonzero(w[k] == low[k]).tolist():
-                        e = (float(low[k]), min(ids[k], ids2[n]), max(ids[k], ids2[n]), comp2[n])
-                        key = (corpus, comp[k])
-                        if key not in best or e < best[key]:
-                            best[key] = e
-            rows = [(*k, *e) for k, e in best.items()]
-            types = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
+    def cheapest(table):
+        names, kinds = ["comp", "w", "i", "j", "to"], [np.int64, np.float64, np.int64, np.int64, np.int64]
+        found = [[np.zeros(0, t)] for t in kinds]
+        sides = _sides(table, ["id", "comp", "core"])
+        x, y = sides[0], sides[-1]
+        two = int(table["_p"][0].as_py()) != int(table["_q"][0].as_py())
+        if two == (len(sides) == 2):
+            d, slack = _squares(x["vec"], y["vec"])
+            np.maximum(d, x["core"][:, None] ** 2, out=d)
+            np.maximum(d, y["core"][None, :] ** 2, out=d)
+            d[x["comp"][:, None] == y["comp"][None, :]] = np.inf
+            for one, other, w in [(x, y, d), (y, x, d.T)][: len(sides)]:
+                _, c = np.unique(one["comp"], return_inverse=True)
+                low = np.full(c.max() + 1, np.inf)
+                mine = w.min(axis=1)
+                np.minimum.at(low, c, mine)
+                rows = np.flatnonzero((mine <= low[c] + 2 * slack) & np.isfinite(mine))
+                at, to = np.nonzero(w[rows] <= low[c[rows]][:, None] + 2 * slack)
+                at = rows[at]
+                full = np.maximum(np.maximum(_full(one["vec"], other["vec"], at, to), one["core"][at]), other["core"][to])
+                i, j = np.minimum(one["id"][at], other["id"][to]), np.maximum(one["id"][at], other["id"][to])
+                order = np.lexsort((other["comp"][to], j, i, full, c[at]))
+                best = order[np.flatnonzero(np.diff(c[at][order], prepend=-1))]
+                for k, v in enumerate((one["comp"][at], full, i, j, other["comp"][to])):
+                    found[k].append(v[best])
+        cols = [np.concatenate(f) for f in found]
+        return pa.table([pa.array([table[by][0].as_py()] * len(cols[0]), pa.string()), *map(pa.array, cols)], names=[by, *names])
 
     comps = checkpointed(points.select(by, "id", F.col("id").alias("comp")))
     out = None
     while True:
-        packed = _packed(points.join(core, [by, "id"]).join(comps, [by, "id"]), by, ["comp", "core"])
-        edges = _pairs(packed, by).mapInArrow(cheapest, f"`{by}` string, comp long, w double, i long, j long, to long")
+        edges = _cells(points.join(core, [by, "id"]).join(comps, [by, "id"]), by).applyInArrow(cheapest, f"`{by}` string, comp long, w double, i long, j long, to long")
         edges = checkpointed(edges.groupBy(by, "comp").agg(F.min(F.struct("w", "i", "j", "to")).alias("e")).select(by, "comp", "e.*"))
         if edges.isEmpty():
             return out if out is not None else edges.select(by, "w", "i", "j")
@@ -183,7 +222,7 @@ def cluster_vectors(df: DataFrame, by: str = "corpus_id", id_col: str = "pos", v
     """
     if min_cluster_size < 2:
         raise ValueError("min_cluster_size is 2 or more")
-    points = checkpointed(df.select(F.col(by).cast("string").alias(by), F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec")))
+    points = checkpointed(df.select(F.col(by).cast("string").alias(by), F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")))
     enough = points.groupBy(by).count().where(F.col("count") >= min_cluster_size).select(by)
     large = points.join(enough, by, "left_semi")
     tree = spanning_tree(large, checkpointed(core_distances(large, by, min_cluster_size)), by)
