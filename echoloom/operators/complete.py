@@ -106,14 +106,14 @@ def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "u
     assert from_arrow_type(arrow) == kind
 
     def run(batches):
-        for b in batches:
+        # A few messages at a time are taken out of a batch: thousands of long ones would fill the worker several times over.
+        for b in (whole.slice(i, batch) for whole in batches for i in range(0, whole.num_rows, batch)):
             stops = b.column("_stop").to_pylist()
-            pairs = list(zip(b.column(system).to_pylist(), b.column(user).to_pylist(), strict=True))
             rows: list = [None if s is None else _answer(None, 0) | {"error_class": s} for s in stops]
             todo = [k for k, r in enumerate(rows) if r is None]
-            for i in range(0, len(todo), batch):
-                part = todo[i : i + batch]
-                for k, r in zip(part, call_with_retries(fn, [pairs[k] for k in part], timeout), strict=True):
+            if todo:
+                messages = [(b.column(system)[k].as_py(), b.column(user)[k].as_py()) for k in todo]
+                for k, r in zip(todo, call_with_retries(fn, messages, timeout), strict=True):
                     rows[k] = r
             kept = [b.column(c) for c in df_columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, arrow)], names=[*df_columns, out])
