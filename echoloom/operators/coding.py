@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions.text import parse_score, parse_selected
-from ..session import checkpointed, settled
-from .call_log import CallLog, answered
-from .complete import INJECTION, Complete
+from ..session import settled
+from .call_log import CallLog
+from .complete import INJECTION, Complete, complete
 from .validate import injection
 
 
 CYCLE, ORPHAN, REPEATED, UNNAMED = "cycle", "unknown parent", "repeated id", "no id"
+#: The options of a framework of more nodes are joined by shuffle, not broadcast.
+MAX_NODES = 100_000
 
 
 def framework_paths(nodes: DataFrame) -> DataFrame:
@@ -99,33 +101,53 @@ def assign_codes(records: DataFrame, nodes: DataFrame, pick: Complete, judge: Co
     For each level of the framework: all records at all open nodes are asked to choose among its children, each choice is
     judged, choices below the threshold go, leaves are kept and the others are asked again. A record that looks like an injection,
     or any of whose calls fails or is answered with a score that cannot be read, has no codes but one row with error_class.
+
+    A text is read once and stays with its record: both calls of a level are made in one pass over the rows where they lie, which writes
+    the texts of records that go on beside their paths. No text is dealt by id or node, unless a framework has more than
+    MAX_NODES nodes. Records without an id are left out. Calls are logged when both calls of their level are made.
     """
-    n = checkpointed(nodes.select("node_id", "parent_id", "name", "position"))
-    options = n.groupBy(F.coalesce("parent_id", F.lit("")).alias("at")).agg(F.array_sort(F.collect_list(F.struct("position", "node_id", "name"))).alias("options"))
-    text = records.where(F.coalesce(F.length("content"), F.lit(0)) > 0).select(id_col, "content", injection(F.col("content")).isNotNull().alias("blocked"))
+    n = settled(nodes.select("node_id", "parent_id", "name", "position").withColumn("at", F.coalesce("parent_id", F.lit(""))))
+    inner = n.select(F.col("at").alias("_at"), F.lit(True).alias("inner")).distinct()
+    listed = n.join(inner, n["node_id"] == inner["_at"], "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    options = settled(listed.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("position", "node_id", "name", "inner"))).alias("options")))
+    if n.count() <= MAX_NODES:
+        options = F.broadcast(options)
     blank = lambda t: F.array().cast(t)
-    front = text.select(id_col, F.lit("").alias("at"), blank("array<string>").alias("path"), blank("array<string>").alias("names"), blank("array<double>").alias("scores"), blank("array<string>").alias("whys"), blank("array<int>").alias("seq"))
-    found = failed = None
     state = ("path", "names", "scores", "whys", "seq")
-    error = F.col("completion.error_class").alias("error_class")
+    front = records.where((F.coalesce(F.length("content"), F.lit(0)) > 0) & F.col(id_col).isNotNull()).select(
+        id_col, "content", injection(F.col("content")).isNotNull().alias("blocked"), F.lit("").alias("at"),
+        blank("array<string>").alias("path"), blank("array<string>").alias("names"), blank("array<double>").alias("scores"), blank("array<string>").alias("whys"), blank("array<int>").alias("seq"),
+    )
+    found = failed = None
     while True:
-        asked = front.join(options, "at").join(text, id_col)
+        asked = front.join(options, "at")
         asked = asked.withColumns({"system": P.system_message("pick"), "user": P.pick_message(F.col("content"), F.col("names"), F.transform("options", lambda o: o["name"]))})
-        got = answered(asked.drop("content", "at"), pick, log, blocked="blocked").select(id_col, *state, "options", "completion")
-        bad = got.where("completion.status <> 'ok'").select(id_col, error)
-        chosen = F.transform(parse_selected(F.col("completion.content"), F.size("options")), lambda i: F.struct(i.alias("i"), F.get("options", i).alias("o")))
-        got = got.where("completion.status = 'ok'").select(id_col, *state, F.explode(chosen).alias("c"))
-        got = got.select(id_col, F.concat("path", F.array("c.o.node_id")).alias("path"), F.concat("names", F.array("c.o.name")).alias("names"), "scores", "whys", F.concat("seq", F.array("c.i")).alias("seq"))
-        asked = got.join(text.select(id_col, "content"), id_col).withColumns({"system": P.system_message("code_judge"), "user": P.code_judge_message(F.col("content"), F.col("names"))})
-        scored = answered(asked.drop("content"), judge, log).select(id_col, *state, "completion", parse_score(F.col("completion.content")).alias("s"))
-        bad = bad.unionByName(scored.where("s.score is null").select(id_col, F.coalesce(error, F.lit(INJECTION)).alias("error_class")))
-        failed = bad if failed is None else failed.unionByName(bad)
-        good = scored.where("s.score is not null" if threshold is None else F.col("s.score") >= threshold)
+        got = complete(asked.drop("at"), pick, out="picked", blocked="blocked").select(id_col, "content", *state, "options", "picked")
+        chosen = F.transform(parse_selected(F.col("picked.content"), F.size("options")), lambda i: F.struct(i.alias("i"), F.get("options", i).alias("o")))
+        # A row for each choice, and one for a call without any; its answer stands in the first.
+        got = got.select(id_col, "content", *state, "picked", F.posexplode_outer(F.when(F.col("picked.status") == "ok", chosen)).alias("_k", "c"))
+        got = got.select(
+            id_col, "content", F.concat("path", F.array("c.o.node_id")).alias("path"), F.concat("names", F.array("c.o.name")).alias("names"), "scores", "whys", F.concat("seq", F.array("c.i")).alias("seq"),
+            F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("picked")).alias("picked"), F.col("c").isNotNull().alias("chosen"), F.col("c.o.inner").alias("inner"),
+        )
+        asked = got.withColumns({"system": P.system_message("code_judge"), "user": P.code_judge_message(F.col("content"), F.col("names"))})
+        scored = complete(asked, judge, only="chosen").drop("system", "user").withColumn("score", parse_score(F.col("completion.content"))["score"])
+        good = F.col("score").isNotNull() if threshold is None else F.coalesce(F.col("score") >= threshold, F.lit(False))
+        scored = scored.withColumn("good", F.col("chosen") & good).withColumn("goes_on", F.col("good") & F.col("inner"))
         why = F.coalesce(F.get(F.split("completion.content", "\n", 2), F.lit(1)), F.lit(""))
-        level = checkpointed(good.select(id_col, F.element_at("path", -1).alias("at"), "path", "names", F.concat("scores", F.array("s.score")).alias("scores"), F.concat("whys", F.array(why)).alias("whys"), "seq"))
-        leaves = level.join(options, "at", "left_anti")
+        level = settled(scored.select(
+            id_col, F.when(F.col("goes_on"), F.col("content")).alias("content"), F.element_at("path", -1).alias("at"), "path", "names", F.concat("scores", F.array("score")).alias("scores"), F.concat("whys", F.array(why)).alias("whys"), "seq",
+            "picked", "chosen", "completion", "score", "good", "goes_on",
+        ), compression="zstd")
+        if log:
+            log.add(level.where("picked is not null"), "picked")
+            log.add(level.where("chosen"))
+        bad = level.where("picked.status <> 'ok'").select(id_col, F.col("picked.error_class").alias("error_class"))
+        bad = bad.unionByName(level.where("chosen and score is null").select(id_col, F.coalesce("completion.error_class", F.lit(INJECTION)).alias("error_class")))
+        failed = bad if failed is None else failed.unionByName(bad)
+        leaves = level.where("good and not goes_on").select(id_col, *state)
         found = leaves if found is None else found.unionByName(leaves)
-        front = level.join(options.select("at"), "at", "left_semi")
+        front = level.where("goes_on").select(id_col, "content", F.lit(False).alias("blocked"), "at", *state)
         if front.isEmpty():
             break
     failed = failed.groupBy(id_col).agg(F.min("error_class").alias("error_class"))

@@ -78,11 +78,12 @@ def call_with_retries(fn: Complete, messages: list[tuple[str, str]], timeout: fl
     return out
 
 
-def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "user", out: str = "completion", screen: str | None = None, max_tokens: int = MAX_TOKENS, chars_per_token: int = 4, batch: int = 16, timeout: float = 120.0, concurrency: int | None = None, too_large: str | None = None, blocked: str | None = None) -> DataFrame:
+def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "user", out: str = "completion", screen: str | None = None, max_tokens: int = MAX_TOKENS, chars_per_token: int = 4, batch: int = 16, timeout: float = 120.0, concurrency: int | None = None, too_large: str | None = None, blocked: str | None = None, only: str | None = None) -> DataFrame:
     """Adds out, a struct with content, model, tokens, cost, status, error_class and duration.
 
     Rows whose screened text (column screen) looks like an injection, that the column blocked says hold one, or whose messages are over
-    max_tokens, are not sent; nor those where the column too_large says that the message was not even built. concurrency bounds the calls at one time, by the number of partitions. The result is not to be computed twice:
+    max_tokens, are not sent; nor those where the column too_large says that the message was not even built. Rows for which the column only
+    is not true are not asked about: out is null. concurrency bounds the calls at one time, by the number of partitions. The result is not to be computed twice:
     write or checkpoint it before a second use.
     """
     from pyspark.sql import types as T
@@ -98,7 +99,8 @@ def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "u
     stop = F.when(F.col("over_limit"), TOO_LARGE)
     for found in screens:
         stop = F.when(found, INJECTION).otherwise(stop)
-    gated = gated.withColumn("_stop", stop).select(*df.columns, "_stop")
+    ask = F.coalesce(F.col(only), F.lit(False)) if only else F.lit(True)
+    gated = gated.withColumns({"_stop": stop, "_ask": ask}).select(*df.columns, "_stop", "_ask")
     if concurrency:
         gated = gated.repartition(concurrency)
     schema = StructType([*df.schema.fields, StructField(out, kind)])
@@ -109,8 +111,9 @@ def complete(df: DataFrame, fn: Complete, system: str = "system", user: str = "u
         # A few messages at a time are taken out of a batch: thousands of long ones would fill the worker several times over.
         for b in (whole.slice(i, batch) for whole in batches for i in range(0, whole.num_rows, batch)):
             stops = b.column("_stop").to_pylist()
-            rows: list = [None if s is None else _answer(None, 0) | {"error_class": s} for s in stops]
-            todo = [k for k, r in enumerate(rows) if r is None]
+            asks = b.column("_ask").to_pylist()
+            rows: list = [_answer(None, 0) | {"error_class": s} if a and s is not None else None for a, s in zip(asks, stops, strict=True)]
+            todo = [k for k, r in enumerate(rows) if r is None and asks[k]]
             if todo:
                 messages = [(b.column(system)[k].as_py(), b.column(user)[k].as_py()) for k in todo]
                 for k, r in zip(todo, call_with_retries(fn, messages, timeout), strict=True):

@@ -14,7 +14,7 @@ from ..operators.complete import KEYWORDS
 from ..operators.validate import DISCLAIMER
 from ..session import scratch_path
 from ..sources.records import read_calls
-from ..views import view, with_views
+from ..views import BY_HASH, view, with_views
 from . import pii, screening, trends
 
 
@@ -116,7 +116,7 @@ def g13_sensitive(spark, d):
 
 
 def g14_codes(spark, d):
-    out = G.assign_codes(_records(spark, d), view(spark, d, "framework"), stub_complete("pick"), stub_complete("score"), max_codes=3, threshold=0.2)
+    out = G.assign_codes(view(spark, d, "records", BY_HASH), view(spark, d, "framework"), stub_complete("pick"), stub_complete("score"), max_codes=3, threshold=0.2)
     return out.drop("explanation").withColumn("rank", F.col("rank").cast("bigint"))
 
 
