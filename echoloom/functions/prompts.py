@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .text import escape_envelope, language_suffix, quote_attribute
 
 _ROLE = "You study feedback that communities give to aid organisations."
@@ -39,29 +40,44 @@ def record_envelope(content: Column, id: Column | None = None, metadata: dict[st
     return F.concat(*parts, F.lit("  </feedback_record>"))
 
 
+_HEAD, _TAIL = "<feedback_records>\n", "\n</feedback_records>"
+
+
+def envelope_sums(df: DataFrame, by: list[str], chars: Column, max_chars: int, flag: str | None = None, more: DataFrame | None = None) -> DataFrame:
+    """by, n_records, too_large and the flag of each group, from the lengths of its blocks alone. more: (by, more), characters that come to those of a group."""
+    flags = [F.max(F.coalesce(F.col(flag), F.lit(False))).alias(flag)] if flag else []
+    total = F.coalesce(F.sum(chars.cast("bigint")), F.lit(0)) + F.greatest(F.count(chars) - 1, F.lit(0)) + len(_HEAD) + len(_TAIL)  # a block that is null has no line
+    sums = df.groupBy(*by).agg(F.count("*").alias("n_records"), total.alias("_total"), *flags)
+    sums = sums.withColumn("more", F.lit(0)) if more is None else sums.join(more, by, "left")
+    large = F.coalesce(F.col("_total") + F.coalesce("more", F.lit(0)) > max_chars, F.lit(False))
+    return sums.select(*by, "n_records", large.alias("too_large"), *([flag] if flag else []))
+
+
+def without_large(df: DataFrame, by: list[str], sums: DataFrame) -> DataFrame:
+    """The rows of groups that are not too large. The others are few, as each holds more than a message of the input; so they are broadcast, and no text is dealt out to meet them."""
+    large = sums.where("too_large").select(*[F.col(c).alias(f"_{c}") for c in by])
+    return df.join(F.broadcast(large), [df[c].eqNullSafe(large[f"_{c}"]) for c in by], "left_anti")
+
+
+def with_large(batch: DataFrame, by: list[str], sums: DataFrame, flag: str | None = None) -> DataFrame:
+    """records_envelope of the groups that fit, with too_large, and a row without records for each of the others."""
+    large = sums.where("too_large").select(*by, "n_records", F.lit(None).cast("string").alias("records"), *([flag] if flag else []), "too_large")
+    return batch.withColumn("too_large", F.lit(False)).unionByName(large)
+
+
 def records_envelope(df: DataFrame, by: list[str], order: str, block: str, max_chars: int | None = None, flag: str | None = None) -> DataFrame:
     """The blocks of each group, in order, inside one tag: by, n_records, records, and with flag whether it is true of any row.
 
-    With max_chars there is too_large too: lengths are summed first, and a group over it has no records, its blocks are not gathered.
+    With max_chars there is too_large too: lengths are summed first and written, and a group over it has no records, its blocks are not gathered.
     Without it a group must be one that a message can hold.
     """
-    head, tail = "<feedback_records>\n", "\n</feedback_records>"
-    flags = [F.max(F.coalesce(F.col(flag), F.lit(False))).alias(flag)] if flag else []
-    fit = df
     if max_chars is not None:
-        total = F.sum(F.length(block).cast("bigint")) + F.count("*") - 1 + len(head) + len(tail)
-        sums = df.groupBy(*by).agg(F.count("*").alias("n_records"), (total > max_chars).alias("too_large"), *flags)
-        same = lambda other: [df[c].eqNullSafe(other[f"_{c}"]) for c in by]
-        small = sums.where("not too_large").select(*[F.col(c).alias(f"_{c}") for c in by])
-        fit = df.join(small, same(small), "left_semi")
-    out = fit.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b")))).alias("_l"), F.count("*").alias("n_records"), *flags)
-    text = F.concat(F.lit(head), F.array_join(F.transform("_l", lambda x: x["b"]), "\n"), F.lit(tail))
-    more = [flag] if flag else []
-    out = out.select(*by, "n_records", text.alias("records"), *more)
-    if max_chars is None:
-        return out
-    large = sums.where("too_large").select(*by, "n_records", F.lit(None).cast("string").alias("records"), *more, "too_large")
-    return out.withColumn("too_large", F.lit(False)).unionByName(large)
+        sums = settled(envelope_sums(df, by, F.length(block), max_chars, flag))
+        return with_large(records_envelope(without_large(df, by, sums), by, order, block, flag=flag), by, sums, flag)
+    flags = [F.max(F.coalesce(F.col(flag), F.lit(False))).alias(flag)] if flag else []
+    out = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b")))).alias("_l"), F.count("*").alias("n_records"), *flags)
+    text = F.concat(F.lit(_HEAD), F.array_join(F.transform("_l", lambda x: x["b"]), "\n"), F.lit(_TAIL))
+    return out.select(*by, "n_records", text.alias("records"), *([flag] if flag else []))
 
 
 def instruction(prompt: Column) -> Column:

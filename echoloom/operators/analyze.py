@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..functions import prompts as P
 from ..functions.text import parse_structured
-from ..session import checkpointed
+from ..session import checkpointed, settled
 from . import chunking, pii, trends
 from .call_log import CallLog, answered
 from .complete import MAX_TOKENS, Complete
@@ -54,9 +54,20 @@ def analyze(records: DataFrame, requests: DataFrame, fn: Complete, judge: Comple
     One message holds all records of a corpus, so a corpus over the token limit is an error row, made from the
     lengths of its records alone, and so is a corpus with a record that looks like an injection. Records are redacted first,
     placeholders of types not in retain are turned back at the end, and the disclaimer comes first.
+
+    A first pass over the texts writes their spans, screens and lengths; a second one redacts and gathers those of corpora that fit. No text is dealt by corpus or sorted for a corpus that does not.
     """
-    clean, mapping = pii.pseudonymise_records(records, by)
-    batch = P.records_envelope(record_blocks(clean), [by], "pos", "block", MAX_CHARS, "blocked")
+    seen = records.withColumn("spans", pii.spans_in_place(F.col("content")))
+    seen = record_blocks(seen.withColumn("content", pii.marked(F.col("content"), F.col("spans"))))
+    seen = settled(seen.select(by, "id", "spans", F.length("block").alias("chars"), "blocked"))
+    spans = seen.select(by, "id", F.inline("spans"))
+    mapping = pii.number_placeholders(spans, [by], ["id", "start"])
+    digits = F.length("placeholder") - F.length(pii.placeholder(F.col("type"), F.lit(0)))
+    times = spans.groupBy(by, "type", "value").agg(F.count("*").alias("_times"))
+    more = times.join(mapping, [by, "type", "value"]).groupBy(by).agg(F.sum(F.col("_times") * digits).alias("more"))
+    sums = settled(P.envelope_sums(seen, [by], F.col("chars"), MAX_CHARS, "blocked", more))
+    clean = pii.redacted(P.without_large(records, [by], sums), spans, mapping, by)
+    batch = P.with_large(P.records_envelope(record_blocks(clean), [by], "pos", "block", flag="blocked"), [by], sums, "blocked")
     asked = requests.join(batch, by).withColumns({"system": P.system_message("analyze", F.col("language")), "user": P.analyze_message(F.col("prompt"), F.col("records"))})
     got = answered(asked, fn, log, too_large="too_large", blocked="blocked")
     got = got.withColumn("analysis", F.when(F.col("completion.status") == "ok", F.col("completion.content")))

@@ -71,6 +71,37 @@ def resolve_spans(spans: DataFrame, id_col: str) -> DataFrame:
     return spans.withColumn("_c", covered).where("_c is null or _c <= start").drop("_c")
 
 
+def spans_in_place(text: Column, detectors: dict[str, str] | None = None) -> Column:
+    """What detect_entities, filter_entities and resolve_spans leave of a text, as an array by start (start, end, type, value): for passes that need a text and its spans together."""
+    found = F.concat(*[_spans(F.coalesce(text, F.lit("")), t, p) for t, p in (detectors or DETECTORS).items()])
+    personal = F.filter(found, lambda s: ~s["type"].isin(*IGNORED, *VERBATIM))
+    ordered = F.array_sort(F.transform(personal, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["type"].alias("type"), s["value"].alias("value"))))
+    none = F.array().cast(_SPAN)
+
+    def step(acc: Column, x: Column) -> Column:
+        end = -x["back"]
+        more = F.array(F.struct(x["start"].alias("start"), end.alias("end"), x["type"].alias("type"), x["value"].alias("value")))
+        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(acc["at"] <= x["start"], F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, few: Column) -> Column:
+        inner = F.aggregate(few, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], inner["out"]).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(1), F.size(ordered), F.lit(128)), lambda k: F.slice(ordered, k, F.lit(128)))
+    kept = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: acc["out"])
+    return F.when(F.size(found) > 0, kept).otherwise(none)
+
+
+def placeholder(type: Column, n: Column) -> Column:
+    return F.concat(F.lit("<"), type, F.lit("_"), n.cast("string"), F.lit(">"))
+
+
+def marked(text: Column, spans: Column) -> Column:
+    """text with its spans replaced as if every placeholder had the number 0. No screen tells it from the redacted text, and lengths differ by the digits of the numbers."""
+    marks = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), placeholder(s["type"], F.lit(0)).alias("placeholder")))
+    return F.when(F.size(spans) > 0, replace_spans(text, marks)).otherwise(text)
+
+
 def number_placeholders(spans: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """A mapping by group: placeholder <TYPE_n>, type, value. Equal values of one type share one; n counts over all types, by first appearance.
 
@@ -78,7 +109,7 @@ def number_placeholders(spans: DataFrame, by: list[str], order: list[str]) -> Da
     """
     first = spans.groupBy(*by, "type", "value").agg(F.min(F.struct(*order)).alias("_first_at"))
     numbered = number_rows(first, by, ["_first_at", "type", "value"], "_n")
-    return numbered.select(*by, F.concat(F.lit("<"), "type", F.lit("_"), F.col("_n").cast("string"), F.lit(">")).alias("placeholder"), "type", "value")
+    return numbered.select(*by, placeholder(F.col("type"), F.col("_n")).alias("placeholder"), "type", "value")
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
@@ -103,9 +134,14 @@ def pseudonymise_records(df: DataFrame, by: str = "corpus_id", id_col: str = "id
         found = spans if by in spans.columns else spans.join(df.select(id_col, by), id_col)
     keyed = settled(resolve_spans(filter_entities(found), id_col))
     mapping = number_placeholders(keyed, [by], [id_col, "start"])
-    own = keyed.join(mapping, [by, "type", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
+    return redacted(df, keyed, mapping, by, id_col, col), mapping
+
+
+def redacted(df: DataFrame, spans: DataFrame, mapping: DataFrame, by: str = "corpus_id", id_col: str = "id", col: str = "content") -> DataFrame:
+    """The records with the spans (by, id, start, end, type, value; apart from each other) in col replaced by their placeholders."""
+    own = spans.join(mapping, [by, "type", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
     out = df.join(own, id_col, "left").withColumn(col, F.when(F.col("_spans").isNull(), F.col(col)).otherwise(replace_spans(F.col(col), F.col("_spans"))))
-    return out.select(*df.columns), mapping
+    return out.select(*df.columns)
 
 
 def restore(df: DataFrame, mapping: DataFrame, by: str, col: str, retain: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:

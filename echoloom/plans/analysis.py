@@ -61,7 +61,7 @@ def g5_judged_chunks(spark, d):
 
 
 def g1_single_pass(spark, d):
-    out = A.analyze(_records(spark, d), _requests(spark, d), stub_complete("text"), stub_complete("judge"))
+    out = A.analyze(view(spark, d, "records", BY_HASH), _requests(spark, d), stub_complete("text"), stub_complete("judge"))
     return out.select("corpus_id", "analysis", "quality_score", "record_count", "status", "error_class", F.size("periods").cast("bigint").alias("n_periods"))
 
 

@@ -4,7 +4,13 @@ import random
 import time
 from contextlib import contextmanager
 
+import pytest
+from pyspark.sql import functions as F
+
+from echoloom.functions import prompts as P
+from echoloom.operators import analyze as A
 from echoloom.operators import coding as G
+from echoloom.operators import pii
 from echoloom.operators.complete import complete, stub_complete
 
 
@@ -63,3 +69,54 @@ def test_rows_that_are_not_to_be_asked_have_no_completion(spark):
     df = spark.createDataFrame([(1, True, "t"), (2, False, "t"), (3, None, None)], "id int, ask boolean, user string").selectExpr("*", "'s' as system")
     got = {x.id: x.completion for x in complete(df, stub_complete("text"), only="ask").collect()}
     assert got[1].status == "ok" and got[2] is None and got[3] is None
+
+
+def requests(r):
+    return r.select("corpus_id").distinct().selectExpr("corpus_id", "'why?' as prompt", "cast(null as string) as language")
+
+
+def dated(r):
+    return r.selectExpr("*", "'2024-01-02' as created", "'a' as coding_level_1", "cast(null as string) as coding_level_2", "cast(null as string) as coding_level_3")
+
+
+def test_texts_of_corpora_that_are_too_large_are_not_dealt(spark):
+    r = dated(texts(spark))
+    with no_broadcasts(spark):
+        before = shuffled(spark)
+        out = A.analyze(r, requests(r), stub_complete("text"), stub_complete("judge")).collect()
+        assert [(x.record_count, x.error_class) for x in out] == [(60, "DocumentsTooLargeError")]
+        A.summarize_bulk(r, stub_complete("summary")).collect()
+        assert shuffled(spark) - before < 60 * 20_000 / 4
+
+
+ODD = (
+    "write to a.b@c.org or a.b@c.org, +41 22 123 45 67 & <http://x.org/a?b=c@d.org>", "10.0.0.1 1.2.3.4 10.0.0.1", "user: c@d.org", "x" * 250, "y" * 250 + "@z.org", "", None, "<" * 199 + "q@r.org", "no one",
+    "http://10.0.0.1/x,+41 22 123 45 67@c.org 'q' \"r\"", " ".join(f"n{k}@m.org" for k in range(300)),
+)
+
+
+def test_spans_in_place_are_those_of_the_tables(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, content string")
+    want = pii.resolve_spans(pii.filter_entities(pii.detect_entities(df, "id", "content")), "id")
+    got = df.select("id", F.inline(pii.spans_in_place(F.col("content"))))
+    key = lambda x: (x.id, x.start, x.end, x.type, x.value)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 300
+
+
+@pytest.mark.parametrize("over", [0, 1])
+def test_messages_are_measured_as_they_are_built(spark, monkeypatch, over):
+    rows = [(f"r{k:03d}", f"c{k % 3}", t, "2024-01-02", "a", None, None, k) for k, t in enumerate(ODD * 3)]
+    r = spark.createDataFrame(rows, "id string, corpus_id string, content string, created string, coding_level_1 string, coding_level_2 string, coding_level_3 string, pos long")
+    clean, _ = pii.pseudonymise_records(r)
+    batch = {x.corpus_id: x for x in P.records_envelope(A.record_blocks(clean), ["corpus_id"], "pos", "block", flag="blocked").collect()}
+    for corpus, want in batch.items():
+        assert "_10>" in want.records.replace("&gt;", ">") or "_10&gt;" in want.records
+        monkeypatch.setattr(A, "MAX_CHARS", len(want.records) - over)
+        asked = []
+        seen = A.P.with_large
+        monkeypatch.setattr(A.P, "with_large", lambda *a, seen=seen: asked.append(seen(*a)) or asked[-1])
+        one = r.where(F.col("corpus_id") == corpus)
+        A.analyze(one, requests(one), stub_complete("text"), stub_complete("judge"))
+        monkeypatch.setattr(A.P, "with_large", seen)
+        got = asked[0].collect()
+        assert [(x.n_records, x.too_large, x.blocked, x.records) for x in got] == [(want.n_records, over == 1, want.blocked, None if over else want.records)]
